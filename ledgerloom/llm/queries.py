@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import near_duplicates
+from ledgerloom.llm import chat_format, decontamination, line_dedup, near_duplicates, packing, top_k
 from ledgerloom.llm._shared import table
 
 
@@ -13,15 +14,94 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op8_near_duplicates": op8_near_duplicates}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
+    hit = F.size("hit_words").cast("long")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+#: A conversation of control strings that op7 formats besides the table's.
+HARD_TURN = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TURN), (-7, 1, "assistant", HARD_TURN)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.examples(conversations.union(hard)))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), 10, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op7_chat_format": op7_chat_format,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_decontamination": op9_decontamination,
+    "op10_top_k": op10_top_k,
+}
 
 ORACLE_SQL = {
+    "op4_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, string_split(text, chr(10)) AS l FROM documents
+        ), full_lines AS (
+            SELECT doc_id, i - 1 AS place, trim(l[i], E' \t\r\f\x0b') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+            FROM lines, unnest(range(1, len(l) + 1)) u(i) WHERE trim(l[i], E' \t\r\f\x0b') <> ''
+        ), windows AS (
+            SELECT a.doc_id, a.place AS first, c.place AS last, a.line || chr(10) || b.line || chr(10) || c.line AS w
+            FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k = a.k + 1 JOIN full_lines c ON a.doc_id = c.doc_id AND c.k = a.k + 2
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, first) AS r FROM windows
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS place FROM ranked WHERE r > 1
+        ), cut AS (
+            SELECT doc_id, list(place) AS places FROM covered GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(coalesce(len(l.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(c.places), 0) AS BIGINT) AS n_removed,
+               CASE WHEN c.places IS NULL THEN d.text
+                    ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(l.l)), lambda i: NOT list_contains(c.places, i)), lambda i: l.l[i + 1]), chr(10)), '') END AS text
+        FROM documents d JOIN lines l ON d.doc_id = l.doc_id LEFT JOIN cut c ON d.doc_id = c.doc_id
+    """,
+    "op9_decontamination": r"""
+        WITH doc_words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), item_words AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), items AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+            FROM item_words, unnest(range(1, len(w) - least(10, len(w)) + 2)) u(i) WHERE len(w) > 0
+        ), places AS (
+            SELECT d.doc_id, i, k.k, array_to_string(w[i:i + k.k - 1], ' ') AS g
+            FROM doc_words d, (SELECT DISTINCT k FROM items) k, unnest(range(1, len(w) - k.k + 2)) u(i)
+        ), hits AS (
+            SELECT p.doc_id, p.i, p.k, t.item_id FROM places p JOIN items t ON p.g = t.g AND p.k = t.k
+        ), hit_words AS (
+            SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM hits) GROUP BY doc_id
+        ), hit_items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+        FROM doc_words d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items t ON d.doc_id = t.doc_id
+    """,
     "op8_near_duplicates": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
             FROM documents
         ), sets AS (
-            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
             FROM words
         ), shingles AS (
@@ -39,4 +119,34 @@ ORACLE_SQL = {
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
         FROM sets s JOIN least c ON s.doc_id = c.doc_id
     """,
+    "op7_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), sized AS (
+            SELECT *, length('### ') + length(replace(replace(replace(replace(role, '\', '\b'), '### ', '\h## '), '</turn>', '\l/turn>'), ':', '\c')) + length(': ')
+                      + length(replace(replace(replace(text, '\', '\b'), '### ', '\h## '), '</turn>', '\l/turn>')) + length('</turn>') + 1 AS chars
+            FROM turns
+        ), summed AS (
+            SELECT *, sum(chars) OVER w AS so_far, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS last FROM sized
+            WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(so_far) FILTER (WHERE last OR role = 'assistant') AS BIGINT) AS formatted_chars
+        FROM summed GROUP BY conv_id
+    """,
+    "op10_top_k": r"""
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
 }
