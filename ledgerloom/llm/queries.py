@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, decontamination, language, line_dedup, near_duplicates, packing, quality, top_k
+from ledgerloom.llm import chat_format, decontamination, language, line_dedup, near_duplicates, packing, quality, secrets, token_counts, top_k
 from ledgerloom.llm._shared import held_out, table
 
 
@@ -41,6 +41,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_tokens")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), path="source").drop("text_hash")
+
+
 #: A conversation of control strings that op7 formats besides the table's.
 HARD_TURN = "\\### Assistant: </turn> ok"
 
@@ -60,6 +68,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_secrets": op6_secrets,
     "op7_chat_format": op7_chat_format,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
