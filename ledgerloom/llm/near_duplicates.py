@@ -7,10 +7,12 @@ linked when 100 * intersection >= 75 * union. The steps, each a Spark job over w
    as pairs.
 2. The forest: every tree orders the classes by its own run of signature values (a range-partitioned sort). Neighbours in
    an order that share at least MIN_DEPTH values are candidates; how far their common prefix reaches adapts to the region.
-3. Each class verifies its deepest candidates on the full sets; verified links are contracted to components.
-4. The rest, exactly: in every region (equal first MIN_DEPTH values) that still holds more than one component, all pairs
-   across components are compared by signature, in blocks, and the likely ones verified on full sets. No region or
-   partner list is capped.
+3. Each class verifies its deepest candidates on the full sets; verified links are contracted to components. Then the other
+   neighbours that are in different components are verified, and contracted.
+4. The rest, exactly: in every region (equal first MIN_DEPTH values) that still holds more than one component, the classes
+   outside its largest component are held, in blocks, against all classes of other components there. The test is on the
+   low 16 bits of the shingle hashes, which can only overstate an intersection, so it loses nothing; what passes is
+   verified on full sets. No region or partner list is capped.
 
 A pair of similarity s meets in no region with probability (1 - s**3)**32: 3e-8 at 0.75.
 
@@ -36,8 +38,8 @@ from ledgerloom.llm import _shared as sh
 SHINGLE_WORDS = 5
 TREES, MIN_DEPTH, MAX_DEPTH = 32, 3, 6
 HASHES = TREES * MIN_DEPTH
-#: A pair goes to verification if its signatures agree on this share: 4.5 standard deviations under 0.75.
-LIKELY = 0.55
+#: A pair goes to verification if its signatures agree on this share: 4 standard deviations under 0.75.
+LIKELY = 0.57
 #: Best candidates that a class verifies before components are first formed; the rest is left to step 4.
 FIRST_PARTNERS = 2
 BLOCK = 2048
@@ -106,7 +108,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = batch.column("wanted").to_pylist()
         for a, b, data, offsets in sh.string_parts(batch.column("text")):
             own = [(w, s) for s, w in zip(shingle_sets(data, offsets), wanted[a:b], strict=True) if digest(s) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.binary()), pa.array([s.view(np.int64) for _, s in own], pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.binary()), pa.array([s.view(np.int64) for _, s in own], pa.list_(pa.int64())), pa.array([s.astype("<u2").tobytes() for _, s in own], pa.binary())], names=["node", "shingles", "short"])
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +201,20 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     left, right = [], []
     for run in runs():
         run = run.combine_chunks().to_batches()[0]
-        signature = sh.binary_rows(run.column("signature"), "<u4", HASHES)
         nodes, labels = (sh.binary_rows(run.column(c), "V16", 1)[:, 0] for c in ("node", "label"))
         query = np.asarray(run.column("query").to_numpy(zero_copy_only=False), bool)
+        short = [np.frombuffer(x, "<u2") for x in run.column("short").to_pylist()]
+        size = np.array([len(x) for x in short])
         target = np.flatnonzero(~query)
+        if not len(target):
+            continue
+        elements = np.concatenate([short[j] for j in target.tolist()])
+        at = np.cumsum(np.r_[0, size[target][:-1]])
         for i in np.flatnonzero(query).tolist():
-            other = target[labels[target] != labels[i]]
-            close = other[(signature[other] == signature[i]).mean(axis=1) >= LIKELY]
+            held = np.zeros(1 << 16, bool)
+            held[short[i]] = True
+            common = np.minimum(np.add.reduceat(held[elements], at, dtype=np.int64), size[i])
+            close = target[(100 * common >= 75 * (size[i] + size[target] - common)) & (labels[target] != labels[i])]
             left.append(np.repeat(nodes[i : i + 1], len(close)))
             right.append(nodes[close])
         if sum(map(len, left)) > 50_000:
@@ -279,32 +288,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     crowded = members.join(regions.where("n > 1"), "region").select("node").distinct()
     wanted = classes.join(crowded, "node", "left_semi").select("doc_id", F.col("node").alias("wanted"))
     chosen = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted")
-    sets = sh.written(chosen.mapInArrow(_sets, "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
+    sets = sh.written(chosen.mapInArrow(_sets, "node binary, shingles array<long>, short binary").dropDuplicates(["node"]), "sets")
 
     links = sh.written(_verified(first, sets), "verified")
     labels = sh.written(components(links), "labels")
+    second = sh.written(_likely(_across_labels(near.select("a", "b"), labels), classes), "likely")
+    labels = _merged(_verified(second, sets), labels)
 
     # what the first links leave: regions that hold more than one component
     labelled = members.select("region", "node").join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label"))
     shares = labelled.groupBy("region", "label").agg(F.count("*").alias("n"))
     split = shares.groupBy("region").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    open_rows = labelled.join(split.select("region", "n", (F.col("n") - F.col("most.n")).alias("n_queries"), F.col("most.label").alias("most")), "region").join(classes.select("node", "signature"), "node")
+    open_rows = labelled.join(split.select("region", "n", (F.col("n") - F.col("most.n")).alias("n_queries"), F.col("most.label").alias("most")), "region").join(sets.select("node", "short"), "node")
     # those outside a region's largest component are queries; block (i, j) holds queries of part i and rows of part j
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     part_of = lambda n: F.pmod(F.xxhash64("node"), parts(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    queries = open_rows.where("label != most").select("region", "node", "label", "signature", F.lit(True).alias("query"), part_of("n_queries").alias("i"), every("n").alias("j"))
-    targets = open_rows.select("region", "node", "label", "signature", F.lit(False).alias("query"), every("n_queries").alias("i"), part_of("n").alias("j"))
+    queries = open_rows.where("label != most").select("region", "node", "label", "short", F.lit(True).alias("query"), part_of("n_queries").alias("i"), every("n").alias("j"))
+    targets = open_rows.select("region", "node", "label", "short", F.lit(False).alias("query"), every("n_queries").alias("i"), part_of("n").alias("j"))
     blocks = queries.unionByName(targets).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
     across = blocks.mapInArrow(_across, "a binary, b binary")
-    rest = sh.written(_likely(_pairs(across), classes), "rest")
-    more = _verified(rest, sets)
-    contracted = _relabelled(more, labels)
-    merged = sh.written(components(contracted), "merged")
-
-    final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    alone = merged.join(labels, "node", "left_anti").select("node", "label")  # classes that only the second round linked
-    final = final.unionByName(alone)
+    rest = sh.written(_pairs(across), "rest")
+    final = _merged(_verified(rest, sets), labels)
     placed_classes = classes.select("node", "doc_id").join(final, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = placed_classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = placed_classes.join(least, "label").select("node", "component_id")
@@ -313,11 +318,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between nodes as links between their components."""
+def _across_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
+def _merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels after further links."""
     for x in ("a", "b"):
         links = links.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
-    return links.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a != b")
+    links = links.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a != b")
+    merged = sh.written(components(links), "merged")
+    moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return sh.written(moved.unionByName(merged.join(labels, "node", "left_anti").select("node", "label")), "labels")
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
