@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY
+from ledgerloom.operators.keeping import keep
 
 CRITICAL = ("empresa", "data_shift_usada_para_match", "modalidade", "bandeira", "parcela", "numero_parcelas")
 REPEATED = ("os_shift", "codigo_registro", "valor_bruto", "valor_liquido", "data_shift_usada_para_match", "parcela", "numero_parcelas")
@@ -29,7 +30,7 @@ def _signature(fields: tuple[str, ...]) -> Column:
 
 def flagged(ledger: DataFrame) -> DataFrame:
     """Rows with _ambiguous (their authorisation has rows that differ in critical fields) and _repeated (exact duplicates)."""
-    signed = ledger.withColumns({"_critical": _signature(CRITICAL), "_same": _signature(REPEATED)})
+    signed = keep(ledger.withColumns({"_critical": _signature(CRITICAL), "_same": _signature(REPEATED)}))
     per_auth = signed.groupBy("autorizacao").agg(F.count("*").alias("n"), (F.min("_critical") != F.max("_critical")).alias("_ambiguous")).where("n > 1")
     repeats = signed.groupBy(F.col("autorizacao").alias("_auth"), F.col("_same").alias("_key")).agg(F.count("*").alias("copies")).where("copies > 1")
     judged = signed.join(per_auth.select(F.col("autorizacao").alias("_of"), "_ambiguous"), F.col("autorizacao").eqNullSafe(F.col("_of")), "left")
@@ -43,7 +44,7 @@ def consolidated(ledger: DataFrame) -> DataFrame:
     rows = flagged(ledger)
     keys = ["autorizacao", *CRITICAL]
     key = _signature(tuple(keys))
-    rows = rows.withColumn("_group", key)
+    rows = keep(rows.withColumn("_group", key))
     listed = lambda c: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("ord", F.col(c).cast("string").alias("v")))), lambda x: x["v"].isNotNull()), lambda x: x["v"])
     own = [c for c in rows.columns if c not in ("_group", *SUMMED)]
     sizes = rows.where("not _ambiguous").groupBy("_group").agg(F.count("*").alias("n"), F.count_distinct("os_shift").alias("orders")).where("n > 1 and orders > 1").select("_group")

@@ -96,7 +96,10 @@ def company_alerts(ledger: DataFrame, company: str | None) -> list[str]:
 
 
 def acquirer_context(acquirer: DataFrame, day: str, establishment: str | None = None) -> dict[str, list[str]]:
-    """The days, establishments and names that the report holds; an error if it isn't of the expected day and establishment."""
+    """The days, establishments and names that the report holds; an error if it isn't of the expected day and establishment.
+
+    A report is of one unit and day, so these are a few values; context_values has them as rows where that isn't sure.
+    """
     days, places, names = _texts(acquirer, F.col("data_recebimento").cast("string"), F.upper(F.trim("estabelecimento")), F.trim("nome_estabelecimento"))
     if days and day not in days:
         raise ValueError(f"A data selecionada ({day}) não corresponde ao arquivo da Rede. Data encontrada: {', '.join(days)}.")
@@ -106,5 +109,19 @@ def acquirer_context(acquirer: DataFrame, day: str, establishment: str | None =
     return {"datas_recebimento": days, "estabelecimentos": places, "nomes_estabelecimento": names}
 
 
+def context_values(acquirer: DataFrame) -> DataFrame:
+    """campo and valor: the distinct days, establishments and names of the report, as rows."""
+    fields = {"data_recebimento": F.col("data_recebimento").cast("string"), "estabelecimento": F.upper(F.trim("estabelecimento")), "nome_estabelecimento": F.trim("nome_estabelecimento")}
+    pairs = F.array(*(F.struct(F.lit(name).alias("campo"), F.nullif(c, F.lit("")).alias("valor")) for name, c in fields.items()))
+    return acquirer.select(F.inline(pairs)).where("valor is not null").distinct()
+
+
+def card_scope(report: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The card rows of the ledger's financial report, by their kind or payment form, and the others."""
+    text = lambda name: F.coalesce(F.col(f"`{name}`"), F.lit("")) if name in report.columns else F.lit("")
+    card = F.lower(text("Espécie")).contains("cart") | F.upper(F.trim(text("Forma de pagamento/cobrança"))).startswith("REDE")
+    return report.where(card), report.where(~card)
+
+
 def all_discards(*reports: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)

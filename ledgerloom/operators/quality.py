@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.keeping import keep
+
 #: Codes for absent fields in order, codes that alone don't make an error, and keys of duplicates.
 REQUIRED = {
     "autorizacao": "AUTORIZACAO_VAZIA", "nsu": "NSU_VAZIO", "valor_bruto": "VALOR_VAZIO", "parcela": "PARCELA_VAZIA",
@@ -25,8 +27,10 @@ def cancelled(c: Column) -> Column:
 
 def with_duplicates(rows: DataFrame) -> DataFrame:
     """A boolean column for each kind of duplicate. Counts are aggregated map-side; only repeated keys are joined back."""
+    kept = keep(rows)
+    rows = kept
     for code, keys in DUPLICATES.items():
-        full = rows.dropna(subset=list(keys))
+        full = kept.dropna(subset=list(keys))
         repeated = full.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.lit(True).alias(code))
         rows = rows.join(repeated, list(keys), "left").withColumn(code, F.coalesce(code, F.lit(False)))
     return rows

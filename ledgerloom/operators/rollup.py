@@ -124,6 +124,13 @@ def acquirer_files(detail: DataFrame) -> DataFrame:
     return detail.select(F.col("rede_arquivo_origem").alias("arquivo")).where("arquivo != ''").distinct().orderBy("arquivo")
 
 
+def numbered(shown: DataFrame) -> DataFrame:
+    """An ordered panel of at most PANEL_ROWS rows with posicao, from 1."""
+    auth = F.coalesce(F.nullif(F.col("shift_autorizacao_normalizado"), F.lit("")), "rede_autorizacao_normalizado", F.lit(""))
+    by = [group_of(F.col("status_comparacao"))["rank"], F.coalesce("impacto_financeiro_confirmado", F.lit(0)).desc(), F.coalesce("valor_operacao_em_revisao", F.lit(0)).desc(), auth, F.col("stage"), F.col("emit")]
+    return shown.withColumn("posicao", F.row_number().over(Window.orderBy(*by)).cast("bigint"))
+
+
 def with_group_breaks(shown: DataFrame) -> DataFrame:
     """A shown panel (at most PANEL_ROWS ordered rows) with whether each row begins a new group."""
     order = Window.orderBy("posicao")

@@ -63,11 +63,11 @@ def _optional(df: DataFrame, name: str | None) -> Column:
     return F.col(f"`{name}`").cast("string") if name is not None and name in df.columns else F.lit(None).cast("string")
 
 
-def normalized(df: DataFrame, source: str, mapping: dict[str, str], fields: tuple[str, ...]) -> DataFrame:
+def normalized(df: DataFrame, source: str, mapping: dict[str, str], fields: tuple[str, ...], carried: tuple[str, ...] = ()) -> DataFrame:
     """The canonical form of a mapped table: raw_ and normalised columns, ord and _row (line number as spreadsheets show it).
 
     mapping: canonical field to column. A missing column gives nulls, "" for status and cancelamento, and the not-given brand
-    and modality; a missing cell does too.
+    and modality; a missing cell does too. carried: columns that come along as they are.
     """
     if source not in (ACQUIRER, LEDGER):
         raise ValueError(f"source: {source!r} is neither {ACQUIRER!r} nor {LEDGER!r}")
@@ -96,7 +96,7 @@ def normalized(df: DataFrame, source: str, mapping: dict[str, str], fields: tupl
         else:
             out[field] = F.when(~blank(c), fold(c))
     out["raw_valor_bruto"] = F.coalesce(raw["valor_bruto_atualizado"], raw["valor_bruto_original"])
-    own = df.select("ord", *(c.alias(name) for name, c in out.items()))
+    own = df.select("ord", *carried, *(c.alias(name) for name, c in out.items()))
     return own.withColumn("valor_bruto", F.coalesce("valor_bruto_atualizado", "valor_bruto_original"))
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assign, classify, consolidate, fallback, impact, quality, rollup, schema
+from ledgerloom.operators.keeping import keep
 
 
 @dataclass
@@ -72,8 +72,7 @@ def match(acquirer: DataFrame, ledger: DataFrame, check_empty: bool = True) -> R
         if no_a or no_l:
             who = "Os dois arquivos estão vazios" if no_a and no_l else "O arquivo da Rede está vazio" if no_a else "O arquivo do Shift está vazio"
             raise ValueError(f"{who} ou a aba selecionada não contém dados válidos.")
-    # both sides and the assignment feed several branches; kept rows spill to disk and are made anew if an executor goes
-    keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+    # both sides and the assignment feed several branches
     a = keep(a)
     rows = keep(quality.with_codes(consolidate.consolidated(original)))
     clear = rows.where("not _ambiguous")

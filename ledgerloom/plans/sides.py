@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import schema
+from ledgerloom.operators.keeping import keep
 from ledgerloom.sources.headers import CANONICAL
 
 _CENTS = "CAST(cents {div} 100 AS STRING) || ',' || lpad(CAST(cents % 100 AS STRING), 2, '0')"
@@ -73,6 +74,6 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     acquirer, ledger = raw_sides(spark, sf_dir)
     fields = tuple(CANONICAL)
     own = {c: c for c in fields}
-    a = schema.normalized(acquirer, schema.ACQUIRER, own, fields).join(acquirer.select("ord", "rede_arquivo_origem"), "ord")
-    more = ledger.select("ord", "empresa", "os_shift", "codigo_registro")
-    return a, schema.normalized(ledger, schema.LEDGER, own, fields).join(more, "ord").withColumn("data_shift_usada_para_match", F.col("data_venda"))
+    a = schema.normalized(acquirer, schema.ACQUIRER, own, fields, ("rede_arquivo_origem",))
+    l = schema.normalized(ledger, schema.LEDGER, own, fields, ("empresa", "os_shift", "codigo_registro"))  # noqa: E741
+    return keep(a), keep(l.withColumn("data_shift_usada_para_match", F.col("data_venda")))
