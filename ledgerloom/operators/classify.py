@@ -63,6 +63,19 @@ REASON_OF_INSTALLMENTS = {
 }
 ALERT_CRITERION = "VALOR_BRUTO+VALOR_LIQUIDO(TOLERANCIA)+DATA_VENDA+MODALIDADE+BANDEIRA+PARCELA"
 
+#: What becomes of a row. PAIRED is a pair by authorisation; the others have fixed outputs: match type, statuses, fields,
+#: reason, stage, level, alert criterion, whether the candidate is the only one.
+PAIRED, CONFLICTING, SEVERAL = "paired", "conflicting", "several"
+CASES = {
+    CONFLICTING: (GROUP_AMBIGUOUS, GROUP_AMBIGUOUS, "agrupamento_shift", REASONS["ambiguous"], 0, None, None, None),
+    SEVERAL: (GROUP_AMBIGUOUS, GROUP_AMBIGUOUS, "autorizacao", REASONS["group_several"], 0, None, None, None),
+    GROUP_ALONE: (GROUP_ALONE, f"{NOT_AT_ACQUIRER},MULTIPLAS_OS_MESMA_AUTORIZACAO", "", REASONS["group_alone"], 0, None, None, None),
+    fallback.REVIEW: (fallback.REVIEW, fallback.REVIEW, "autorizacao", REASONS[fallback.REVIEW], 1, "ALTA", ALERT_CRITERION, True),
+    fallback.AMBIGUOUS: (fallback.AMBIGUOUS, f"{fallback.AMBIGUOUS},{NOT_AT_ACQUIRER}", "autorizacao", REASONS[fallback.AMBIGUOUS], 1, "AMBIGUA", ALERT_CRITERION, False),
+    fallback.NOTHING: (fallback.NOTHING, NOT_AT_ACQUIRER, "", REASONS[fallback.NOTHING], 1, "SEM_CORRESPONDENCIA", None, False),
+    LEFT_OVER: (LEFT_OVER, NOT_IN_LEDGER, "", REASONS[LEFT_OVER], 2, None, None, None),
+}
+
 TEXTS = "array<string>"
 
 
@@ -145,23 +158,22 @@ def judged_pairs(pairs: DataFrame) -> DataFrame:
         F.when(blocked, texts("parcela")).otherwise(all_fields).alias("fields"),
         F.when(blocked, F.lit(GROUP_AMBIGUOUS)).when(grouped, F.lit(BY_GROUP)).otherwise(F.lit(BY_AUTH)).alias("match_type"),
         F.when(blocked, F.lit(REASONS["group_installments"])).when(grouped, F.lit(REASONS[BY_GROUP])).otherwise(by_auth).alias("reason"),
-        F.col("how").alias("criterion"), *_extra(), F.col("s.ord").alias("emit"), F.lit(0).alias("stage"),
+        F.col("how").alias("criterion"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("alert"), F.lit(None).cast("boolean").alias("unique"), F.col("s.ord").alias("emit"), F.lit(0).alias("stage"),
     )
 
 
-def _extra(level: str | None = None, alert: str | None = None, unique: bool | None = None) -> list[Column]:
-    return [F.lit(level).cast("string").alias("level"), F.lit(alert).cast("string").alias("alert"), F.lit(unique).cast("boolean").alias("unique")]
-
-
-def unpaired(rows: DataFrame, statuses: Column, fields: tuple[str, ...], match_type: str, reason: str, stage: int, level: str | None = None, alert: str | None = None, unique: bool | None = None) -> DataFrame:
-    """rows(s, r) with one of them null."""
-    emit = F.coalesce(F.col("s.ord"), F.col("r.ord"))
-    return rows.select("s", "r", statuses.cast(TEXTS).alias("statuses"), texts(*fields).alias("fields"), F.lit(match_type).alias("match_type"), F.lit(reason).alias("reason"), F.lit(None).cast("string").alias("criterion"), *_extra(level, alert, unique), emit.alias("emit"), F.lit(stage).alias("stage"))
-
-
-def reviewed(pairs: DataFrame) -> DataFrame:
-    """Unique pairs of the second stage."""
-    return pairs.select("s", "r", F.concat(of_quality(F.col("s")), texts(fallback.REVIEW)).alias("statuses"), texts("autorizacao").alias("fields"), F.lit(fallback.REVIEW).alias("match_type"), F.lit(REASONS[fallback.REVIEW]).alias("reason"), pair_criterion().alias("criterion"), *_extra("ALTA", ALERT_CRITERION, True), F.col("s.ord").alias("emit"), F.lit(1).alias("stage"))
+def judged_others(rows: DataFrame) -> DataFrame:
+    """rows(s, r, case) that aren't pairs by authorisation: unique pairs of the second stage, and rows of one side."""
+    quality = F.when(F.col("s").isNotNull(), of_quality(F.col("s"))).otherwise(texts())
+    no_quality = F.col("case").isin(CONFLICTING, LEFT_OVER)
+    by_case = lambda k, kind: F.coalesce(*(F.when(F.col("case") == case, F.lit(row[k]).cast(kind)) for case, row in CASES.items()), F.lit(None).cast(kind))
+    own = F.split(by_case(1, "string"), ",")
+    fields = F.filter(F.split(by_case(2, "string"), ","), lambda x: x != "")
+    return rows.select(
+        "s", "r", F.concat(F.when(no_quality, texts()).otherwise(quality), own).cast(TEXTS).alias("statuses"), fields.cast(TEXTS).alias("fields"), by_case(0, "string").alias("match_type"), by_case(3, "string").alias("reason"),
+        F.when(F.col("case") == fallback.REVIEW, pair_criterion()).alias("criterion"), by_case(5, "string").alias("level"), by_case(6, "string").alias("alert"), by_case(7, "boolean").alias("unique"),
+        F.coalesce("s.ord", "r.ord").alias("emit"), by_case(4, "int").alias("stage"),
+    )
 
 
 def action(statuses: Column) -> Column:

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Only where the session names no shared folder, as in tests.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df, made once: on the executors, in memory as far as it goes and then on disk. What a lost executor held is made anew.
+    """df as a Parquet table in the folder that all executors share: made once, and no lost executor takes any of it along.
 
-    It also bounds plans: without it each branch would compute, and Catalyst would inline, all that stands below.
+    It also ends the plan below: each branch then starts from a scan that it prunes and filters for itself, where Catalyst
+    would otherwise analyse and compute everything below once for every branch.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -60,10 +60,6 @@ def row_counts(result: Result) -> DataFrame:
     return rollup._turned(one.select("*", grouped), "bigint")
 
 
-def _sided(df: DataFrame, name: str) -> DataFrame:
-    return df.select(F.struct(*df.columns).alias(name), F.col("ord").alias(f"{name}_ord"))
-
-
 def match(acquirer: DataFrame, ledger: DataFrame, check_empty: bool = True) -> Result:
     """Match canonical sides (schema.acquirer and schema.ledger complete them)."""
     a, original = schema.acquirer(acquirer), schema.ledger(ledger)
@@ -74,35 +70,29 @@ def match(acquirer: DataFrame, ledger: DataFrame, check_empty: bool = True) -> R
             raise ValueError(f"{who} ou a aba selecionada não contém dados válidos.")
     # both sides and the assignment feed several branches
     a = keep(a)
+    original = keep(original)
     rows = keep(quality.with_codes(consolidate.consolidated(original)))
     clear = rows.where("not _ambiguous")
     outcome = keep(assign.assigned(clear, a))
-    s, r = _sided(clear, "s"), _sided(a, "r")
-    none_r, none_s = F.lit(None).cast(r.schema["r"].dataType), F.lit(None).cast(s.schema["s"].dataType)
-
-    taken = outcome.where(F.col("outcome") == assign.TAKEN)
-    paired = s.join(taken, "s_ord").join(r, "r_ord").select("s", "r")
-    ambiguous = classify.unpaired(_sided(rows.where("_ambiguous"), "s").select("s", none_r.alias("r")), classify.texts(classify.GROUP_AMBIGUOUS), ("agrupamento_shift",), classify.GROUP_AMBIGUOUS, classify.REASONS["ambiguous"], 0)
-    several = s.join(outcome.where(F.col("outcome") == assign.SEVERAL).select("s_ord"), "s_ord", "left_semi").select("s", none_r.alias("r"))
-    several = classify.unpaired(several, F.concat(classify.of_quality(F.col("s")), classify.texts(classify.GROUP_AMBIGUOUS)), ("autorizacao",), classify.GROUP_AMBIGUOUS, classify.REASONS["group_several"], 0)
-
-    without = s.join(outcome.where(F.col("outcome") != assign.NONE_FREE).select("s_ord"), "s_ord", "left_anti")
-    group_alone = without.where("s._grouped").select("s", none_r.alias("r"))
-    group_statuses = F.concat(classify.of_quality(F.col("s")), classify.texts(classify.NOT_AT_ACQUIRER, "MULTIPLAS_OS_MESMA_AUTORIZACAO"))
-    group_alone = classify.unpaired(group_alone, group_statuses, (), classify.GROUP_ALONE, classify.REASONS["group_alone"], 0)
-
+    settled = outcome.where(F.col("outcome") != assign.NONE_FREE).select(F.col("s_ord").alias("ord"))
+    taken = outcome.where("r_ord is not null").select(F.col("r_ord").alias("ord"))
     # the second stage begins when every key has been assigned
-    pending = without.where("not s._grouped")
-    pool = a.join(taken.select(F.col("r_ord").alias("ord")), "ord", "left_anti")
-    kinds = keep(fallback.classified(fallback.candidates(pending.select("s.*"), pool)))
-    review = kinds.where(F.col("kind") == fallback.REVIEW)
-    reviewed = classify.reviewed(pending.join(review.select("s_ord", "r_ord"), "s_ord").join(r, "r_ord").select("s", "r"))
-    unclear = pending.join(kinds.where(F.col("kind") == fallback.AMBIGUOUS).select("s_ord"), "s_ord", "left_semi").select("s", none_r.alias("r"))
-    unclear = classify.unpaired(unclear, F.concat(classify.of_quality(F.col("s")), classify.texts(fallback.AMBIGUOUS, classify.NOT_AT_ACQUIRER)), ("autorizacao",), fallback.AMBIGUOUS, classify.REASONS[fallback.AMBIGUOUS], 1, "AMBIGUA", classify.ALERT_CRITERION, False)
-    missing = pending.join(kinds.select("s_ord"), "s_ord", "left_anti").select("s", none_r.alias("r"))
-    missing = classify.unpaired(missing, F.concat(classify.of_quality(F.col("s")), classify.texts(classify.NOT_AT_ACQUIRER)), (), fallback.NOTHING, classify.REASONS[fallback.NOTHING], 1, "SEM_CORRESPONDENCIA", None, False)
-    left = pool.join(review.select(F.col("r_ord").alias("ord")), "ord", "left_anti")
-    left = classify.unpaired(_sided(left, "r").select(none_s.alias("s"), "r"), classify.texts(classify.NOT_IN_LEDGER), (), classify.LEFT_OVER, classify.REASONS[classify.LEFT_OVER], 2)
-
-    judged = reduce(DataFrame.unionByName, [ambiguous, several, group_alone, classify.judged_pairs(paired), reviewed, unclear, missing, left])
+    pending = clear.where("not _grouped").join(settled, "ord", "left_anti")
+    pool = keep(a.join(taken, "ord", "left_anti"))
+    kinds = keep(fallback.classified(fallback.candidates(pending, pool)))
+
+    # each ledger row with its case and its acquirer row, if it has one; then the acquirer rows that are left
+    first = outcome.select(F.col("s_ord").alias("ord"), F.col("r_ord").alias("_first"), "outcome")
+    second = kinds.select(F.col("s_ord").alias("ord"), F.col("r_ord").alias("_second"), "kind")
+    case = (
+        F.when(F.col("_ambiguous"), F.lit(classify.CONFLICTING)).when(F.col("outcome") == assign.SEVERAL, F.lit(classify.SEVERAL)).when(F.col("outcome") == assign.TAKEN, F.lit(classify.PAIRED))
+        .when(F.col("_grouped"), F.lit(classify.GROUP_ALONE)).otherwise(F.coalesce("kind", F.lit(fallback.NOTHING)))
+    )
+    of_ledger = rows.join(first, "ord", "left").join(second, "ord", "left").select(F.struct(*rows.columns).alias("s"), case.alias("case"), F.coalesce("_first", "_second").alias("r_ord"))
+    of_acquirer = lambda df: df.select(F.struct(*a.columns).alias("r"), F.col("ord").alias("r_ord"))
+    left = of_acquirer(pool).join(kinds.where("r_ord is not null").select("r_ord"), "r_ord", "left_anti")
+    both = of_ledger.where("r_ord is not null").join(of_acquirer(a), "r_ord").select("s", "r", "case")
+    alone = of_ledger.where("r_ord is null").select("s", "case")
+    both = keep(both.unionByName(alone, allowMissingColumns=True).unionByName(left.select("r", F.lit(classify.LEFT_OVER).alias("case")), allowMissingColumns=True))
+    judged = keep(classify.judged_pairs(both.where(F.col("case") == classify.PAIRED)).unionByName(classify.judged_others(both.where(F.col("case") != classify.PAIRED))))
     return Result(impact.with_impact(classify.detail(judged)), quality.report(rows), a, rows, original)

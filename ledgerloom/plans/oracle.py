@@ -108,10 +108,10 @@ turns AS (SELECT t.*, c.agrupada FROM lists t JOIN coded c ON t.s_ord = c.ord),
 walk AS (
     SELECT auth_key, 0::BIGINT AS turn, []::BIGINT[] AS used, NULL::BIGINT AS s_ord, NULL::BIGINT AS r_ord, NULL::VARCHAR AS outcome FROM turns WHERE turn = 1
     UNION ALL
-    SELECT auth_key, turn, CASE WHEN outcome = 'taken' THEN list_append(used, r_ord) ELSE used END, s_ord, r_ord, outcome FROM (
+    SELECT auth_key, turn, CASE WHEN now = 'taken' THEN list_append(used, pick) ELSE used END, s_ord, pick, now FROM (
         SELECT t.auth_key, t.turn, w.used, t.s_ord, list_filter(t.candidates, lambda c: NOT list_contains(w.used, -c.o)) AS free,
-               CASE WHEN len(free) = 0 THEN 'none' WHEN t.agrupada AND len(free) > 1 THEN 'several' ELSE 'taken' END AS outcome,
-               CASE WHEN outcome = 'taken' THEN -(free[1].o) END AS r_ord
+               CASE WHEN len(free) = 0 THEN 'none' WHEN t.agrupada AND len(free) > 1 THEN 'several' ELSE 'taken' END AS now,
+               CASE WHEN now = 'taken' THEN -(free[1].o) END AS pick
         FROM walk w JOIN turns t ON w.auth_key = t.auth_key AND t.turn = w.turn + 1
     ) step
 ),
