@@ -1,8 +1,10 @@
 """Secret scans with DataFrame functions and Spark's random forest only.
 
-Candidates are runs of at least LEAST_LENGTH characters of keys and tokens that hold a digit. The forest removes the false
-ones. Its features are the candidate's length, its character transitions and classes, how much of it dictionary words cover,
-its path and its neighbouring words. It is trained on labelled findings; labelled_findings() makes a documented set by rule
+Candidates are wide: a value of at least LEAST_VALUE characters after an assignment or a key word, whatever characters it
+has, up to its quote or a space; and, anywhere, runs of at least LEAST_LENGTH characters of keys and tokens, with or without
+digits. A run ends at its first '=', so a key is never part of its value. The forest removes the false ones. Its features
+are the candidate's length, its character transitions and classes, how much of it dictionary words cover, its path and its
+neighbouring words. It is trained on labelled findings; labelled_findings() makes a documented set by rule
 where none is given. The trained forest is small and applied inside the JVM; texts are read once and never shuffled.
 
 Defined results: null and empty texts have no findings; a null path is empty. Rows that repeat both doc_id and text give
@@ -21,13 +23,30 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import _shared as sh
 
 LEAST_LENGTH = 16
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*[0-9])[A-Za-z0-9+/_=\-]{16,}"
+LEAST_VALUE = 4
+#: Words that a secret follows, also without an assignment.
+KEY_WORD = r"(?:pass(?:word|wd|phrase|code|wort)?|pwd|pw|kennwort|secrets?|tokens?|credentials?|creds?|bearer|basic|auth(?:orization)?|(?:api|access|private|secret|signing|master|client)[ _.\-]?keys?)"
+_RUN = r"[A-Za-z0-9+/_\-]"
+_ASSIGN = r"(?:=>|:=|==|::|[=:])\s*+"
+_KEYED = rf"(?<!{_RUN}){_RUN}*?(?i:{KEY_WORD})(?:[\"'`\])]{{0,2}}\s*+(?:{_ASSIGN}|>\s*+)|\s++(?:(?:is|was|are|ist|es|est)\s++)?)"
+_QUOTE = r"(?:[bBrRuUfF]{0,2}\\?[\"'`])?"
+#: A value without a quote ends before a next key, and before punctuation that ends it.
+_PLAIN = (
+    rf"(?!//|{_RUN}{{0,40}}?(?i:{KEY_WORD})(?:\s|[\"'`\])]{{0,2}}\s*[=:>]))"
+    rf"(?:(?![;,&|?][\w.\-]{{1,40}}[=:])(?![,;.:)\]}}>]{{1,8}}(?:[\s\"'`]|\z))[^\s\"'`]){{{LEAST_VALUE},}}+"
+)
+_VALUE = "|".join([rf"(?<={q})[^\s{q}]{{{LEAST_VALUE},}}+" for q in "\"'`"] + [rf"(?<=>)[^\s<]{{{LEAST_VALUE},}}+", rf"(?<![\"'`>]){_PLAIN}"])
+_BARE = rf"(?<!{_RUN})(?=[+/_\-]*+[A-Za-z0-9]){_RUN}{{{LEAST_LENGTH},}}+(?:==(?![=A-Za-z0-9\"'`])|=(?=[,;.)\]}}]|\z))?"
+#: The first group is a value after a key or an assignment; without it, the whole match is the candidate.
+CANDIDATE = rf"(?:{_KEYED}|{_ASSIGN}){_QUOTE}({_VALUE})|{_BARE}"
 #: Characters of context on either side.
 CONTEXT = 48
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 24, 7, 11
 #: Rows that labelled_findings() makes; training is on these few rows alone.
 FINDINGS = 4000
+#: Rules that labelled_findings() makes them by, dealt by number.
+KINDS = 36
 
 DICTIONARY = (
     "account after again api april auth before build cache case check class client code color config count create data date default delete demo device document domain down "
@@ -36,6 +55,7 @@ DICTIONARY = (
     "process product public query random read release report request response result return root sample search secret server service session set size source start state status "
     "string system table tag target task temp test text this time title token type update upload url user value version view week width window with word world write year your"
 ).split()
+SYMBOLS = ("!", "#", "$", "&", "@", "%", "?", "*", "^", "~")
 FAVOURING = "token|secret|passw|pwd|credential|bearer|auth|api.?key|access.?key|private.?key|signing"
 OPPOSING = "commit|revision|checksum|digest|sha-?1|sha-?256|md5|hash|uuid|guid|invoice|order|phone|card|iban|build|serial|trace|etag|version"
 
@@ -62,6 +82,14 @@ def features(df: DataFrame) -> DataFrame:
         "dictionary": (n - uncovered) / n,
         "segments": (F.regexp_count(c, F.lit("/")) + F.regexp_count(F.coalesce("path", F.lit("")), F.lit("/"))).cast("double"),
         "path_of_tests": flag(F.lower("path"), "test|example|sample|fixture|mock|docs?/|spec"),
+        "symbols": share(r"[^A-Za-z0-9]"),
+        "classes": sum(c.rlike(k).cast("double") for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")),
+        "word": flag(c, r"^\p{L}\p{Ll}*$"),
+        "clusters": share("(?i)[bcdfghjklmnpqrstvwxz]{4,}"),
+        "placeholder": flag(c, r"^[<$%{(\[*.]|[(\[{]|^(.)\1+$"),
+        "keyed": flag(F.col("before"), rf"(?i){KEY_WORD}[\w\-]*[\"'`\])]{{0,2}}\s*(=>|:=|==|[=:>])\s*[bruf]{{0,2}}\\?[\"'`]?$"),
+        "follows_key_word": flag(F.col("before"), rf"(?i){KEY_WORD}\s+((is|was|are|ist|es|est)\s+)?[\"'`]?$"),
+        "names": flag(F.col("after"), r"""^["'`\])]{0,2}\s*[=:]"""),
         "assigned": flag(F.col("before"), r"""[=:]\s*["'`]?$"""),
         "quoted": flag(F.col("before"), r"""["'`]$"""),
         "favouring": flag(near, FAVOURING),
@@ -72,7 +100,7 @@ def features(df: DataFrame) -> DataFrame:
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """Findings of known kind, made by rule from hashes of their numbers: candidate, before, after, path, is_secret."""
-    ids = spark.range(n).select("id", (F.col("id") % 16).alias("kind"), F.sha2(F.col("id").cast("string"), 512).alias("h"), F.md5(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("m"))
+    ids = spark.range(n).select("id", (F.col("id") % KINDS).alias("kind"), F.sha2(F.col("id").cast("string"), 512).alias("h"), F.md5(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("m"))
     at = lambda k, of: F.element_at(F.array(*map(F.lit, of)), (F.conv(F.substring("m", k, 3), 16, 10).cast("int") % len(of) + 1).cast("int"))
     length = 20 + F.conv(F.substring("m", 1, 2), 16, 10).cast("int") % 45
     base64 = F.regexp_replace(F.base64(F.unhex("h")), "=+$", "")
@@ -81,6 +109,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     digits = F.regexp_replace(F.concat("h", "m"), "[a-f]", "")
     secret_word, other_word = ("token", "secret", "api_key", "password", "auth_token", "access-key", "Bearer", "client secret"), ("commit", "sha1", "md5 checksum", "build", "trace", "etag", "revision", "uuid")
     plain = F.concat_ws(" ", word(4), word(7))
+    key = lambda k: at(k, ("password", "passwd", "pwd", "pw", "db password", "DB_PASSWORD", "secret", "token", "api_key", "auth token", "credential", "passphrase"))
+    assign = at(13, (' = "', ": ", "=", "='", '": "', " = ", ':"', "> "))
+    some = lambda a, n: F.substr(digits, a, F.lit(n))
+    letters = lambda a, n: F.substr(F.regexp_replace(F.concat(base64, F.base64(F.unhex(F.sha2("m", 512)))), "[0-9+/=]", ""), F.lit(a), F.lit(n))
+    mixed = lambda x: F.translate(x, "oeai", "03@1")
+    syllables = lambda k: F.concat(at(k, ("ba", "lo", "mi", "ter", "gen", "sch", "con", "é", "ra", "ver", "ü", "pre")), at(k + 1, ("no", "si", "lich", "men", "ta", "der", "os", "que", "ren", "al")))
     kinds: list[tuple[Column, Column, int]] = [
         (F.substr("h", F.lit(1), F.lit(40)), F.concat(plain, F.lit(" "), at(10, secret_word), at(12, (' = "', ": ", "=", "='"))), 1),
         (sized(base64), F.concat(plain, F.lit(" "), at(10, secret_word), at(12, (' = "', ": ", "=", "='"))), 1),
@@ -98,10 +132,30 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(word(1), word(4), word(7), F.substr(digits, F.lit(1), F.lit(4))), plain, 0),
         (F.concat(F.lit("20"), F.substr(digits, F.lit(1), F.lit(2)), F.lit("-01-"), F.substr(digits, F.lit(3), F.lit(2)), F.lit("T"), F.substr(digits, F.lit(5), F.lit(6))), plain, 0),
         (F.concat(F.repeat(word(1), 3), F.substr(digits, F.lit(1), F.lit(1))), F.concat(plain, F.lit(" = ")), 0),
+        (F.concat(F.initcap(mixed(word(1))), some(F.lit(1), 2)), F.concat(plain, F.lit(" "), key(10), assign), 1),
+        (F.concat(word(1), some(F.lit(1), 1), letters(5, 1), some(F.lit(4), 2)), F.concat(plain, F.lit(" "), key(10), assign), 1),
+        (F.concat(F.initcap(mixed(word(1))), at(6, SYMBOLS), word(4), at(9, SYMBOLS), some(F.lit(1), 4)), F.concat(key(10), assign), 1),
+        (letters(1, 8), F.concat(plain, F.lit(" "), key(10), assign), 1),
+        (letters(1, 28), F.concat(plain, at(12, (" ", ' "', ": ", " = "))), 1),
+        (F.lower(letters(1, 24)), F.concat(plain, F.lit(" "), key(10), assign), 1),
+        (F.concat(F.substr(base64, F.lit(1), F.lit(5)), at(6, SYMBOLS), F.substr(base64, F.lit(9), F.lit(4)), at(9, SYMBOLS)), F.concat(key(10), assign), 1),
+        (F.concat(word(1), some(F.lit(1), 3)), F.concat(key(10), at(12, (" is ", " ", " was ", ' "'))), 1),
+        (F.substr("h", F.lit(1), F.lit(12)), F.concat(key(10), assign), 1),
+        (F.concat(mixed(word(1)), at(6, SYMBOLS), some(F.lit(1), 2)), F.concat(F.upper(F.concat_ws("_", word(4), key(10))), F.lit("=")), 1),
+        (word(1), F.concat(plain, at(12, (": ", " = ", ":", '="'))), 0),
+        (word(1), F.concat(word(4), F.lit(" "), key(10), at(12, (" ", " is ", ": ", " = "))), 0),
+        (F.concat(word(1), word(4), at(7, ("e", "en", "ung", "tion", "s"))), F.concat(plain, at(12, (" ", ": ", " "))), 0),
+        (F.concat(syllables(1), syllables(4), syllables(7)), F.concat(F.initcap(word(4)), at(12, (": ", " ", ":\n"))), 0),
+        (F.concat(syllables(1), syllables(4)), F.concat(key(10), at(12, (" ", " is ", ": ", " "))), 0),
+        (F.concat(some(F.lit(1), 1), at(4, (".", ":", ",", "-")), some(F.lit(2), 2), at(5, (".", ":", "-")), some(F.lit(4), 2)), F.concat(plain, at(12, (": ", "=", " = "))), 0),
+        (at(4, ("${DB_PASSWORD}", "<password>", "********", "os.environ[", "getpass.getpass()", "xxxxxxxx", "None", "null", "{{ secret }}", "[REDACTED]", "$TOKEN", "config.get(", "%(token)s", "undefined")), F.concat(key(10), assign), 0),
+        (F.concat(at(4, ("//", "/", "./", "www.", "")), word(1), F.lit("."), word(4), at(7, ("/", ".com/", ".org", ".txt", "@mail.com")), word(9)), F.concat(plain, at(12, (": ", "=", ":"))), 0),
+        (F.upper(F.concat_ws("_", word(4), key(10), word(1))), plain, 0),
+        (F.concat(at(4, ("f", "self.", "get_", "")), word(1), at(7, ("(", "()", ".", "_")), word(9), at(12, (")", "", ");", "_id"))), F.concat(plain, F.lit(" = ")), 0),
     ]
     pick = lambda k: F.element_at(F.array(*(x[k] if isinstance(x[k], Column) else F.lit(x[k]) for x in kinds)), (F.col("kind") + 1).cast("int"))
-    found = ids.select(pick(0).alias("candidate"), pick(1).alias("before"), at(18, ('"', " and then", "", "'; next")).alias("after"), at(20, ("src0", "src1", "src/main/config", "lib/client", "docs/guide")).alias("path"), pick(2).alias("is_secret"))
-    return found.where(f"length(candidate) >= {LEAST_LENGTH}")
+    found = ids.select(pick(0).alias("candidate"), pick(1).alias("before"), F.when(F.col("kind") == KINDS - 2, F.lit(" = 1")).otherwise(at(18, ('"', " and then", "", "'; next"))).alias("after"), at(20, ("src0", "src1", "src/main/config", "lib/client", "docs/guide")).alias("path"), pick(2).alias("is_secret"))
+    return found.where(f"length(candidate) >= {LEAST_VALUE}")
 
 
 def fit(labelled: DataFrame) -> PipelineModel:
@@ -115,10 +169,28 @@ def fit(labelled: DataFrame) -> PipelineModel:
 def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, number, gap (code points since the candidate before), candidate, before, after and path."""
     docs = sh.typed(documents, doc_id="long", text="string", path="string").select("doc_id", "path", "text", F.xxhash64("text").alias("text_hash"))
-    found = docs.select("doc_id", "text_hash", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps")).where(F.size("found") > 0)
-    each = F.arrays_zip("found", F.slice("gaps", 1, F.size("found")).alias("left"), F.slice("gaps", 2, F.size("found")).alias("right"))
-    cut = F.transform(each, lambda x: F.struct(x["found"].alias("candidate"), F.length(x["left"]).alias("gap"), F.right(x["left"], F.lit(CONTEXT)).alias("before"), F.left(x["right"], F.lit(CONTEXT)).alias("after")))
-    return found.select("doc_id", "text_hash", "path", F.posexplode(cut).alias("number", "c")).select("doc_id", "text_hash", "number", "path", "c.*")
+    matches = [F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(k)).alias(name) for k, name in enumerate(("whole", "value"))]
+    found = docs.select("doc_id", "text_hash", "path", *matches, F.split("text", CANDIDATE, -1).alias("gaps")).where(F.size("whole") > 0)
+    own = lambda whole, value, gap: F.struct(
+        F.when(value == "", whole).otherwise(value).alias("candidate"),
+        F.when(value == "", gap).otherwise(F.concat(gap, F.left(whole, F.length(whole) - F.length(value)))).alias("left"),
+    )
+    each = found.select("doc_id", "text_hash", "path", F.transform(F.arrays_zip("whole", "value", F.slice("gaps", 1, F.size("whole")).alias("gap")), lambda x: own(x["whole"], x["value"], x["gap"])).alias("c"), F.element_at("gaps", -1).alias("rest"))
+    # A candidate's context goes on beyond the candidates beside it, so that it holds their key.
+    side = F.struct(F.lit("").alias("candidate"), F.lit("").alias("left"))
+    end = F.struct(F.lit("").alias("candidate"), F.col("rest").alias("left"))
+    n = F.size("c")
+    three = F.arrays_zip(F.col("c").alias("own"), F.concat(F.array(side), F.slice("c", 1, n - 1)).alias("last"), F.concat(F.slice("c", 2, n), F.array(end)).alias("next"), F.slice(F.concat(F.slice("c", 2, n), F.array(end, side)), 2, n).alias("then"))
+    cut = F.transform(
+        three,
+        lambda x: F.struct(
+            x["own"]["candidate"].alias("candidate"),
+            F.length(x["own"]["left"]).alias("gap"),
+            F.right(F.concat(F.right(x["last"]["left"], F.lit(CONTEXT)), x["last"]["candidate"], x["own"]["left"]), F.lit(CONTEXT)).alias("before"),
+            F.left(F.concat(x["next"]["left"], x["next"]["candidate"], F.left(x["then"]["left"], F.lit(CONTEXT))), F.lit(CONTEXT)).alias("after"),
+        ),
+    )
+    return each.select("doc_id", "text_hash", "path", F.posexplode(cut).alias("number", "c")).select("doc_id", "text_hash", "number", "path", "c.*")
 
 
 def scan(documents: DataFrame, labelled: DataFrame | None = None, path: str = "path") -> DataFrame:

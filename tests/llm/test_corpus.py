@@ -148,6 +148,25 @@ def test_secrets_are_found_and_redacted(spark):
     assert key not in secrets.redact(docs).where("doc_id = 1").first()["text"]
 
 
+SHORT_SECRETS = [
+    ('password = "%s"', "Tr0ub4dor3"), ("db password: %s", "hunter2x9"), ('pw = "%s"', "S3cure!pass#2024word"), ("use %s now", "qWmZkPxLvBnRtYhGfDsAcEjKuIoQ"), ("API_KEY=%s", "9f8e24be64439e3e49cf46b2d7c90f36"),
+    ("user=bob;password=%s;host=db", "hunter2x9"), ("MY_VERY_LONG_SECRET_NAME=%s", "kQ8#zzv1"), ("--database-password %s run", "kW3!xx9p"), ("the auth token %s, then", "abc123zq"),
+]
+
+
+def test_secrets_of_any_form_are_found(spark):
+    """Short values, any characters, no digits, dotenv lines and keys before their values; runs of any length end in one pass."""
+    hard = ["x=" + "a;" * 50000, "x=" + "))" * 50000 + "z", "pass " * 20000, "a-" * 100000, 'password: "' + "a" * 100000]
+    plain = ["He said: something else, and the token that was lost", "password: none", "date: 2024-01-02", "----------------", "type = string"]
+    rows = [(k, form % value, "conf/app.py") for k, (form, value) in enumerate(SHORT_SECRETS)] + [(100 + k, t, "a.md") for k, t in enumerate(plain)] + [(200 + k, t, "a.md") for k, t in enumerate(hard)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    found = secrets.scan(docs.where("doc_id < 200")).where("is_secret").collect()
+    assert {(r["doc_id"], r["start"], r["candidate"]) for r in found} == {(k, form.index("%s"), value) for k, (form, value) in enumerate(SHORT_SECRETS)}
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(docs.where("doc_id < 100")).collect()}
+    assert texts == {k: form % "[secret]" for k, (form, _) in enumerate(SHORT_SECRETS)}
+    assert secrets.candidates(docs.where("doc_id >= 200")).count() >= 4
+
+
 def test_pipeline_stages(spark, folder):
     docs = _shared.table(spark, folder, "documents")
     cut = corpus_pipeline.cut_repeated_lines(spark, docs, folder)
