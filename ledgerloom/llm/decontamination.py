@@ -6,8 +6,9 @@ hashed, exploded once and joined on the hash; a hit counts only if a second, ind
 The hash set is broadcast up to MOST_BROADCAST windows, which bounds it at some 100 MB, and joined by a shuffle beyond.
 
 Defined results: null text has no words and no hits. Rows that repeat both doc_id and text are one document and give one
-row of contamination(); decontaminate() keeps or drops them alike. Items without words or without an id take no part; rows
-that repeat an item_id add windows to the same item. Extra columns of the inputs are ignored.
+row of contamination(); decontaminate() keeps or drops them alike. Items without words take no part; rows that repeat
+an item_id add windows to the same item. Items without an id hit like others; together they are one null in item_ids, which
+op9 counts as one item and leaves out of items_sha256. Extra columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def _hashed(df: DataFrame, *keys: str) -> DataFrame:
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """hash, check, length and item_id of every distinct window of benchmark(item_id, text)."""
-    items = _hashed(sh.typed(benchmark, item_id="long", text="string").where("item_id is not null"), "item_id").where("n > 0")
+    items = _hashed(sh.typed(benchmark, item_id="long", text="string"), "item_id").where("n > 0")
     each = items.select("item_id", F.explode(_windows(F.col("hashes"), F.col("n"), F.least(F.lit(window), F.col("n")))).alias("w"))
     return each.select("w.hash", "w.check", "w.length", "item_id").distinct()
 

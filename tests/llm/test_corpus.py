@@ -167,6 +167,22 @@ def test_secrets_of_any_form_are_found(spark):
     assert secrets.candidates(docs.where("doc_id >= 200")).count() >= 4
 
 
+def test_benchmark_items_without_an_id(spark, tmp_path):
+    """They count as one item, as in the SQL, and contaminate alike."""
+    passage, other, third = (" ".join(f"{c}{k}" for k in range(12)) for c in "xyz")
+    docs = [(1, f"a {passage} b"), (2, f"{other} c {passage}"), (3, f"{third} and {passage} and {other}"), (4, "clean words only")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, passage), (None, other), (7, third)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with duckdb.connect() as db:
+        for table in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        expected = sorted(db.execute(queries.ORACLE_SQL["op9_decontamination"]).fetchall())
+    got = sorted(tuple(r) for r in queries.op9_decontamination(spark, str(tmp_path)).collect())
+    assert got == expected and [(r[2], r[3]) for r in got] == [(12, 1), (24, 1), (36, 2), (0, 0)]
+    clean = corpus_pipeline.drop_contaminated(spark, _shared.table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert [r["doc_id"] for r in clean.collect()] == [4]
+
+
 def test_pipeline_stages(spark, folder):
     docs = _shared.table(spark, folder, "documents")
     cut = corpus_pipeline.cut_repeated_lines(spark, docs, folder)
