@@ -1,26 +1,48 @@
-"""Rows that several branches of a plan read."""
+"""Rows that several branches read, as tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where the session names no shared folder, as in tests.
+#: Only for a local master whose session names no shared folder, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
+    """The application's folder below spark.checkpoint.dir. On a cluster that setting is required: a folder of one machine would lose rows."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: master {master} needs a folder that all executors share")
+        base = LOCAL_FOLDER
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder that all executors share: made once, and no lost executor takes any of it along.
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df as a Parquet table in the shared folder: made once, and no lost executor takes any of it along.
 
     It also ends the plan below: each branch then starts from a scan that it prunes and filters for itself, where Catalyst
-    would otherwise analyse and compute everything below once for every branch.
+    would otherwise analyse and compute everything below once for every branch. The table goes when the application ends,
+    or with clear().
     """
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, jvm_path = _file_system(spark, path)
+    system.deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has kept. Frames made from them can't be read any more."""
+    system, jvm_path = _file_system(spark, shared_folder(spark))
+    system.delete(jvm_path, True)
