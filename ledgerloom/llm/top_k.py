@@ -1,40 +1,55 @@
 """Exact top-k search by inner product over a pivot-distance index.
 
 Vectors become integers, floor(1024 * x). A bounded sample of rows gives the pivots; every vector is keyed by its nearest
-pivot and its distance to it, and a range-partitioned sort by (pivot, distance, id) cuts each pivot's cell into annuli of at
-most BLOCK vectors, so a hot pivot or a vector with many copies only makes more annuli. A query first meets its own annulus,
-which gives a bound: with 2 q.x = |q|^2 + |x|^2 - d(q, x)^2 and the triangle inequality, only distances to pivot p within
-r = sqrt(|q|^2 + max|x|^2 - 2 * bound) of d(q, p) can hold a better score. Queries go in blocks; the annuli that meet some
-query's interval are visited from the nearest outwards, each query's bound rises on the way, and annuli out of its reach are
-passed over. Every pruning step is strict, so ties are never lost, and scores are exact integers.
-
-Defined results: vectors that are null or empty, that hold a null or non-finite component or one beyond 64-bit integers, and
-rows with a null vec_id take no part. Vectors meet only vectors of their own length. Rows with the query's own vec_id are
-not its candidates; other repeated rows are candidates like any others. Ties go to the smaller vec_id. Fewer candidates than
-k: all of them. Extra columns are ignored.
+pivot and its distance to it, and a range-partitioned sort by (pivot, distance, id) cuts each pivot's cell into annuli of
+bounded size, so a hot pivot or a vector with many copies only makes more annuli. An annulus also knows the least and the
+largest distance of its vectors to every other pivot.
+
+A query first meets its own annulus, which gives a bound: its k-th best score there. With 2 q.x = |q|^2 + |x|^2 - d(q, x)^2,
+only vectors within r = sqrt(|q|^2 + max|x|^2 - 2 * bound) of q can reach the bound, and by the triangle inequality an annulus
+whose distances to any pivot p are more than r away from d(q, p) holds none. Queries are broadcast in batches of at most
+QUERY_BYTES and go to the annuli, which never move: each task expands its annuli outwards from every query, nearest first,
+raises the query's bound on the way and stops at the first one out of reach. What is shuffled is at most k rows for each
+query and task. Every pruning step is strict, so ties are never lost, and scores are exact integers.
+
+How much is pruned depends on the data: annuli of clusters are narrow, but vectors without structure in many dimensions are
+all about equally far apart, and no triangle inequality tells them from each other. The share of (query, annulus) pairs that
+were visited is logged at level INFO.
+
+Defined results: vectors that are null or empty, that hold a null or non-finite component, or whose squared length (as
+integers) is 2^62 or more, so that a score might not fit 64 bits, take no part, nor do rows with a null vec_id. Vectors meet
+only vectors of their own length. Rows with the query's own vec_id are not its candidates; other repeated rows are candidates
+like any others, and a repeated query row is a query of its own. Ties go to the smaller vec_id. Fewer candidates than k: all
+of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import _shared as sh
 
 SCALE = 1024
 #: The pivots are this many rows, the first by hash of their id.
-PIVOTS = 32
-BLOCK, QUERIES = 4096, 256
-#: A query block's annuli are visited by so many tasks.
-PARTS = 4
+PIVOTS = 64
+#: An annulus has at most so many vectors and so many bytes of them.
+BLOCK, BLOCK_BYTES = 2048, 1 << 20
+#: Queries of one pass over the annuli: so many bytes are collected and broadcast at a time.
+QUERY_BYTES = 16 << 20
+#: Annuli that a task expands together, and queries that meet an annulus together.
+RUN, TOGETHER = 16, 512
 #: Distances are floats; bounds are widened by this share of the vectors' lengths, above their rounding up to 10,000 dimensions.
 SLACK = 2e-6
 NO_BOUND = np.iinfo(np.int64).min
+LONGEST = 2.0**62
+LOG = logging.getLogger(__name__)
 
 
 def integers(column: pa.Array) -> list[np.ndarray | None]:
@@ -43,14 +58,14 @@ def integers(column: pa.Array) -> list[np.ndarray | None]:
         v = None
         if x.is_valid and len(x.values) and not x.values.null_count:
             f = np.floor(x.values.to_numpy(zero_copy_only=False).astype(np.float64) * SCALE)
-            if np.isfinite(f).all() and np.abs(f).max() < 2.0**62:
+            if np.isfinite(f).all() and np.abs(f).max() < 2.0**31 and f @ f < LONGEST:
                 v = f.astype(np.int64)
         out.append(v)
     return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two integer matrices."""
+    """Exact inner products of the rows of two integer matrices whose squared lengths are below LONGEST."""
     largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if largest < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
@@ -62,6 +77,10 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0))
 
 
+def squares(a: np.ndarray) -> np.ndarray:
+    return (a.astype(np.float64) ** 2).sum(1)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     if len(scores) > k:
@@ -71,16 +90,73 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return place[np.lexsort((ids[place], -scores[place]))[:k]]
 
 
-def top_k(vectors: DataFrame, k: int, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id and score for each row of vectors that is_query holds for, against all rows."""
-    sh.require(vectors, id_column, vector_column)
-    plain = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where("vec_id is not null and v is not null")
+def reach(norms: np.ndarray, norm: float, bound: np.ndarray) -> np.ndarray:
+    """How far from each query a vector of at most that squared length may be for a score that reaches the bound."""
+    squared = np.where(bound == NO_BOUND, np.inf, norms + norm - 2 * bound.astype(np.float64))
+    return np.sqrt(np.maximum(squared, 0)) + SLACK * (1 + np.sqrt(norms + norm))
+
+
+class Queries:
+    """Queries of one length in one batch, with what was found for each so far."""
+
+    def __init__(self, rows: list[tuple], dim: int, centres: np.ndarray | None, k: int):
+        self.k = k
+        self.ids = np.concatenate([np.frombuffer(r[0], "<i8") for r in rows])
+        self.values = np.concatenate([np.frombuffer(r[1], "<i8").reshape(-1, dim) for r in rows])
+        self.bound = np.concatenate([np.frombuffer(r[2], "<i8") for r in rows]).copy()
+        self.norms = squares(self.values)
+        self.to_pivots = distances(self.values, centres) if centres is not None else np.zeros((len(self.ids), 0))
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.visited = self.pairs = 0
+
+    def expand(self, annuli: list[dict]) -> None:
+        """Meet a run of annuli, each query from its nearest on until one is out of reach."""
+        gaps = np.zeros((len(self.ids), len(annuli)))
+        norms = np.array([a["norm"] for a in annuli])
+        for i, a in enumerate(annuli):
+            if self.to_pivots.shape[1]:
+                gaps[:, i] = np.maximum(np.maximum(a["low"] - self.to_pivots, self.to_pivots - a["high"]).max(1), 0)
+        order = np.argsort(gaps, axis=1, kind="stable")
+        going = np.arange(len(self.ids))
+        self.pairs += gaps.size
+        for turn in range(len(annuli)):
+            now = order[going, turn]
+            going = going[gaps[going, now] <= reach(self.norms[going], norms.max(), self.bound[going])]  # later ones are farther yet
+            now = order[going, turn]
+            for i in np.unique(now).tolist():
+                near = going[now == i]
+                near = near[gaps[near, i] <= reach(self.norms[near], norms[i], self.bound[near])]
+                self.visited += len(near)
+                for a in range(0, len(near), TOGETHER):
+                    self.meet(near[a : a + TOGETHER], annuli[i])
+
+    def meet(self, places: np.ndarray, annulus: dict) -> None:
+        ids = annulus["ids"]
+        scores = products(self.values[places], annulus["values"])
+        ok = (scores >= self.bound[places, None]) & (ids[None, :] != self.ids[places, None])
+        for j in np.flatnonzero(ok.any(1)).tolist():
+            q = int(places[j])
+            s, i = scores[j, ok[j]], ids[ok[j]]
+            if q in self.found:
+                s, i = np.concatenate([self.found[q][0], s]), np.concatenate([self.found[q][1], i])
+            place = best(s, i, self.k)
+            self.found[q] = s[place], i[place]
+            if len(place) == self.k:
+                self.bound[q] = max(self.bound[q], s[place[-1]])
+
+
+def _pivots(plain: DataFrame) -> dict[int, np.ndarray]:
+    """Distinct vectors of the first PIVOTS rows by hash, by length."""
     pivots: dict[int, list[np.ndarray]] = {}
     sample = plain.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).toArrow()
     for v in integers(sample.column("v").combine_chunks()) if sample.num_rows else []:
         if v is not None and not any((v == x).all() for x in pivots.get(len(v), [])):
             pivots.setdefault(len(v), []).append(v)
-    centres = {dim: np.array(x) for dim, x in pivots.items()}
+    return {dim: np.array(x) for dim, x in pivots.items()}
+
+
+def index(plain: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """The annuli of plain(vec_id, v, query): sorted runs of vectors of one cell, with their distances to all pivots."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,19 +179,17 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, id_column: str = "vec_id
                 )
 
     def annuli(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of at most BLOCK sorted vectors of one cell."""
-        part, made, held = TaskContext.get().partitionId(), 0, []  # type: ignore[union-attr]
+        held: list[pa.RecordBatch] = []
 
-        def block() -> pa.RecordBatch:
-            nonlocal made, held
+        def annulus() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            dim, distance = t.column("dim")[0].as_py(), t.column("distance").to_numpy()
+            held.clear()
+            dim = t.column("dim")[0].as_py()
             m = sh.binary_rows(t.column("values"), "<i8", dim)
-            norm = float((m.astype(np.float64) ** 2).sum(1).max())
-            ids, query = (sh.binary_array(np.asarray(t.column(c).to_numpy(zero_copy_only=False)).astype(kind)[None, :]) for c, kind in (("vec_id", "<i8"), ("query", "u1")))
-            row = [pa.array([x], kind) for x, kind in (((part << 32) + made, pa.int64()), (dim, pa.int32()), (t.column("pivot")[0].as_py(), pa.int32()), (float(distance.min()), pa.float64()), (float(distance.max()), pa.float64()), (norm, pa.float64()), (any(t.column("query").to_pylist()), pa.bool_()))]
-            made, held = made + 1, []
-            return pa.RecordBatch.from_arrays([*row, ids, query, sh.binary_array(m.reshape(1, -1))], names=["block", "dim", "pivot", "low", "high", "norm", "asks", "ids", "query", "values"])
+            d = distances(m, centres[dim]) if dim in centres else np.zeros((len(m), 0))
+            ids, query = (np.asarray(t.column(c).to_numpy(zero_copy_only=False)).astype(kind) for c, kind in (("vec_id", "<i8"), ("query", "u1")))
+            plain_values = [pa.array([x], kind) for x, kind in ((dim, pa.int32()), (float(squares(m).max()), pa.float64()), (bool(query.any()), pa.bool_()))]
+            return pa.RecordBatch.from_arrays([*plain_values, *(sh.binary_array(x.reshape(1, -1)) for x in (d.min(0), d.max(0), ids, query, m))], names=["dim", "norm", "asks", "low", "high", "ids", "query", "values"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -123,98 +197,112 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, id_column: str = "vec_id
             cell = np.stack([batch.column(c).to_numpy() for c in ("dim", "pivot")], 1)
             cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                most = max(1, min(BLOCK, BLOCK_BYTES // (8 * int(cell[x, 0]))))
                 if held and (held[-1].column("dim")[0].as_py(), held[-1].column("pivot")[0].as_py()) != tuple(cell[x].tolist()):
-                    yield block()
-                for z in range(x, y, BLOCK):
-                    piece = batch.slice(z, min(BLOCK, y - z))
-                    if held and sum(b.num_rows for b in held) + piece.num_rows > BLOCK:
-                        yield block()
-                    held.append(piece)
+                    yield annulus()
+                while x < y:
+                    room = most - sum(b.num_rows for b in held)
+                    held.append(batch.slice(x, min(room, y - x)))
+                    x += held[-1].num_rows
+                    if sum(b.num_rows for b in held) == most:
+                        yield annulus()
         if held:
-            yield block()
+            yield annulus()
 
     columns = "vec_id long, query boolean, dim int, pivot int, distance double, values binary"
-    in_order = plain.mapInArrow(keyed, columns).repartitionByRange("dim", "pivot", "distance", "vec_id").sortWithinPartitions("dim", "pivot", "distance", "vec_id")
-    blocks = sh.written(in_order.mapInArrow(annuli, "block long, dim int, pivot int, low double, high double, norm double, asks boolean, ids binary, query binary, values binary"), "annuli")
-    cells = {(r.dim, r.pivot): r for r in blocks.groupBy("dim", "pivot").agg(F.max("norm").alias("norm")).collect()}  # at most PIVOTS and one for each length
+    order = ("dim", "pivot", "distance", "vec_id")
+    in_order = plain.mapInArrow(keyed, columns).repartitionByRange(*order).sortWithinPartitions(*order)
+    return sh.written(in_order.mapInArrow(annuli, "dim int, norm double, asks boolean, low binary, high binary, ids binary, query binary, values binary"), "annuli")
+
+
+def _asked(blocks: DataFrame, k: int) -> DataFrame:
+    """The queries of each annulus, each with the bound that its own annulus gives."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Query blocks with each query's bound from its own annulus, and the interval of distances that the block may need of each cell."""
         for batch in batches:
             for r in batch.to_pylist():
                 ids, m = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["values"], "<i8").reshape(-1, r["dim"])
                 at = np.flatnonzero(np.frombuffer(r["query"], "u1"))
-                for n, first in enumerate(range(0, len(at), QUERIES)):
-                    q = at[first : first + QUERIES]
-                    bound = np.full(len(q), NO_BOUND)
-                    for j, scores in enumerate(products(m[q], m)):
-                        scores = scores[ids != ids[q[j]]]
+                bound = np.full(len(at), NO_BOUND)
+                for first in range(0, len(at), TOGETHER):
+                    for j, scores in enumerate(products(m[at[first : first + TOGETHER]], m), first):
+                        scores = scores[ids != ids[at[j]]]
                         if len(scores) >= k:
                             bound[j] = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    norms = (m[q].astype(np.float64) ** 2).sum(1)
-                    to_pivots = distances(m[q], centres[r["dim"]]) if r["dim"] in centres else None
-                    for (dim, pivot), cell in cells.items():
-                        if dim != r["dim"]:
-                            continue
-                        low, high = -np.inf, np.inf
-                        if pivot >= 0:
-                            reach = _reach(norms, cell.norm, bound)
-                            low, high = float((to_pivots[:, pivot] - reach).min()), float((to_pivots[:, pivot] + reach).max())
-                        yield pa.RecordBatch.from_arrays(
-                            [*(pa.array([x], kind) for x, kind in ((r["block"] * 65536 + n, pa.int64()), (dim, pa.int32()), (pivot, pa.int32()), (low, pa.float64()), (high, pa.float64()), (float(np.median(to_pivots[:, pivot])) if pivot >= 0 else 0.0, pa.float64()))),
-                             *(sh.binary_array(x[None, :]) for x in (ids[q], m[q].reshape(-1), bound))],
-                            names=["asked", "dim", "pivot", "from", "to", "middle", "q_ids", "q_values", "q_bounds"],
-                        )
-
-    asked = sh.written(blocks.where("asks").mapInArrow(ask, "asked long, dim int, pivot int, `from` double, to double, middle double, q_ids binary, q_values binary, q_bounds binary"), "asked")
-    meets = (F.col("low") <= F.col("to")) & (F.col("high") >= F.col("from"))
-    gap = F.greatest(F.col("low") - F.col("middle"), F.col("middle") - F.col("high"), F.lit(0.0))
-    light = asked.select("asked", "dim", "pivot", "from", "to", "middle").join(blocks.select("block", "dim", "pivot", "low", "high"), ["dim", "pivot"]).where(meets).select("asked", "block", gap.alias("gap"), F.pmod(F.xxhash64("block"), F.lit(PARTS)).alias("part"))
-    payload = asked.groupBy("asked").agg(*(F.max(c).alias(c) for c in ("q_ids", "q_values", "q_bounds")))
-    work = light.join(blocks.drop("query", "asks"), "block").join(payload, "asked").repartition("asked", "part").sortWithinPartitions("asked", "part", "gap", "block")
+                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), *(sh.binary_array(x.reshape(1, -1)) for x in (ids[at], m[at], bound))], names=["dim", "ids", "values", "bounds"])
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found, query = None, None, None
+    return sh.written(blocks.where("asks").select("dim", "ids", "query", "values").mapInArrow(ask, "dim int, ids binary, values binary, bounds binary"), "asked")
 
-        def told() -> pa.RecordBatch:
-            rows = [(now[0], j, query[0][j], i, s) for j, (scores, ids) in enumerate(found) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["asked", "place", "query_id", "vec_id", "score"])
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if now != (r["asked"], r["part"]):
-                    if now is not None:
-                        yield told()
-                    now = r["asked"], r["part"]
-                    q = np.frombuffer(r["q_values"], "<i8").reshape(-1, r["dim"])
-                    query = np.frombuffer(r["q_ids"], "<i8"), q, np.frombuffer(r["q_bounds"], "<i8").copy(), (q.astype(np.float64) ** 2).sum(1), distances(q, centres[r["dim"]]) if r["dim"] in centres else None
-                    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query[0]]
-                q_ids, q, bound, norms, to_pivots = query
-                near = np.arange(len(q_ids))
-                if r["pivot"] >= 0:
-                    d = to_pivots[:, r["pivot"]]
-                    away = np.maximum(np.maximum(r["low"] - d, d - r["high"]), 0)
-                    near = np.flatnonzero(away <= _reach(norms, r["norm"], bound))
-                if not len(near):
+def _batches(asked: DataFrame) -> Iterator[list[Row]]:
+    """Rows of asked, of which each has at most an annulus's bytes, in batches of about QUERY_BYTES. The driver holds one batch."""
+    held, size = [], 0
+    for row in asked.toLocalIterator():
+        held.append(row)
+        size += len(row["values"])
+        if size >= QUERY_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _visited(blocks: DataFrame, batch: list[Row], number: int, centres: dict[int, np.ndarray], k: int) -> DataFrame:
+    """For each query of the batch (asked, place) at most k rows from each task; and a row without a query with the pairs visited and all pairs."""
+    by_dim: dict[int, list[tuple]] = {}
+    for row in batch:
+        by_dim.setdefault(row["dim"], []).append((bytes(row["ids"]), bytes(row["values"]), bytes(row["bounds"])))
+    shared = blocks.sparkSession.sparkContext.broadcast(by_dim)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = {dim: Queries(rows, dim, centres.get(dim), k) for dim, rows in shared.value.items()}
+        runs: dict[int, list[dict]] = {dim: [] for dim in queries}
+        for arrow in batches:
+            for at in range(arrow.num_rows):
+                r = arrow.slice(at, 1).to_pylist()[0]
+                if r["dim"] not in runs:
                     continue
-                ids, m = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["values"], "<i8").reshape(-1, r["dim"])
-                for j, scores in zip(near.tolist(), products(q[near], m), strict=True):
-                    ok = (scores >= bound[j]) & (ids != q_ids[j])
-                    if ok.any():
-                        s, i = np.concatenate([found[j][0], scores[ok]]), np.concatenate([found[j][1], ids[ok]])
-                        place = best(s, i, k)
-                        found[j] = s[place], i[place]
-                        if len(place) == k:
-                            bound[j] = max(bound[j], found[j][0][-1])
-        if now is not None:
-            yield told()
-
-    candidates = work.mapInArrow(visit, "asked long, place long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "asked", "place").orderBy(F.desc("score"), "vec_id")
-    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _reach(norms: np.ndarray, norm: float, bound: np.ndarray) -> np.ndarray:
-    """How far from d(q, p) a distance to the pivot p may be for a score that reaches the bound."""
-    squared = np.where(bound == NO_BOUND, np.inf, norms + norm - 2 * bound.astype(np.float64))
-    return np.sqrt(np.maximum(squared, 0)) + SLACK * (1 + np.sqrt(norms + norm))
+                own = {"norm": r["norm"], "ids": np.frombuffer(r["ids"], "<i8"), "values": np.frombuffer(r["values"], "<i8").reshape(-1, r["dim"])}
+                runs[r["dim"]].append(own | {c: np.frombuffer(r[c], "<f8") for c in ("low", "high")})
+                if len(runs[r["dim"]]) == RUN:
+                    queries[r["dim"]].expand(runs[r["dim"]])
+                    runs[r["dim"]] = []
+        for dim, run in runs.items():
+            if run:
+                queries[dim].expand(run)
+        for dim, own in queries.items():
+            n = [len(s) for s, _ in own.found.values()]
+            place = np.repeat(np.array(list(own.found), np.int64), n)
+            none = np.zeros(0, np.int64)
+            scores, ids = (np.concatenate([none, *(x[c] for x in own.found.values())]) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(place), number)), pa.array(np.full(len(place), dim), pa.int32()), pa.array(place), pa.array(own.ids[place]), pa.array(ids), pa.array(scores)], names=["asked", "dim", "place", "query_id", "vec_id", "score"]
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((number, pa.int64()), (dim, pa.int32()), (None, pa.int64()), (None, pa.int64()), (own.visited, pa.int64()), (own.pairs, pa.int64()))], names=["asked", "dim", "place", "query_id", "vec_id", "score"])
+
+    out = sh.written(blocks.drop("query", "asks").mapInArrow(visit, "asked long, dim int, place long, query_id long, vec_id long, score long"), "found")
+    shared.unpersist()
+    return out
+
+
+def top_k(vectors: DataFrame, k: int, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id and score for each row of vectors that is_query holds for, against all rows."""
+    sh.require(vectors, id_column, vector_column)
+    plain = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where("vec_id is not null and v is not null")
+    centres = _pivots(plain)
+    blocks = index(plain, centres)
+    found = [_visited(blocks, batch, number, centres, k) for number, batch in enumerate(_batches(_asked(blocks, k)))]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    candidates = reduce(DataFrame.union, found)
+    if LOG.isEnabledFor(logging.INFO):
+        LOG.info("%d of %d (query, annulus) pairs visited", *visits(candidates))
+    order = Window.partitionBy("query_id", "asked", "dim", "place").orderBy(F.desc("score"), "vec_id")
+    ranked = candidates.where("place is not null").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def visits(candidates: DataFrame) -> tuple[int, int]:
+    """How many (query, annulus) pairs were visited, and how many there are."""
+    row = candidates.where("place is null").agg(F.sum("vec_id"), F.sum("score")).first()
+    return row[0] or 0, row[1] or 0
