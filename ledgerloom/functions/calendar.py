@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import blank, let, stripped
+from ledgerloom.functions.text import TEXT
 
 #: Day 0 of spreadsheet serial dates.
 EPOCH = "1899-12-30"
@@ -18,10 +18,6 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
 
 
-def to_date(c: Column) -> Column:
-    return let(F.when(~blank(c), stripped(c)), _date_of)
-
-
 def _date_of(text: Column) -> Column:
     serial = F.date_add(F.lit(EPOCH).cast("date"), F.regexp_extract(text, r"^(\d{5,6})(\.0+)?$", 1).try_cast("int"))
     part = lambda pattern, k: F.regexp_extract(text, pattern, k)
@@ -30,12 +26,20 @@ def _date_of(text: Column) -> Column:
     first, second = part(_DAY_FIRST, 1), part(_DAY_FIRST, 2)
     day_first = F.coalesce(_date(full_year, second, first), _date(full_year, first, second))
     return (
-        F.when(text.rlike(r"^\d{5,6}(\.0+)?$"), serial)
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))  # the usual form first
+        .when(text.rlike(r"^\d{5,6}(\.0+)?$"), serial)
         .when(text.rlike(_YEAR_FIRST), _date(part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 2), part(_YEAR_FIRST, 3)))
         .when(text.rlike(_DAY_FIRST), day_first)
     )
 
 
+DATE = TEXT.then(_date_of)
+
+
+def to_date(c: Column) -> Column:
+    return DATE(c)
+
+
 def report_date(file_name: Column) -> Column:
     """The first dd.mm.yyyy (also with - or _) in a file name; null if there is none or no such day."""
     pattern = r"(\d{2})[.\-_](\d{2})[.\-_](\d{4})"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import blank, fold, let, stripped
+from ledgerloom.functions.text import FOLD, FOLDED_TEXT, TEXT, Rule, blank, without_space
 
 #: Fixed values.
 BAD_LENGTH = "AUTORIZACAO_TAMANHO_INVALIDO"
@@ -15,71 +15,92 @@ MODALITIES = (("CREDITO", "CREDIT"), ("DEBITO", "DEBIT"), ("PIX", "PIX"))
 
 NO_LEADING_ZEROS = r"^0+(?=.)"
 
+#: Upper case, without white space and a spreadsheet's trailing .0; null if blank.
+IDENTIFIER = TEXT.then(lambda own: F.upper(without_space(F.regexp_replace(own, r"\.0+$", ""))))
+
 
 def identifier(c: Column) -> Column:
-    """Upper case, without white space and a spreadsheet's trailing .0; null if blank."""
-    return F.when(~blank(c), F.upper(F.regexp_replace(F.regexp_replace(stripped(c), r"\.0+$", ""), r"(?U)\s+", "")))
+    return IDENTIFIER(c)
 
 
-def authorization(c: Column, keep_alphanumeric: bool = False) -> Column:
+def authorization_rule(keep_alphanumeric: bool = False) -> Rule:
     """struct(value, error): six characters with leading zeros. A longer one stays as its identifier, with an error.
 
     keep_alphanumeric: the rule holds for digits only; other identifiers stay untouched.
     """
-    return let(identifier(c), lambda own: _authorization(own, keep_alphanumeric))
+    with_short = lambda own: F.when(own.isNotNull(), F.struct(own.alias("own"), F.regexp_replace(own, NO_LEADING_ZEROS, "").alias("short"), own.rlike("^[0-9]+$").alias("digits")))
+
+    def judged(x: Column) -> Column:
+        fits = F.length(x["short"]) <= 6
+        applies = x["digits"] if keep_alphanumeric else F.lit(True)
+        value = F.when(applies & fits, F.lpad(x["short"], 6, "0")).otherwise(x["own"])
+        return F.struct(value.alias("value"), F.when(applies & ~fits, F.lit(BAD_LENGTH)).alias("error"))
 
+    return IDENTIFIER.then(with_short, judged)
 
-def _authorization(own: Column, keep_alphanumeric: bool) -> Column:
-    short = F.regexp_replace(own, NO_LEADING_ZEROS, "")
-    fits = F.length(short) <= 6
-    value, error = F.when(fits, F.lpad(short, 6, "0")).otherwise(own), F.when(~fits, F.lit(BAD_LENGTH))
-    if keep_alphanumeric:
-        digits = own.rlike("^[0-9]+$")
-        value, error = F.when(digits, value).otherwise(own), F.when(digits, error)
-    return F.struct(value.alias("value"), error.alias("error"))
+
+def authorization(c: Column, keep_alphanumeric: bool = False) -> Column:
+    return authorization_rule(keep_alphanumeric)(c)
+
+
+NSU = IDENTIFIER.then(lambda own: F.when(own.rlike("^[0-9]+$"), F.regexp_replace(own, NO_LEADING_ZEROS, "")).otherwise(own))
 
 
 def nsu(c: Column) -> Column:
-    return let(identifier(c), lambda own: F.when(own.rlike("^[0-9]+$"), F.regexp_replace(own, NO_LEADING_ZEROS, "")).otherwise(own))
+    return NSU(c)
+
+
+#: What authorisations are joined on: digits lose all leading zeros, so one of zeros only matches nothing.
+MATCH_KEY = TEXT.then(
+    lambda own: F.regexp_replace(F.upper(without_space(own)), r"\.0+$", ""), lambda x: F.nullif(F.when(x.rlike("^[0-9]+$"), F.ltrim(x, F.lit("0"))).otherwise(x), F.lit(""))
+)
 
 
 def match_key(c: Column) -> Column:
-    """What authorisations are joined on: digits lose all leading zeros, so one of zeros only matches nothing."""
-    own = F.when(~blank(c), F.regexp_replace(F.upper(F.regexp_replace(stripped(c), r"(?U)\s+", "")), r"\.0+$", ""))
-    return let(own, lambda x: F.nullif(F.when(x.rlike("^[0-9]+$"), F.regexp_replace(x, "^0+", "")).otherwise(x), F.lit("")))
+    return MATCH_KEY(c)
 
 
-def _first_contained(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    out = F.when(text == "", F.lit(NOT_GIVEN))
-    for name, token in rules:
-        out = out.when(text.contains(token), F.lit(name))
-    return out.otherwise(F.lit(OTHER))
+def _first_contained(rules: tuple[tuple[str, str], ...]):
+    def judged(text: Column) -> Column:
+        out = F.when(text == "", F.lit(NOT_GIVEN))
+        for name, token in rules:
+            out = out.when(text.contains(token), F.lit(name))
+        return out.otherwise(F.lit(OTHER))
+
+    return judged
+
+
+BRAND, MODALITY = FOLD.then(_first_contained(BRANDS)), FOLD.then(_first_contained(MODALITIES))
 
 
 def brand(c: Column) -> Column:
-    return let(fold(c), lambda x: _first_contained(x, BRANDS))
+    return BRAND(c)
 
 
 def modality(c: Column) -> Column:
-    return let(fold(c), lambda x: _first_contained(x, MODALITIES))
+    return MODALITY(c)
 
 
-def payment_form(c: Column, operator: str = "REDE") -> Column:
+def payment_form_rule(operator: str = "REDE") -> Rule:
     """struct(operator, modality, brand, installments) of texts such as "REDE 10X MASTER"; only that operator's are parsed further."""
-    return let(F.split(F.when(~blank(c), fold(c)), " "), lambda words: _payment_form(words, operator))
-
-
-def _payment_form(words: Column, operator: str) -> Column:
-    word = lambda k: F.get(words, F.lit(k))
-    known = F.coalesce(word(0) == operator, F.lit(False))
-    times = F.regexp_extract(word(1), r"^(\d+)X$", 1)
-    debit, credit = known & (word(1) == "DEBITO"), known & (times != "")
-    return F.struct(
-        F.nullif(word(0), F.lit("")).alias("operator"),
-        F.when(debit, F.lit("DEBITO")).when(credit, F.lit("CREDITO")).alias("modality"),
-        F.when(debit | credit, F.when(word(2).isNotNull(), brand(word(2)))).alias("brand"),
-        F.when(debit, F.lit(1)).when(credit, times.try_cast("int")).alias("installments"),
-    )
+
+    def parsed(words: Column) -> Column:
+        word = lambda k: F.get(words, F.lit(k))
+        known = F.coalesce(word(0) == operator, F.lit(False))
+        times = F.regexp_extract(word(1), r"^(\d+)X$", 1)
+        debit, credit = known & (word(1) == "DEBITO"), known & (times != "")
+        return F.struct(
+            F.nullif(word(0), F.lit("")).alias("operator"),
+            F.when(debit, F.lit("DEBITO")).when(credit, F.lit("CREDITO")).alias("modality"),
+            F.when((debit | credit) & word(2).isNotNull(), _first_contained(BRANDS)(word(2))).alias("brand"),  # folded already
+            F.when(debit, F.lit(1)).when(credit, times.try_cast("int")).alias("installments"),
+        )
+
+    return FOLDED_TEXT.then(lambda text: F.split(text, " "), parsed)
+
+
+def payment_form(c: Column, operator: str = "REDE") -> Column:
+    return payment_form_rule(operator)(c)
 
 
 def service_order(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import blank, let, stripped
+from ledgerloom.functions.text import TEXT, Rule
 
 #: Criteria of comparison, from the worst to the best.
 CRITERIA = ("DIVERGENCIA_PARCELAS_RESTANTES", "DADOS_PARCELA_INSUFICIENTES", "COMPATIVEL_POR_PARCELAS_RESTANTES", "EXATA")
@@ -13,18 +13,22 @@ DIFFERENT, UNKNOWN, SAME_REMAINING, EXACT = CRITERIA
 SEPARATORS = ("/", " de ", "-")
 
 
-def installment(c: Column, part: int = 0) -> Column:
+def installment_rule(part: int = 0) -> Rule:
     """The first (0) or second (1) number of texts such as "1/3" or "1 de 3"; one without a separator counts for both."""
-    return let(F.translate(F.lower(F.when(~blank(c), stripped(c))), "x", ""), lambda text: _installment(text, part))
 
+    def number(text: Column) -> Column:
+        piece = text
+        for separator in reversed(SEPARATORS):
+            before = F.substring_index(text, separator, 1)
+            own = before if part == 0 else F.substr(text, F.length(before) + len(separator) + 1)
+            piece = F.when(text.contains(separator), own).otherwise(piece)
+        return F.regexp_extract(piece, r"(\d+)", 1).try_cast("int")
+
+    return TEXT.then(lambda text: F.translate(F.lower(text), "x", ""), number)
 
-def _installment(text: Column, part: int) -> Column:
-    piece = text
-    for separator in reversed(SEPARATORS):
-        before = F.substring_index(text, separator, 1)
-        own = before if part == 0 else F.substr(text, F.length(before) + len(separator) + 1)
-        piece = F.when(text.contains(separator), own).otherwise(piece)
-    return F.regexp_extract(piece, r"(\d+)", 1).try_cast("int")
+
+def installment(c: Column, part: int = 0) -> Column:
+    return installment_rule(part)(c)
 
 
 def remaining(current: Column, total: Column) -> Column:

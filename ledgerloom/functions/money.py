@@ -5,31 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import blank, let
+from ledgerloom.functions.text import SPACE, TEXT
 
 MONEY = "decimal(28,2)"
 
 
-def to_money(c: Column) -> Column:
-    """A decimal of two places, rounded half up; null if blank or not a number. The last of "," and "." is the decimal mark."""
-    bare = F.regexp_replace(F.when(~blank(c), c.cast("string")), r"(?U)[R$\s%]", "")
-    # a bracketed number is negative; its brackets become a sign
-    signed = F.regexp_replace(F.regexp_replace(bare, r"^\((.*)\)$", "-$1"), "^--", "-")
-    value = let(signed, lambda x: let(F.regexp_replace(x, "^-", ""), lambda d: _number(d)) * F.when(x.startswith("-"), -1).otherwise(1))
-    return value.cast(MONEY)
+def _signed(c: Column) -> Column:
+    """Digits and marks with a leading "-" if negative; a bracketed number is negative."""
+    bare = F.translate(c, f"R$%{SPACE}", "")
+    return F.when(bare.startswith("(") & bare.endswith(")"), F.regexp_replace(F.regexp_replace(bare, r"^\((.*)\)$", "-$1"), "^--", "-")).otherwise(bare)
+
 
+def _parts(signed: Column) -> Column:
+    negative = signed.startswith("-")
+    digits = F.when(negative, F.substr(signed, F.lit(2))).otherwise(signed)
+    return F.when(signed.isNotNull(), F.struct(negative.alias("negative"), digits.alias("digits"), digits.contains(",").alias("comma"), digits.contains(".").alias("dot")))
 
-def _number(digits: Column) -> Column:
-    comma, dot = digits.contains(","), digits.contains(".")
+
+def _amount(x: Column) -> Column:
+    """The last of "," and "." is the decimal mark; several points without a comma are thousands."""
+    digits, comma, dot = x["digits"], x["comma"], x["dot"]
     comma_is_mark = F.instr(F.reverse(digits), ",") < F.instr(F.reverse(digits), ".")
-    with_comma = F.translate(F.translate(digits, ".", ""), ",", ".")
     number = (
         F.when(comma & dot & ~comma_is_mark, F.translate(digits, ",", ""))
-        .when(comma, with_comma)
+        .when(comma, F.translate(F.translate(digits, ".", ""), ",", "."))
         .when(dot & (F.length(digits) - F.length(F.translate(digits, ".", "")) > 1), F.translate(digits, ".", ""))
         .otherwise(digits)
     )
-    return number.try_cast(MONEY)
+    value = number.try_cast(MONEY)
+    return F.when(x["negative"], -value).otherwise(value).cast(MONEY)
+
+
+#: A decimal of two places, rounded half up; null if blank or not a number.
+AMOUNT = TEXT.then(_signed, _parts, _amount)
+
+
+def to_money(c: Column) -> Column:
+    return AMOUNT(c)
 
 
 def brazilian(c: Column) -> Column:

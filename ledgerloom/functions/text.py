@@ -1,16 +1,46 @@
-"""Blank tests, trimming and accent folding."""
+"""Rules in steps; blank tests, trimming and accent folding."""
 
 from __future__ import annotations
 
 import unicodedata
-
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts that count as missing, in any case.
 MISSING = ("", "-", "NAN", "NONE", "NAT")
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+Step = Callable[[Column], Column]
+
+
+class Rule:
+    """A scalar rule as steps, each of which may refer to its input many times.
+
+    staged() makes every step a column of its own, which code generation computes once. Called on a Column, a rule is one
+    expression; that is handy, but its inner steps are interpreted.
+    """
+
+    def __init__(self, *steps: Step):
+        self.steps = steps
+
+    def then(self, *steps: Step) -> Rule:
+        return Rule(*self.steps, *steps)
+
+    def __call__(self, c: Column) -> Column:
+        for step in self.steps:
+            c = let(c, step)
+        return c
+
+
+def staged(df: DataFrame, wanted: dict[str, tuple[Rule, Column]]) -> DataFrame:
+    """df with a column for each rule on its Column. A projection for each step: Catalyst keeps those apart whose columns are used more than once."""
+    held = {name: f"_step_{k}" for k, name in enumerate(wanted)}
+    out = df.withColumns({held[name]: c for name, (_, c) in wanted.items()})
+    for k in range(max((len(rule.steps) for rule, _ in wanted.values()), default=0)):
+        out = out.withColumns({held[name]: rule.steps[k](F.col(held[name])) for name, (rule, _) in wanted.items() if k < len(rule.steps)})
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c not in wanted), *(F.col(held[name]).alias(name) for name in wanted))
 
 
 def _folding() -> tuple[str, str]:
@@ -28,33 +58,62 @@ def _folding() -> tuple[str, str]:
 ACCENTED, PLAIN = _folding()
 
 
-def let(c: Column, body: Callable[[Column], Column]) -> Column:
+def let(c: Column, body: Step) -> Column:
     """body(c), with c evaluated once and written once into the plan however often body uses it."""
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
 def stripped(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(SPACE))
+
+
+def without_space(c: Column) -> Column:
+    return F.translate(c, SPACE, "")
 
 
 def blank(c: Column) -> Column:
     return F.coalesce(F.upper(stripped(c)).isin(*MISSING), F.lit(True))
 
 
+def _unless_missing(own: Column) -> Column:
+    return F.when(~F.upper(own).isin(*MISSING), own)
+
+
+#: The stripped text, or null if it is blank.
+TEXT = Rule(stripped, _unless_missing)
+
+
 def text_or_null(c: Column) -> Column:
     return F.when(~blank(c), stripped(c))
 
 
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 def repaired(c: Column) -> Column:
     """UTF-8 that was once read as Latin-1, read right; other text as it is."""
-    mended = let(F.encode(c, "ISO-8859-1"), lambda x: F.when(F.is_valid_utf8(x.cast("string")), F.decode(x, "UTF-8")))
+    latin = F.encode(c, "ISO-8859-1")
+    mended = F.when(F.is_valid_utf8(latin.cast("string")), F.decode(latin, "UTF-8"))
     suspect = c.rlike("[Ã�]") & c.rlike(r"^[\x00-\xFF]*$")
     return F.coalesce(F.when(suspect, mended), c)
 
 
+def _unaccented(c: Column) -> Column:
+    return F.when(_ascii(c), c).otherwise(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}", ""))
+
+
+#: Upper case without accents, runs of white space as one blank; null as the empty text.
+FOLD = Rule(
+    lambda c: stripped(F.coalesce(c.cast("string"), F.lit(""))),
+    lambda c: F.when(_ascii(c), c).otherwise(repaired(c)),
+    _unaccented,
+    lambda c: stripped(F.regexp_replace(F.upper(c), r"(?U)\s+", " ")),
+)
+#: The same, but null if the text is blank.
+FOLDED_TEXT = TEXT.then(*FOLD.steps[1:])
+
+
 def fold(c: Column) -> Column:
-    """Upper case without accents, runs of white space as one blank; null as the empty text."""
-    own = let(stripped(F.coalesce(c.cast("string"), F.lit(""))), repaired)
-    plain = F.regexp_replace(F.translate(own, ACCENTED, PLAIN), r"\p{M}", "")
-    return stripped(F.regexp_replace(F.upper(plain), r"(?U)\s+", " "))
+    return FOLD(c)

@@ -1,20 +1,25 @@
 """One-to-one assignment of ledger rows to acquirer rows of the same authorisation.
 
 Rows compete only within their own match key, so the greedy assignment (ledger rows in order, each takes its best free
-candidate) is exact when made key by key. Only the columns that scores need are gathered, one list for each side and key,
-and folded by a higher-order function inside the JVM. Rows of one authorisation that reach this step agree on their critical
-fields, so a key's lists are short in practice; a key's rows are the unit of work.
+candidate) is exact when made key by key. A key with a single ledger row has no contest: its acquirer rows are joined and
+reduced to the best one with map-side aggregation, so any number of them is fine. The rows of contested keys are sorted and
+streamed through tasks: a key's free acquirer rows are held by value, instalments, NSU and date, so that each choice takes
+a few look-ups, however many rows the key has. Each choice depends on the ones before, so a contested key is one task's work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import criterion, match_key
+from ledgerloom.functions import MATCH_KEY, criterion, staged
 from ledgerloom.functions.installments import CRITERIA
 
 TOLERANCE = "0.02"
+CENTS = 2
 SCORED = ("valor_bruto", "parcela", "numero_parcelas", "nsu", "data_venda")
 #: What became of a ledger row.
 TAKEN, NONE_FREE, SEVERAL = "taken", "none", "several"
@@ -40,26 +45,127 @@ def score(s: Column, r: Column) -> Column:
     )
 
 
+def _keyed(side: DataFrame, *more: str) -> DataFrame:
+    """auth_key and the columns that scores need, of rows that have a key."""
+    own = side.select("ord", "autorizacao", *SCORED, *more)
+    return staged(own, {"auth_key": (MATCH_KEY, F.col("autorizacao"))}).where("auth_key is not null").drop("autorizacao")
+
+
 def candidate_scores(ledger: DataFrame, acquirer: DataFrame) -> DataFrame:
-    """Every pair of rows with equal match keys, with its score."""
-    s = ledger.select(match_key(F.col("autorizacao")).alias("auth_key"), F.struct("ord", *SCORED).alias("s"))
-    r = acquirer.select(match_key(F.col("autorizacao")).alias("auth_key"), F.struct("ord", *SCORED).alias("r"))
+    """Every pair of rows with equal match keys, with its score: for inspection. assigned() makes no such pairs."""
+    s = _keyed(ledger).select("auth_key", F.struct("ord", *SCORED).alias("s"))
+    r = _keyed(acquirer).select("auth_key", F.struct("ord", *SCORED).alias("r"))
     return s.join(r, "auth_key").select("auth_key", F.col("s.ord").alias("s_ord"), F.col("r.ord").alias("r_ord"), score(F.col("s"), F.col("r")).alias("score"))
 
 
 def assigned(ledger: DataFrame, acquirer: DataFrame) -> DataFrame:
     """s_ord, r_ord and outcome of each ledger row whose key the acquirer has. ledger has _grouped."""
-    by_key = lambda df, *more: df.select(match_key(F.col("autorizacao")).alias("auth_key"), F.struct("ord", *SCORED, *more).alias("x")).where("auth_key is not null").groupBy("auth_key").agg(F.array_sort(F.collect_list("x")).alias("rows"))
-    both = by_key(ledger, "_grouped").withColumnRenamed("rows", "s_rows").join(by_key(acquirer).withColumnRenamed("rows", "r_rows"), "auth_key")
-    kind = "array<struct<s_ord:bigint,r_ord:bigint,outcome:string>>"
-
-    def step(done: Column, s: Column) -> Column:
-        free = F.filter("r_rows", lambda r: ~F.exists(done, lambda d: F.coalesce(d["r_ord"] == r["ord"], F.lit(False))))
-        several = s["_grouped"] & (F.size(free) > 1)
-        best = F.array_max(F.transform(free, lambda r: score(s, r)))
-        outcome = F.when(F.size(free) == 0, F.lit(NONE_FREE)).when(several, F.lit(SEVERAL)).otherwise(F.lit(TAKEN))
-        row = F.struct(s["ord"].alias("s_ord"), F.when(~several, -best["first"]).alias("r_ord"), outcome.alias("outcome"))
-        return F.concat(done, F.array(row)).cast(kind)
-
-    folded = F.aggregate("s_rows", F.array().cast(kind), step)
-    return both.select(F.explode(folded).alias("a")).select("a.*")
+    s, r = _keyed(ledger, "_grouped"), _keyed(acquirer)
+    by_key = s.groupBy("auth_key").agg(F.count("*").alias("n"), F.any_value(F.struct("ord", *SCORED, "_grouped")).alias("s"))
+    return _uncontested(by_key.where("n = 1").drop("n"), r).unionByName(_contested(s, r, by_key.where("n > 1").select("auth_key")))
+
+
+def _uncontested(single: DataFrame, r: DataFrame) -> DataFrame:
+    pairs = single.join(r.select("auth_key", F.struct("ord", *SCORED).alias("r")), "auth_key")
+    best = pairs.select(F.col("s.ord").alias("s_ord"), F.col("s._grouped").alias("grouped"), score(F.col("s"), F.col("r")).alias("score")).groupBy("s_ord").agg(F.count("*").alias("free"), F.max("score").alias("best"), F.any_value("grouped").alias("grouped"))
+    several = F.col("grouped") & (F.col("free") > 1)
+    return best.select("s_ord", F.when(~several, -F.col("best.first")).alias("r_ord"), F.when(several, F.lit(SEVERAL)).otherwise(F.lit(TAKEN)).alias("outcome"))
+
+
+def _contested(s: DataFrame, r: DataFrame, keys: DataFrame) -> DataFrame:
+    plain = lambda df, side, grouped: df.join(keys, "auth_key", "left_semi").select(
+        "auth_key", F.lit(side).alias("side"), "ord", (F.col("valor_bruto") * 100).cast("decimal(38,0)").alias("cents"), "parcela", "numero_parcelas", F.nullif("nsu", F.lit("")).alias("nsu"), F.unix_date("data_venda").alias("day"), grouped.alias("grouped")
+    )
+    both = plain(r, 0, F.lit(False)).unionByName(plain(s, 1, F.col("_grouped")))
+    # by a hash of the key: by the key itself, the planner may take the joins' partitions below the union for it, although adaptive execution reads them differently
+    return both.repartition(F.xxhash64("auth_key")).sortWithinPartitions("auth_key", "side", "ord").mapInArrow(_chosen, "s_ord bigint, r_ord bigint, outcome string")
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (auth_key, side, ord): a key's acquirer rows become free, then its ledger rows choose."""
+    key, free = None, Free()
+    for batch in batches:
+        out: list[tuple[int, int | None, str]] = []
+        for auth_key, side, ord_, cents, current, total, nsu, day, grouped in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if auth_key != key:
+                key, free = auth_key, Free()
+            cents = None if cents is None else int(cents)
+            if side == 0:
+                free.add(ord_, cents, current, total, nsu, day)
+            elif free.seen:
+                if not free.n:
+                    out.append((ord_, None, NONE_FREE))
+                elif grouped and free.n > 1:
+                    out.append((ord_, None, SEVERAL))
+                else:
+                    out.append((ord_, free.take(cents, current, total, nsu, day), TAKEN))
+        columns = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["s_ord", "r_ord", "outcome"])
+
+
+class Free:
+    """The free acquirer rows of one key, in queues by what a score looks at. Rows come in order, so every queue is in order too."""
+
+    def __init__(self) -> None:
+        self.seen = self.n = 0
+        self.taken: set[int] = set()
+        #: (cents, or None for all rows) -> (instalment, total) -> what else must agree -> the numbers of the rows
+        self.queues: dict[int | None, dict[tuple, dict[tuple, Queue]]] = {}
+
+    def add(self, ord_: int, cents: int | None, current: int | None, total: int | None, nsu: str | None, day: int | None) -> None:
+        self.seen += 1
+        self.n += 1
+        agree = [(None, None)]
+        agree += [(nsu, None)] if nsu is not None else []
+        agree += [(None, day)] if day is not None else []
+        agree += [(nsu, day)] if nsu is not None and day is not None else []
+        for scope in {None, cents}:
+            queues = self.queues.setdefault(scope, {}).setdefault((current, total), {})
+            for x in agree:
+                queues.setdefault(x, Queue()).rows.append(ord_)
+
+    def take(self, cents: int | None, current: int | None, total: int | None, nsu: str | None, day: int | None) -> int:
+        """The best free row; at least one is free."""
+        near = [] if cents is None else [cents + d for d in range(-CENTS, CENTS + 1)]
+        for scopes in (near, [None]):
+            ranked: dict[int, list[dict[tuple, Queue]]] = {}
+            for scope in scopes:
+                for installments, queues in self.queues.get(scope, {}).items():
+                    if queues[None, None].first(self.taken) is not None:
+                        ranked.setdefault(_rank(current, total, *installments), []).append(queues)
+            if ranked:
+                break
+        best = ranked[max(ranked)]
+        wanted = [(nsu, day)] if nsu is not None and day is not None else []
+        wanted += [(nsu, None)] if nsu is not None else []
+        wanted += [(None, day)] if day is not None else []
+        for x in [*wanted, (None, None)]:
+            found = [first for queues in best if x in queues and (first := queues[x].first(self.taken)) is not None]
+            if found:
+                break
+        self.taken.add(min(found))
+        self.n -= 1
+        return min(found)
+
+
+class Queue:
+    __slots__ = ("rows", "at")
+
+    def __init__(self) -> None:
+        self.rows: list[int] = []
+        self.at = 0
+
+    def first(self, taken: set[int]) -> int | None:
+        while self.at < len(self.rows) and self.rows[self.at] in taken:
+            self.at += 1
+        return self.rows[self.at] if self.at < len(self.rows) else None
+
+
+def _rank(current_a: int | None, total_a: int | None, current_b: int | None, total_b: int | None) -> int:
+    """The place in CRITERIA, as functions.criterion has it."""
+    remaining = [t - c if c is not None and t is not None and 0 < c <= t else None for c, t in ((current_a, total_a), (current_b, total_b))]
+    if None in remaining:
+        return 1
+    if (current_a, total_a) == (current_b, total_b):
+        return 3
+    return 2 if remaining[0] == remaining[1] else 0

@@ -1,6 +1,6 @@
 """Statuses, divergent fields, recommended actions and reasons of paired and unpaired rows, and the detail report.
 
-Rows come as two structs, s of the ledger and r of the acquirer, either of which may be null.
+Rows come as a full outer join of two aliased sides, s of the ledger and r of the acquirer; either may be absent.
 """
 
 from __future__ import annotations
@@ -85,13 +85,13 @@ def texts(*values: Column | str | None) -> Column:
     return F.array_compact(F.array(*own)).cast(TEXTS) if own else F.array().cast(TEXTS)
 
 
-def of_quality(s: Column) -> Column:
+def of_quality() -> Column:
     """Statuses that a ledger row's quality codes give."""
-    codes, weak = s["codes"], F.array(*map(F.lit, WEAK))
+    codes, weak = F.col("s.codes"), F.array(*map(F.lit, WEAK))
     return texts(
         F.when(F.size(F.array_except(codes, weak)) > 0, F.lit("ERRO_CADASTRAL_SHIFT")),
         F.when(F.exists(codes, lambda c: c.contains("DUPLICAD")), F.lit("POSSIVEL_DUPLICIDADE")),
-        F.when(s["_repeated"], F.lit("DUPLICIDADE_EXATA_SUSPEITA")),
+        F.when(F.col("s._repeated"), F.lit("DUPLICIDADE_EXATA_SUSPEITA")),
     )
 
 
@@ -118,62 +118,57 @@ def divergences() -> tuple[Column, Column, Column]:
     return texts(*fields), texts(*statuses), tolerated
 
 
-def judged_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs(s, r) by authorisation with their statuses, fields, kind of match and reason."""
-    how = pair_criterion()
+def judged(joined: DataFrame, case: Column) -> DataFrame:
+    """joined with case, statuses, fields, kind of match, reason and the like as columns _j_*. Each stage is a projection of its own."""
     fields, field_statuses, tolerated = divergences()
     is_cancelled = cancelled(F.concat_ws(" ", "s.cancelamento", "r.cancelamento"))
-    own = pairs.withColumns({"how": how, "grouped": F.col("s._grouped"), "field_names": fields, "field_statuses": field_statuses, "tolerated": tolerated, "quality": of_quality(F.col("s"))})
-    grouped, t = F.col("grouped"), F.col("tolerated")
-    of_installments = F.when(F.col("how") == DIFFERENT, F.lit("DIVERGENCIA_PARCELA")).when(F.col("how") == UNKNOWN, F.lit(UNKNOWN)).when(F.col("how") == SAME_REMAINING, F.lit("CONCILIADO_COM_PARCELA_COMPATIVEL_POR_RESTANTES"))
-    plain = F.concat("quality", texts(of_installments), "field_statuses", texts(F.when(is_cancelled, F.lit("CANCELAMENTO_CONTESTACAO"))))
+    j = lambda name: F.col(f"_j_{name}")
+    first = {"case": case, "how": pair_criterion(), "field_names": fields, "field_statuses": field_statuses, "tolerated": tolerated, "quality": F.when(F.col("s.ord").isNotNull(), of_quality()).otherwise(texts()), "cancelled": is_cancelled}
+    own = joined.withColumns({f"_j_{k}": v for k, v in first.items()})
+
+    # pairs by authorisation
+    grouped, t = F.col("s._grouped"), j("tolerated")
+    of_installments = F.when(j("how") == DIFFERENT, F.lit("DIVERGENCIA_PARCELA")).when(j("how") == UNKNOWN, F.lit(UNKNOWN)).when(j("how") == SAME_REMAINING, F.lit("CONCILIADO_COM_PARCELA_COMPATIVEL_POR_RESTANTES"))
+    plain = F.concat(j("quality"), texts(of_installments), j("field_statuses"), texts(F.when(j("cancelled"), F.lit("CANCELAMENTO_CONTESTACAO"))))
+    own = own.withColumns({"_j_found": plain, "_j_all_fields": F.concat(texts(F.when(j("how") == DIFFERENT, F.lit("parcela"))), j("field_names"))})
     values = F.array(F.lit("DIVERGENCIA_VALOR_BRUTO"), F.lit("DIVERGENCIA_VALOR_LIQUIDO"))
-    own = own.withColumn("plain", plain).withColumn(
-        "plain", F.when(grouped & F.arrays_overlap("plain", values), F.concat(F.filter("plain", lambda x: ~F.array_contains(values, x)), texts(GROUP_VALUE))).otherwise(F.col("plain"))
-    )
-    nothing = F.size("plain") == 0
+    of_group = F.when(grouped & F.arrays_overlap(j("found"), values), F.concat(F.filter(j("found"), lambda x: ~F.array_contains(values, x)), texts(GROUP_VALUE))).otherwise(j("found"))
+    own = own.withColumns({"_j_found": of_group, "_j_others": F.filter(j("all_fields"), lambda x: ~x.isin("valor_bruto", "data_venda"))})
+    nothing = F.size(j("found")) == 0
     final = (
         F.when(nothing & grouped & t, texts(GROUP_MATCHED, TOLERATED))
         .when(nothing & grouped, texts(GROUP_MATCHED))
         .when(nothing & t, texts(TOLERATED_ALONE))
-        .when(t, F.concat("plain", texts(TOLERATED)))
+        .when(t, F.concat(j("found"), texts(TOLERATED)))
         .when(nothing, texts(MATCHED))
-        .otherwise(F.col("plain"))
+        .otherwise(j("found"))
     )
-    all_fields = F.concat(texts(F.when(F.col("how") == DIFFERENT, F.lit("parcela"))), "field_names")
-    blocked = grouped & (F.col("how") == DIFFERENT)  # a group whose instalments don't fit
-    others = F.filter(all_fields, lambda x: ~x.isin("valor_bruto", "data_venda"))
+    blocked = grouped & (j("how") == DIFFERENT)  # a group whose instalments don't fit
     reason = F.lit(None).cast("string")
     for name, text in REASON_OF_INSTALLMENTS.items():
-        reason = F.when(F.col("how") == name, F.lit(text)).otherwise(reason)
+        reason = F.when(j("how") == name, F.lit(text)).otherwise(reason)
     by_auth = F.concat_ws(
         " ", F.lit("Autorização compatível."), reason,
-        F.when(F.array_contains(all_fields, "valor_bruto"), F.lit("Valor bruto divergente.")),
-        F.when(F.array_contains(all_fields, "data_venda"), F.lit("Data da venda divergente.")),
-        F.when(F.size(others) > 0, F.concat(F.lit("Outros campos divergentes: "), F.array_join(others, ", "), F.lit("."))),
-    )
-    return own.select(
-        "s", "r",
-        F.when(blocked, F.concat("quality", texts(GROUP_AMBIGUOUS))).otherwise(final).alias("statuses"),
-        F.when(blocked, texts("parcela")).otherwise(all_fields).alias("fields"),
-        F.when(blocked, F.lit(GROUP_AMBIGUOUS)).when(grouped, F.lit(BY_GROUP)).otherwise(F.lit(BY_AUTH)).alias("match_type"),
-        F.when(blocked, F.lit(REASONS["group_installments"])).when(grouped, F.lit(REASONS[BY_GROUP])).otherwise(by_auth).alias("reason"),
-        F.col("how").alias("criterion"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("alert"), F.lit(None).cast("boolean").alias("unique"), F.col("s.ord").alias("emit"), F.lit(0).alias("stage"),
+        F.when(F.array_contains(j("all_fields"), "valor_bruto"), F.lit("Valor bruto divergente.")),
+        F.when(F.array_contains(j("all_fields"), "data_venda"), F.lit("Data da venda divergente.")),
+        F.when(F.size(j("others")) > 0, F.concat(F.lit("Outros campos divergentes: "), F.array_join(j("others"), ", "), F.lit("."))),
     )
 
+    # the other cases have fixed outputs
+    by_case = lambda k, kind: F.coalesce(*(F.when(j("case") == name, F.lit(row[k]).cast(kind)) for name, row in CASES.items()), F.lit(None).cast(kind))
+    fixed = F.concat(F.when(j("case").isin(CONFLICTING, LEFT_OVER), texts()).otherwise(j("quality")), F.split(by_case(1, "string"), ","))
+    fixed_fields = F.filter(F.split(by_case(2, "string"), ","), lambda x: x != "")
 
-def judged_others(rows: DataFrame) -> DataFrame:
-    """rows(s, r, case) that aren't pairs by authorisation: unique pairs of the second stage, and rows of one side."""
-    quality = F.when(F.col("s").isNotNull(), of_quality(F.col("s"))).otherwise(texts())
-    no_quality = F.col("case").isin(CONFLICTING, LEFT_OVER)
-    by_case = lambda k, kind: F.coalesce(*(F.when(F.col("case") == case, F.lit(row[k]).cast(kind)) for case, row in CASES.items()), F.lit(None).cast(kind))
-    own = F.split(by_case(1, "string"), ",")
-    fields = F.filter(F.split(by_case(2, "string"), ","), lambda x: x != "")
-    return rows.select(
-        "s", "r", F.concat(F.when(no_quality, texts()).otherwise(quality), own).cast(TEXTS).alias("statuses"), fields.cast(TEXTS).alias("fields"), by_case(0, "string").alias("match_type"), by_case(3, "string").alias("reason"),
-        F.when(F.col("case") == fallback.REVIEW, pair_criterion()).alias("criterion"), by_case(5, "string").alias("level"), by_case(6, "string").alias("alert"), by_case(7, "boolean").alias("unique"),
-        F.coalesce("s.ord", "r.ord").alias("emit"), by_case(4, "int").alias("stage"),
-    )
+    pair = j("case") == PAIRED
+    out = {
+        "statuses": F.when(pair, F.when(blocked, F.concat(j("quality"), texts(GROUP_AMBIGUOUS))).otherwise(final)).otherwise(fixed).cast(TEXTS),
+        "fields": F.when(pair, F.when(blocked, texts("parcela")).otherwise(j("all_fields"))).otherwise(fixed_fields).cast(TEXTS),
+        "match_type": F.when(pair, F.when(blocked, F.lit(GROUP_AMBIGUOUS)).when(grouped, F.lit(BY_GROUP)).otherwise(F.lit(BY_AUTH))).otherwise(by_case(0, "string")),
+        "reason": F.when(pair, F.when(blocked, F.lit(REASONS["group_installments"])).when(grouped, F.lit(REASONS[BY_GROUP])).otherwise(by_auth)).otherwise(by_case(3, "string")),
+        "criterion": F.when(pair | (j("case") == fallback.REVIEW), j("how")), "level": by_case(5, "string"), "alert": by_case(6, "string"), "unique": by_case(7, "boolean"),
+        "emit": F.coalesce("s.ord", "r.ord"), "stage": F.when(pair, F.lit(0)).otherwise(by_case(4, "int")),
+    }
+    return own.withColumns({f"_j_{k}": v for k, v in out.items()})
 
 
 def action(statuses: Column) -> Column:
@@ -187,18 +182,20 @@ def action(statuses: Column) -> Column:
 def detail(rows: DataFrame) -> DataFrame:
     """The detail report, a row for each judged row; stage and emit give its order."""
     s, r = lambda c: F.col(f"s.{c}"), lambda c: F.col(f"r.{c}")
-    has_s, has_r = F.col("s").isNotNull(), F.col("r").isNotNull()
-    statuses = F.array_distinct("statuses")
-    joined, todo = F.array_join(statuses, " + "), action(statuses)
+    has_s, has_r = F.col("s.ord").isNotNull(), F.col("r.ord").isNotNull()
+    rows = rows.withColumn("_j_statuses", F.array_distinct("_j_statuses"))
+    statuses = F.col("_j_statuses")
+    rows = rows.withColumns({"_j_joined": F.array_join(statuses, " + "), "_j_todo": action(statuses)})
+    joined, todo = F.col("_j_joined"), F.col("_j_todo")
     n_lines = F.when(has_s, F.coalesce(s("_linhas_agrupadas_shift"), F.lit(1)))
     grouped = lambda c, single: F.when(has_s, F.coalesce(s(c), single.cast("string")))
     line_ids = grouped("_rows_agrupadas", s("_row"))
-    known = F.col("criterion").isNotNull()
+    known = F.col("_j_criterion").isNotNull()
     out = {
-        "tipo_correspondencia": F.col("match_type"), "criterio_match": F.col("match_type"), "status_comparacao": joined, "status_conciliacao": joined,
-        "campos_divergentes": F.array_join(F.array_distinct("fields"), ", "), "sugestao_acao": todo, "acao_recomendada": todo, "motivo": F.col("reason"), "criterio_parcela": F.col("criterion"),
+        "tipo_correspondencia": F.col("_j_match_type"), "criterio_match": F.col("_j_match_type"), "status_comparacao": joined, "status_conciliacao": joined,
+        "campos_divergentes": F.array_join(F.array_distinct("_j_fields"), ", "), "sugestao_acao": todo, "acao_recomendada": todo, "motivo": F.col("_j_reason"), "criterio_parcela": F.col("_j_criterion"),
         "parcelas_restantes_shift": F.when(known, remaining(s("parcela"), s("numero_parcelas"))), "parcelas_restantes_rede": F.when(known, remaining(r("parcela"), r("numero_parcelas"))),
-        "parcelas_compativeis": F.when(known, F.col("criterion").isin(EXACT, SAME_REMAINING)), "nivel_confianca": F.col("level"), "criterio_alerta": F.col("alert"), "unico_candidato": F.col("unique"),
+        "parcelas_compativeis": F.when(known, F.col("_j_criterion").isin(EXACT, SAME_REMAINING)), "nivel_confianca": F.col("_j_level"), "criterio_alerta": F.col("_j_alert"), "unico_candidato": F.col("_j_unique"),
         "houve_agrupamento_shift": F.coalesce(s("_linhas_agrupadas_shift") > 1, F.lit(False)), "linhas_shift_agrupadas": n_lines, "ids_linhas_shift": line_ids,
         "codigos_conta_shift": grouped("_codigos_conta_agrupados", s("codigo_conta")), "codigos_registro_shift": grouped("_codigos_registro_agrupados", s("codigo_registro")),
         "autorizacoes_originais_shift": grouped("_autorizacoes_originais_agrupadas", s("raw_autorizacao")),
@@ -223,4 +220,4 @@ def detail(rows: DataFrame) -> DataFrame:
         out[f"autorizacao_{prefix}_original"], out[f"autorizacao_{prefix}_normalizada"] = out[f"{prefix}_autorizacao_original"], out[f"{prefix}_autorizacao_normalizado"]
         for short, f in (("valor_bruto", "valor_bruto"), ("valor_liquido", "valor_liquido"), ("data_venda", "data_venda"), ("modalidade", "modalidade"), ("bandeira", "bandeira"), ("parcela", "parcela"), ("qtd_parcelas", "numero_parcelas")):
             out[f"{short}_{prefix}"] = out[f"{prefix}_{f}_normalizado"]
-    return rows.select("stage", "emit", statuses.alias("statuses"), *(c.alias(name) for name, c in out.items()))
+    return rows.select(F.col("_j_stage").alias("stage"), F.col("_j_emit").alias("emit"), statuses.alias("statuses"), *(c.alias(name) for name, c in out.items()))

@@ -28,27 +28,36 @@ def _signature(fields: tuple[str, ...]) -> Column:
     return F.to_json(F.struct(*(F.col(f).cast("string").alias(f) for f in fields)), {"ignoreNullFields": "false"})
 
 
-def flagged(ledger: DataFrame) -> DataFrame:
-    """Rows with _ambiguous (their authorisation has rows that differ in critical fields) and _repeated (exact duplicates)."""
-    signed = keep(ledger.withColumns({"_critical": _signature(CRITICAL), "_same": _signature(REPEATED)}))
-    per_auth = signed.groupBy("autorizacao").agg(F.count("*").alias("n"), (F.min("_critical") != F.max("_critical")).alias("_ambiguous")).where("n > 1")
-    repeats = signed.groupBy(F.col("autorizacao").alias("_auth"), F.col("_same").alias("_key")).agg(F.count("*").alias("copies")).where("copies > 1")
-    judged = signed.join(per_auth.select(F.col("autorizacao").alias("_of"), "_ambiguous"), F.col("autorizacao").eqNullSafe(F.col("_of")), "left")
-    judged = judged.join(repeats, F.col("autorizacao").eqNullSafe(F.col("_auth")) & (F.col("_same") == F.col("_key")), "left")
+def _marks(ledger: DataFrame) -> DataFrame:
+    """ord, _ambiguous (its authorisation has rows that differ in critical fields), _repeated (an exact duplicate) and _group (null for single rows).
+
+    Only signatures and keys are written and moved; ledger's wide rows are joined by ord where they are needed.
+    """
+    signed = keep(ledger.select("ord", "autorizacao", "os_shift", _signature(CRITICAL).alias("_critical"), _signature(REPEATED).alias("_same"), _signature(("autorizacao", *CRITICAL)).alias("_key")), "signed")
+    per_auth = signed.groupBy(F.col("autorizacao").alias("_of")).agg(F.count("*").alias("n"), (F.min("_critical") != F.max("_critical")).alias("_ambiguous")).where("n > 1 and _ambiguous").drop("n")
+    repeats = signed.groupBy(F.col("autorizacao").alias("_auth"), F.col("_same").alias("_twin")).agg(F.count("*").alias("copies")).where("copies > 1")
+    judged = signed.join(per_auth, F.col("autorizacao").eqNullSafe(F.col("_of")), "left")
+    judged = judged.join(repeats, F.col("autorizacao").eqNullSafe(F.col("_auth")) & (F.col("_same") == F.col("_twin")), "left")
     ambiguous = F.coalesce("_ambiguous", F.lit(False))
-    return judged.select(*ledger.columns, ambiguous.alias("_ambiguous"), (F.col("copies").isNotNull() & ~ambiguous).alias("_repeated"))
+    judged = judged.select("ord", "os_shift", "_key", ambiguous.alias("_ambiguous"), (F.col("copies").isNotNull() & ~ambiguous).alias("_repeated"))
+    sizes = judged.where("not _ambiguous").groupBy(F.col("_key").alias("_group")).agg(F.count("*").alias("n"), F.count_distinct("os_shift").alias("orders")).where("n > 1 and orders > 1").select("_group")
+    return keep(judged.join(sizes, (F.col("_key") == F.col("_group")) & ~F.col("_ambiguous"), "left").select("ord", "_ambiguous", "_repeated", "_group"), "marks")
+
+
+def flagged(ledger: DataFrame) -> DataFrame:
+    """Rows with _ambiguous and _repeated."""
+    return ledger.join(_marks(ledger).drop("_group"), "ord")
 
 
 def consolidated(ledger: DataFrame) -> DataFrame:
-    """Rows after consolidation, with _grouped, _linhas_agrupadas_shift and the lists of what each group holds (null for single rows)."""
-    rows = flagged(ledger)
-    keys = ["autorizacao", *CRITICAL]
-    key = _signature(tuple(keys))
-    rows = keep(rows.withColumn("_group", key))
+    """Rows after consolidation, with _grouped, _linhas_agrupadas_shift and the lists of what each group holds (null for single rows).
+
+    The lists are part of the result: a group's rows, those of one authorisation that is split over service orders, meet in one task.
+    """
+    rows = ledger.join(_marks(ledger), "ord")
     listed = lambda c: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("ord", F.col(c).cast("string").alias("v")))), lambda x: x["v"].isNotNull()), lambda x: x["v"])
     own = [c for c in rows.columns if c not in ("_group", *SUMMED)]
-    sizes = rows.where("not _ambiguous").groupBy("_group").agg(F.count("*").alias("n"), F.count_distinct("os_shift").alias("orders")).where("n > 1 and orders > 1").select("_group")
-    grouped = rows.join(sizes, "_group", "left_semi").groupBy("_group").agg(
+    grouped = rows.where("_group is not null").groupBy("_group").agg(
         F.min_by(F.struct(*own), "ord").alias("first"),
         *(F.sum(c).cast(MONEY).alias(c) for c in SUMMED),
         F.count("*").alias("_linhas_agrupadas_shift"),
@@ -57,5 +66,5 @@ def consolidated(ledger: DataFrame) -> DataFrame:
     merged = grouped.select("first.*", *SUMMED, "_linhas_agrupadas_shift", *LISTS).withColumns(
         {"ord": F.col("ord") + AFTER, "_grouped": F.lit(True), "_criterio_agrupamento": F.lit(CRITERION), "_motivo_agrupamento": F.lit(WHY)}
     )
-    single = rows.join(sizes, "_group", "left_anti").drop("_group").withColumn("_grouped", F.lit(False))
+    single = rows.where("_group is null").drop("_group").withColumn("_grouped", F.lit(False))
     return single.unionByName(merged, allowMissingColumns=True)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import criterion
 from ledgerloom.functions.installments import EXACT, SAME_REMAINING
-from ledgerloom.operators.assign import tolerance
+from ledgerloom.operators.assign import CENTS, tolerance
+from ledgerloom.operators.keeping import keep
 
 KEY = ("valor_bruto", "data_venda", "modalidade", "bandeira")
 #: Fixed values.
@@ -21,7 +22,7 @@ def normal_sale() -> Column:
 
 
 def candidates(pending: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs (s_ord, r_ord): equal keys without nulls, net values within tolerance, compatible instalments, a normal sale."""
+    """Pairs (s_ord, r_ord): equal keys without nulls, net values within tolerance, compatible instalments, a normal sale. For inspection; classified() makes none."""
     own = ("ord", "valor_liquido", "parcela", "numero_parcelas")
     s = pending.dropna(subset=[*KEY, "valor_liquido"]).select(*KEY, *(F.col(c).alias(f"s_{c}") for c in own))
     r = pool.where(normal_sale()).dropna(subset=[*KEY, "valor_liquido"]).select(*KEY, *(F.col(c).alias(f"r_{c}") for c in own))
@@ -30,13 +31,26 @@ def candidates(pending: DataFrame, pool: DataFrame) -> DataFrame:
     return s.join(r, list(KEY)).where(near & compatible).select("s_ord", "r_ord")
 
 
-def classified(pairs: DataFrame) -> DataFrame:
+def classified(pending: DataFrame, pool: DataFrame) -> DataFrame:
     """s_ord, r_ord and kind of each ledger row with candidates: REVIEW with its row if both have only each other, else AMBIGUOUS.
 
-    Rows are counted on each side with map-side aggregation; a pair is unique if both counts are 1.
+    No pairs are made of rows: rows that agree in all that is compared are one class with their number, counted with map-side
+    aggregation, and classes meet on the key and the net value's cents, so a hot key gives as many pairs as it has
+    different values. A pair of rows is unique if either class finds one row only.
     """
-    per_s = pairs.groupBy("s_ord").agg(F.count("*").alias("n"), F.min("r_ord").alias("r_ord"))
-    single_r = pairs.groupBy("r_ord").agg(F.count("*").alias("m")).where("m = 1")
-    judged = per_s.join(single_r, "r_ord", "left")
-    unique = (F.col("n") == 1) & F.col("m").isNotNull()
-    return judged.select("s_ord", F.when(unique, F.col("r_ord")).alias("r_ord"), F.when(unique, F.lit(REVIEW)).otherwise(F.lit(AMBIGUOUS)).alias("kind"))
+    net = (F.col("valor_liquido") * 100).cast("decimal(38,0)")
+    same = [*KEY, "cents", "parcela", "numero_parcelas"]
+    sale = lambda df: df.dropna(subset=[*KEY, "valor_liquido"]).withColumn("cents", net).select("ord", *same)
+    s, r = sale(pending), sale(pool.where(normal_sale()))
+    classes = lambda df, x: df.groupBy(*same).agg(F.count("*").alias(f"n_{x}"), F.min("ord").alias(f"{x}_ord")).withColumnsRenamed({c: f"{x}_{c}" for c in same if c not in KEY})
+    near = F.explode(F.array(*((F.col("s_cents") + d).cast("decimal(38,0)") for d in range(-CENTS, CENTS + 1))))
+    met = classes(s, "s").withColumn("r_cents", near).join(classes(r, "r"), [*KEY, "r_cents"])
+    compatible = criterion(F.col("s_parcela"), F.col("s_numero_parcelas"), F.col("r_parcela"), F.col("r_numero_parcelas")).isin(EXACT, SAME_REMAINING)
+    met = keep(met.where(compatible).select("s_ord", "r_ord", "n_s", "n_r"), "classes")  # the least row stands for its class
+    per_s = met.groupBy("s_ord").agg(F.sum("n_r").alias("found"), F.min("r_ord").alias("r_ord"))
+    per_r = met.groupBy("r_ord").agg(F.sum("n_s").alias("asked"))
+    judged = per_s.join(per_r, "r_ord").select(F.col("s_ord").alias("first"), F.when((F.col("found") == 1) & (F.col("asked") == 1), F.col("r_ord")).alias("r_ord"))
+    members = s.select("ord", *same)
+    firsts = members.groupBy(*same).agg(F.min("ord").alias("first")).join(judged, "first").withColumnsRenamed({c: f"of_{c}" for c in same})
+    agree = [F.col(c) == F.col(f"of_{c}") for c in (*KEY, "cents")] + [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("parcela", "numero_parcelas")]
+    return members.join(firsts, agree).select(F.col("ord").alias("s_ord"), "r_ord", F.when(F.col("r_ord").isNotNull(), F.lit(REVIEW)).otherwise(F.lit(AMBIGUOUS)).alias("kind"))

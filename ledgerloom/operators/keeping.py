@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: Wide rows make one generated method too large for the JVM to compile: below this limit Spark splits it. A union's partitions
+#: must not stand for a shuffle: its inputs may be read in other partitions than planned.
+OWN_SETTINGS = {"spark__sql__codegen__hugeMethodLimit": "8000", "spark__sql__unionOutputPartitioning": "false"}
+
+
+@contextmanager
+def settings(spark: SparkSession, **own: str) -> Iterator[None]:
+    """Session settings (dots written as __) for the jobs inside; afterwards as before."""
+    names = {name.replace("__", "."): value for name, value in own.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
@@ -36,7 +57,8 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, **OWN_SETTINGS):
+        df.write.parquet(path)
     system, jvm_path = _file_system(spark, path)
     system.deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

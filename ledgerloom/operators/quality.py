@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,15 @@ def cancelled(c: Column) -> Column:
 
 
 def with_duplicates(rows: DataFrame) -> DataFrame:
-    """A boolean column for each kind of duplicate. Counts are aggregated map-side; only repeated keys are joined back."""
+    """A boolean column for each kind of duplicate.
+
+    Counts are aggregated map-side, rows with null keys stay out, and what is repeated is joined back by ord, which is unique:
+    no key can be hot there.
+    """
     kept = keep(rows)
-    rows = kept
-    for code, keys in DUPLICATES.items():
-        full = kept.dropna(subset=list(keys))
-        repeated = full.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.lit(True).alias(code))
-        rows = rows.join(repeated, list(keys), "left").withColumn(code, F.coalesce(code, F.lit(False)))
-    return rows
+    marked = [kept.dropna(subset=list(keys)).join(kept.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), list(keys), "left_semi").select("ord", F.lit(code).alias("code")) for code, keys in DUPLICATES.items()]
+    marks = reduce(DataFrame.union, marked).groupBy("ord").agg(*(F.bool_or(F.col("code") == code).alias(code) for code in DUPLICATES))
+    return kept.join(marks, "ord", "left").withColumns({code: F.coalesce(code, F.lit(False)) for code in DUPLICATES})
 
 
 def with_codes(ledger: DataFrame) -> DataFrame:

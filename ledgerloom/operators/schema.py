@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import authorization, blank, brand, fold, installment, modality, nsu, payment_form, service_order, text_or_null, to_date, to_money
+from ledgerloom import functions as L
+from ledgerloom.functions.codes import NOT_GIVEN
 from ledgerloom.functions.money import MONEY
 
 ACQUIRER, LEDGER = "rede", "shift"
@@ -72,32 +73,31 @@ def normalized(df: DataFrame, source: str, mapping: dict[str, str], fields: tupl
     if source not in (ACQUIRER, LEDGER):
         raise ValueError(f"source: {source!r} is neither {ACQUIRER!r} nor {LEDGER!r}")
     raw = {f: _optional(df, mapping.get(f)) for f in fields}
-    out: dict[str, Column] = {"_source": F.lit(source), "_row": F.col("_line") + 2}
-    for field, c in raw.items():
-        out[f"raw_{field}"] = c
-        if field == "autorizacao":
-            out["autorizacao"], out["autorizacao_erro"] = authorization(c)["value"], authorization(c)["error"]
-        elif field == "nsu":
-            out[field] = nsu(c)
-        elif field in MONEY_COLUMNS:
-            out[field] = to_money(c)
-        elif field in DATE_COLUMNS:
-            out[field] = to_date(c)
-        elif field == "bandeira":
-            out[field] = brand(c)
-        elif field == "modalidade":
-            out[field] = modality(c)
-        elif field == "parcela":
-            out[field] = installment(c)
-        elif field == "numero_parcelas":
-            out[field] = F.coalesce(installment(c, 1), installment(raw["parcela"], 1))
-        elif field in ("cancelamento", "status"):
-            out[field] = fold(c)
-        else:
-            out[field] = F.when(~blank(c), fold(c))
-    out["raw_valor_bruto"] = F.coalesce(raw["valor_bruto_atualizado"], raw["valor_bruto_original"])
-    own = df.select("ord", *carried, *(c.alias(name) for name, c in out.items()))
-    return own.withColumn("valor_bruto", F.coalesce("valor_bruto_atualizado", "valor_bruto_original"))
+    wide = df.select("ord", *carried, (F.col("_line") + 2).alias("_row"), *(c.alias(f"raw_{f}") for f, c in raw.items()))
+    given = {f for f in fields if mapping.get(f) in df.columns}
+    rules = {f: (_rule(f), F.col(f"raw_{f}")) for f in fields if f in given} | {"_second": (L.installment_rule(1), F.col("raw_parcela"))}
+    own = L.staged(wide, rules).withColumns({f: _absent(f) for f in fields if f not in given})
+    fixed = {
+        "_source": F.lit(source), "autorizacao": F.col("autorizacao.value"), "autorizacao_erro": F.col("autorizacao.error"), "numero_parcelas": F.coalesce("numero_parcelas", "_second"),
+        "raw_valor_bruto": F.coalesce("raw_valor_bruto_atualizado", "raw_valor_bruto_original"), "valor_bruto": F.coalesce("valor_bruto_atualizado", "valor_bruto_original"),
+    }
+    return own.select(*(c for c in own.columns if c not in fixed and c != "_second"), *(c.alias(name) for name, c in fixed.items()))
+
+
+def _absent(field: str) -> Column:
+    """What the rules make of a missing column."""
+    kind = "struct<value:string,error:string>" if field == "autorizacao" else MONEY if field in MONEY_COLUMNS else "date" if field in DATE_COLUMNS else "int" if field in ("parcela", "numero_parcelas") else "string"
+    fixed = {"bandeira": NOT_GIVEN, "modalidade": NOT_GIVEN, "cancelamento": "", "status": ""}
+    return F.lit(fixed.get(field)).cast(kind)
+
+
+def _rule(field: str) -> L.Rule:
+    if field in MONEY_COLUMNS:
+        return L.AMOUNT
+    if field in DATE_COLUMNS:
+        return L.DATE
+    own = {"autorizacao": L.authorization_rule(), "nsu": L.NSU, "bandeira": L.BRAND, "modalidade": L.MODALITY, "parcela": L.installment_rule(), "numero_parcelas": L.installment_rule(1), "cancelamento": L.FOLD, "status": L.FOLD}
+    return own.get(field, L.FOLDED_TEXT)
 
 
 #: Headers of the ledger's financial report.
@@ -107,8 +107,11 @@ TEXTS_OF_REPORT = {
     "empresa": "Empresa", "descricao_credor_devedor": "Descrição Credor/Devedor", "codigo_conta": "Código da conta",
     "codigo_registro": "Código do registro", "codigo_classificacao": "Código Classificação", "descricao_classificacao": "Descriçao Classificação",
     "origem_conta": "Origem da conta", "lote_caixa": "Lote de caixa", "tipo_documento": "Tipo de documento", "tipo_conta": "Tipo da conta",
-    "competencia": "Competência", "cnpj_credor_devedor": "C.N.P.J Credor/Devedor",
+    "competencia": "Competência", "cnpj_credor_devedor": "C.N.P.J Credor/Devedor", "documento_shift": "Número do documento",
 }
+DAYS_OF_REPORT = {"data_vencimento": "Vencimento", "data_emissao": "Data de emissão", "data_lancamento": "Data do lançamento", "data_previsao": "Data previsão"}
+#: What a reader adds to the report's rows.
+CARRIED_OF_REPORT = ("arquivo", "origem_id")
 
 
 def check_report(columns: list[str]) -> None:
@@ -123,39 +126,41 @@ def normalized_report(df: DataFrame) -> DataFrame:
     """The canonical form of the ledger's financial report, with the alerts that its rows raise."""
     check_report(df.columns)
     col = lambda name: _optional(df, name)
-    auth, gross, form = col("Nro autorização cartão"), col("Valor bruto"), col("Forma de pagamento/cobrança")
-    own_auth, parsed = authorization(auth, keep_alphanumeric=True), payment_form(form)
-    current, total, inferred = installment(col("Número da parcela")), installment(col("Quantidade de parcelas")), parsed["installments"]
+    line = F.col("_source_line") if "_source_line" in df.columns else F.col("_line") + 2
+    raw = {
+        "raw_autorizacao": "Nro autorização cartão", "raw_valor_bruto": "Valor bruto", "raw_valor_liquido": "Valor líquido", "raw_valor_desconto": "Desconto", "raw_forma_pagamento": "Forma de pagamento/cobrança",
+        "raw_especie": "Espécie", "raw_parcela": "Número da parcela", "raw_numero_parcelas": "Quantidade de parcelas", "raw_descricao": "Descrição",
+    }
+    wide = df.select("ord", *(c for c in CARRIED_OF_REPORT if c in df.columns), line.alias("_row"), *(col(header).alias(name) for name, header in raw.items()), *(col(header).alias(f"_raw_{k}") for k, header in enumerate(DAYS_OF_REPORT.values())), *(col(header).alias(f"_text_{name}") for name, header in TEXTS_OF_REPORT.items()))
+    given = lambda name: F.col(f"raw_{name}")
+    rules = {
+        "_auth": (L.authorization_rule(keep_alphanumeric=True), given("autorizacao")), "valor_bruto": (L.AMOUNT, given("valor_bruto")), "valor_liquido": (L.AMOUNT, given("valor_liquido")), "valor_desconto": (L.AMOUNT, given("valor_desconto")),
+        "_form": (L.payment_form_rule(), given("forma_pagamento")), "forma_pagamento": (L.FOLDED_TEXT, given("forma_pagamento")), "especie": (L.FOLDED_TEXT, given("especie")), "descricao": (L.TEXT, given("descricao")),
+        "_current": (L.installment_rule(), given("parcela")), "_total": (L.installment_rule(), given("numero_parcelas")),
+        **{name: (L.DATE, F.col(f"_raw_{k}")) for k, name in enumerate(DAYS_OF_REPORT)}, **{name: (L.TEXT, F.col(f"_text_{name}")) for name in TEXTS_OF_REPORT},
+    }
+    own = L.staged(wide, rules)
+    current, total, inferred = F.col("_current"), F.col("_total"), F.col("_form.installments")
     neither = current.isNull() & total.isNull()
-    issued, record, description = to_date(col("Data de emissão")), col("Código do registro"), col("Descrição")
     alert = lambda when, code: F.when(when, F.lit(code))
     alerts = F.array_compact(
         F.array(
-            alert(blank(auth), "AUTORIZACAO_VAZIA"),
-            F.when(to_money(gross).isNull(), F.when(blank(gross), F.lit("VALOR_VAZIO")).otherwise(F.lit("VALOR_BRUTO_INVALIDO"))),
+            alert(L.blank(given("autorizacao")), "AUTORIZACAO_VAZIA"),
+            F.when(F.col("valor_bruto").isNull(), F.when(L.blank(given("valor_bruto")), F.lit("VALOR_VAZIO")).otherwise(F.lit("VALOR_BRUTO_INVALIDO"))),
             alert(F.lit("Forma de pagamento/cobrança" not in df.columns), "FORMA_PAGAMENTO_AUSENTE"),
             alert(neither & inferred.isNull(), "PARCELAMENTO_NAO_IDENTIFICADO"),
             alert(~neither & (total != inferred), "DIVERGENCIA_PARCELAMENTO_FORMA_PAGAMENTO"),
         )
     )
-    line = F.col("_source_line") if "_source_line" in df.columns else F.col("_line") + 2
-    none = F.lit(None)
+    issued, none = F.col("data_emissao"), F.lit(None)
     out = {
-        "_source": F.lit(LEDGER), "_row": line, "origem": F.lit("SHIFT"), "_alertas_normalizacao": alerts,
-        "raw_autorizacao": auth, "autorizacao": own_auth["value"], "autorizacao_erro": own_auth["error"],
-        "raw_valor_bruto": gross, "valor_bruto": to_money(gross), "raw_valor_liquido": col("Valor líquido"), "valor_liquido": to_money(col("Valor líquido")),
-        "raw_valor_desconto": col("Desconto"), "valor_desconto": to_money(col("Desconto")),
-        "raw_forma_pagamento": form, "forma_pagamento": F.when(~blank(form), fold(form)), "operadora": parsed["operator"], "modalidade": parsed["modality"], "bandeira": parsed["brand"],
-        "parcelas_inferidas_da_forma": inferred, "raw_especie": col("Espécie"), "especie": F.when(~blank(col("Espécie")), fold(col("Espécie"))),
-        "raw_parcela": col("Número da parcela"), "raw_numero_parcelas": col("Quantidade de parcelas"),
+        "_source": F.lit(LEDGER), "origem": F.lit("SHIFT"), "_alertas_normalizacao": alerts, "autorizacao": F.col("_auth.value"), "autorizacao_erro": F.col("_auth.error"),
+        "operadora": F.col("_form.operator"), "modalidade": F.col("_form.modality"), "bandeira": F.col("_form.brand"), "parcelas_inferidas_da_forma": inferred,
         "parcela": F.when(neither & inferred.isNotNull(), F.lit(1)).otherwise(current), "numero_parcelas": F.when(neither, inferred).otherwise(total),
-        "raw_descricao": description, "descricao": text_or_null(description),
-        "os_shift": F.coalesce(service_order(description), service_order(record), text_or_null(record)),
-        "documento_shift": text_or_null(col("Número do documento")), "possivel_nsu": text_or_null(col("Número do documento")),
-        "data_vencimento": to_date(col("Vencimento")), "_comparar_data_vencimento": F.lit(False),
-        "data_emissao": issued, "data_lancamento": to_date(col("Data do lançamento")), "data_previsao": to_date(col("Data previsão")),
+        "os_shift": F.coalesce(L.service_order(F.col("raw_descricao")), L.service_order(F.col("_text_codigo_registro")), F.col("codigo_registro")),
+        "possivel_nsu": F.col("documento_shift"), "_comparar_data_vencimento": F.lit(False),
         "data_venda": issued, "data_shift_usada_para_match": issued, "campo_data_shift_usado": F.lit("Data de emissão"),
-        **{name: text_or_null(col(header)) for name, header in TEXTS_OF_REPORT.items()},
         **{name: none.cast(COMMON[name]) for name in ("nsu", "data_recebimento", "cancelamento", "status", "estabelecimento", "lote", "valor_mdr")},
     }
-    return df.select("ord", *(c.alias(name) for name, c in out.items()))
+    helpers = {"_auth", "_form", "_current", "_total", *(f"_raw_{k}" for k in range(len(DAYS_OF_REPORT))), *(f"_text_{name}" for name in TEXTS_OF_REPORT)}
+    return own.select(*(c for c in own.columns if c not in helpers), *(c.alias(name) for name, c in out.items()))

@@ -60,39 +60,38 @@ def row_counts(result: Result) -> DataFrame:
     return rollup._turned(one.select("*", grouped), "bigint")
 
 
-def match(acquirer: DataFrame, ledger: DataFrame, check_empty: bool = True) -> Result:
-    """Match canonical sides (schema.acquirer and schema.ledger complete them)."""
+def match(acquirer: DataFrame, ledger: DataFrame, check_empty: bool = True, kept: bool = False) -> Result:
+    """Match canonical sides (schema.acquirer and schema.ledger complete them). kept: both are tables already, which several branches may read.
+
+    Sides have a unique ord of 0 or more.
+    """
     a, original = schema.acquirer(acquirer), schema.ledger(ledger)
+    if not kept:
+        a, original = keep(a, "acquirer"), keep(original, "ledger")
     if check_empty:
         no_a, no_l = a.isEmpty(), original.isEmpty()
         if no_a or no_l:
             who = "Os dois arquivos estão vazios" if no_a and no_l else "O arquivo da Rede está vazio" if no_a else "O arquivo do Shift está vazio"
             raise ValueError(f"{who} ou a aba selecionada não contém dados válidos.")
-    # both sides and the assignment feed several branches
-    a = keep(a)
-    original = keep(original)
-    rows = keep(quality.with_codes(consolidate.consolidated(original)))
+    rows = keep(quality.with_codes(consolidate.consolidated(original)), "rows")
     clear = rows.where("not _ambiguous")
-    outcome = keep(assign.assigned(clear, a))
+    outcome = keep(assign.assigned(clear, a), "outcome")
     settled = outcome.where(F.col("outcome") != assign.NONE_FREE).select(F.col("s_ord").alias("ord"))
     taken = outcome.where("r_ord is not null").select(F.col("r_ord").alias("ord"))
     # the second stage begins when every key has been assigned
     pending = clear.where("not _grouped").join(settled, "ord", "left_anti")
-    pool = keep(a.join(taken, "ord", "left_anti"))
-    kinds = keep(fallback.classified(fallback.candidates(pending, pool)))
+    kinds = keep(fallback.classified(pending, a.join(taken, "ord", "left_anti")), "kinds")
 
-    # each ledger row with its case and its acquirer row, if it has one; then the acquirer rows that are left
+    # each ledger row with its case and its acquirer row, if it has one; a full outer join adds the acquirer rows that are left
     first = outcome.select(F.col("s_ord").alias("ord"), F.col("r_ord").alias("_first"), "outcome")
     second = kinds.select(F.col("s_ord").alias("ord"), F.col("r_ord").alias("_second"), "kind")
     case = (
         F.when(F.col("_ambiguous"), F.lit(classify.CONFLICTING)).when(F.col("outcome") == assign.SEVERAL, F.lit(classify.SEVERAL)).when(F.col("outcome") == assign.TAKEN, F.lit(classify.PAIRED))
         .when(F.col("_grouped"), F.lit(classify.GROUP_ALONE)).otherwise(F.coalesce("kind", F.lit(fallback.NOTHING)))
     )
-    of_ledger = rows.join(first, "ord", "left").join(second, "ord", "left").select(F.struct(*rows.columns).alias("s"), case.alias("case"), F.coalesce("_first", "_second").alias("r_ord"))
-    of_acquirer = lambda df: df.select(F.struct(*a.columns).alias("r"), F.col("ord").alias("r_ord"))
-    left = of_acquirer(pool).join(kinds.where("r_ord is not null").select("r_ord"), "r_ord", "left_anti")
-    both = of_ledger.where("r_ord is not null").join(of_acquirer(a), "r_ord").select("s", "r", "case")
-    alone = of_ledger.where("r_ord is null").select("s", "case")
-    both = keep(both.unionByName(alone, allowMissingColumns=True).unionByName(left.select("r", F.lit(classify.LEFT_OVER).alias("case")), allowMissingColumns=True))
-    judged = keep(classify.judged_pairs(both.where(F.col("case") == classify.PAIRED)).unionByName(classify.judged_others(both.where(F.col("case") != classify.PAIRED))))
+    # a ledger row without a partner gets a number that no acquirer row has: as nulls they would all meet in one task
+    partner = F.coalesce("_first", "_second", -1 - F.col("ord"))
+    of_ledger = rows.join(first, "ord", "left").join(second, "ord", "left").select(*rows.columns, case.alias("_case"), partner.alias("_partner"))
+    joined = of_ledger.alias("s").join(a.alias("r"), F.col("s._partner") == F.col("r.ord"), "full")
+    judged = classify.judged(joined, F.coalesce("s._case", F.lit(classify.LEFT_OVER)))
     return Result(impact.with_impact(classify.detail(judged)), quality.report(rows), a, rows, original)

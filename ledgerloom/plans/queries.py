@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import functions as L
 from ledgerloom.operators import assign, classify, consolidate, fallback, history, prepare, quality, rollup, schema
+from ledgerloom.operators.keeping import keep
 from ledgerloom.plans import matching, sides
 from ledgerloom.plans.oracle import ORACLE_SQL  # noqa: F401  re-exported beside QUERIES
 
@@ -30,7 +31,7 @@ def _valid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def _match(spark: SparkSession, sf_dir: str) -> matching.Result:
     a, l, discards = _valid(spark, sf_dir)  # noqa: E741
-    result = matching.match(a, l)
+    result = matching.match(a, l, kept=True)
     result.discards = discards
     one = lambda df, name: df.agg(F.count("*").alias("valor")).select(F.lit(name).alias("indicador"), "valor")
     result.counters = one(a, "rede_transacoes_enviadas_para_matching").union(one(l, "shift_linhas_validas_para_conciliacao"))
@@ -52,34 +53,35 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @_query
 def norm_authorization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = sides.raw_sides(spark, sf_dir)[1].select("ord", L.authorization(F.col("autorizacao")).alias("a"))
-    return raw.select("ord", "a.value", "a.error", L.match_key(F.col("a.value")).alias("auth_key"))
+    own = L.staged(sides.raw_sides(spark, sf_dir)[1].select("ord", "autorizacao"), {"a": (L.authorization_rule(), F.col("autorizacao"))})
+    return L.staged(own.select("ord", "a.value", "a.error"), {"auth_key": (L.MATCH_KEY, F.col("value"))})
 
 
 @_query
 def norm_nsu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sides.raw_sides(spark, sf_dir)[0].select("ord", L.nsu(F.col("nsu")).alias("nsu"))
+    return L.staged(sides.raw_sides(spark, sf_dir)[0].select("ord", "nsu"), {"nsu": (L.NSU, F.col("nsu"))})
 
 
 @_query
 def norm_money(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sides.raw_sides(spark, sf_dir)[1].select("ord", L.to_money(F.col("valor_bruto_original")).alias("valor_bruto"), L.to_money(F.col("valor_liquido")).alias("valor_liquido"))
+    raw = sides.raw_sides(spark, sf_dir)[1].select("ord", F.col("valor_bruto_original").alias("valor_bruto"), "valor_liquido")
+    return L.staged(raw, {c: (L.AMOUNT, F.col(c)) for c in ("valor_bruto", "valor_liquido")})
 
 
 @_query
 def norm_instalment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = sides.raw_sides(spark, sf_dir)[1].select("ord", L.installment(F.col("parcela")).alias("parcela"), L.installment(F.col("parcela"), 1).alias("numero_parcelas"))
+    own = L.staged(sides.raw_sides(spark, sf_dir)[1].select("ord", "parcela"), {"parcela": (L.installment_rule(), F.col("parcela")), "numero_parcelas": (L.installment_rule(1), F.col("parcela"))})
     return own.withColumn("restantes", L.remaining(F.col("parcela"), F.col("numero_parcelas")))
 
 
 @_query
 def norm_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sides.raw_sides(spark, sf_dir)[1].select("ord", L.to_date(F.col("data_venda")).alias("data_venda"))
+    return L.staged(sides.raw_sides(spark, sf_dir)[1].select("ord", "data_venda"), {"data_venda": (L.DATE, F.col("data_venda"))})
 
 
 @_query
 def brand_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sides.raw_sides(spark, sf_dir)[0].select("ord", L.brand(F.col("bandeira")).alias("bandeira"), L.modality(F.col("modalidade")).alias("modalidade"))
+    return L.staged(sides.raw_sides(spark, sf_dir)[0].select("ord", "bandeira", "modalidade"), {"bandeira": (L.BRAND, F.col("bandeira")), "modalidade": (L.MODALITY, F.col("modalidade"))})
 
 
 @_query
@@ -191,22 +193,24 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.assigned(*_both(spark, sf_dir))
 
 
-def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _second(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What the second stage pairs: ledger rows without an outcome, and free acquirer rows."""
     l, a = _both(spark, sf_dir)  # noqa: E741
-    outcome = assign.assigned(l, a)
+    l = keep(l, "clear")  # noqa: E741
+    outcome = keep(assign.assigned(l, a), "outcome")
     with_one = outcome.where(F.col("outcome") != assign.NONE_FREE).select(F.col("s_ord").alias("ord"))
     taken = outcome.where("r_ord is not null").select(F.col("r_ord").alias("ord"))
-    return fallback.candidates(l.where("not _grouped").join(with_one, "ord", "left_anti"), a.join(taken, "ord", "left_anti"))
+    return l.where("not _grouped").join(with_one, "ord", "left_anti"), a.join(taken, "ord", "left_anti")
 
 
 @_query
 def secondary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _second(spark, sf_dir)
+    return fallback.candidates(*_second(spark, sf_dir))
 
 
 @_query
 def unique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fallback.classified(_second(spark, sf_dir))
+    return fallback.classified(*_second(spark, sf_dir))
 
 
 @_query

@@ -65,15 +65,15 @@ def sql(div: str) -> tuple[str, str]:
 def raw_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders")}
     a_sql, l_sql = sql("div")
-    acquirer = spark.sql(a_sql.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}"), **tables)
+    acquirer = keep(spark.sql(a_sql.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}"), **tables), "raw")
     return acquirer, spark.sql(l_sql.replace("FROM acquirer_rows", "FROM {acquirer_rows}"), acquirer_rows=acquirer)
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides in canonical form."""
+    """Both sides in canonical form, with all their columns."""
     acquirer, ledger = raw_sides(spark, sf_dir)
     fields = tuple(CANONICAL)
     own = {c: c for c in fields}
     a = schema.normalized(acquirer, schema.ACQUIRER, own, fields, ("rede_arquivo_origem",))
     l = schema.normalized(ledger, schema.LEDGER, own, fields, ("empresa", "os_shift", "codigo_registro"))  # noqa: E741
-    return keep(a), keep(l.withColumn("data_shift_usada_para_match", F.col("data_venda")))
+    return keep(schema.acquirer(a), "acquirer"), keep(schema.ledger(l.withColumn("data_shift_usada_para_match", F.col("data_venda"))), "ledger")
