@@ -62,11 +62,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     docs = sh.typed(documents, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     hashed = _hashed(docs, "doc_id", "text_hash")
-    # every document also sends a row of its own, at place -1, that carries its number of words through the join
+    # every document also sends a row of its own, at place -1, that carries its number of words: through a broadcast join as
+    # a window that is always known, around a join by shuffle, where these rows would all have one key
+    small = size <= most_broadcast
     own = F.array(F.struct(F.lit(-1).alias("at"), F.col("n").alias("length"), F.lit(0).cast("long").alias("hash"), F.lit(0).alias("check")))
-    windows = F.flatten(F.array(own, *(_windows(F.col("hashes"), F.col("n"), k) for k in lengths)))
-    each = hashed.select("doc_id", "text_hash", F.explode(windows).alias("w")).select("doc_id", "text_hash", "w.*")
-    found = each.join(known.hint("broadcast" if size <= most_broadcast else "merge"), "hash")
+    of_items_only = [_windows(F.col("hashes"), F.col("n"), k) for k in lengths]
+    exploded = lambda df, *parts: df.select("doc_id", "text_hash", F.explode(F.flatten(F.array(*parts))).alias("w")).select("doc_id", "text_hash", "w.*")
+    if small:
+        found = exploded(hashed, own, *of_items_only).join(known.hint("broadcast"), "hash")
+    else:
+        hashed = sh.written(hashed, "hashed")
+        found = exploded(hashed, *of_items_only).join(known.hint("merge"), "hash").unionByName(exploded(hashed, own).withColumn("items", F.lit(None).cast(known.schema["items"].dataType)))
     items = F.filter("items", lambda x: (x["check"] == F.col("check")) & (x["length"] == F.col("length")))
     found = found.select("doc_id", "text_hash", "at", "length", F.when(F.col("at") >= 0, F.transform(items, lambda x: x["item_id"])).alias("item_ids"))
     hits = found.where((F.col("at") < 0) | (F.size("item_ids") > 0))

@@ -24,6 +24,8 @@ from ledgerloom.llm import _shared as sh
 
 #: At most so many labelled documents of each language are collected to train on.
 PER_LANGUAGE = 250
+#: A text teaches by at most so many characters, which bounds what is collected. Whole texts are labelled.
+SAMPLE_CHARS = 1 << 16
 UNKNOWN = "und"
 HIDDEN = 8
 STRETCH = 96
@@ -178,7 +180,9 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     docs = sh.typed(documents, doc_id="long", text="string", lang="string").where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~sh.held_out(F.col("doc_id")))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = docs.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language).drop("place")
-    rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("doc_id", "text", "lang").toArrow().to_pylist()
+    # of rows that repeat an id, one by a hash of the text, for the same model each time
+    one = F.min_by(F.left("text", F.lit(SAMPLE_CHARS)), F.struct(F.xxhash64("text"), "text"))
+    rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(one.alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 

@@ -3,8 +3,8 @@
 A window is three consecutive lines that hold more than white space, compared without white space around them. Its first
 occurrence, by (doc_id, line), stays; every line of every later occurrence goes, with blank lines inside it. Each line text
 that goes stays at some earlier place, since a later occurrence always refers to an earlier one. Windows are counted with
-map-side aggregation and joined to their first places, so one window in a third of all rows makes a skewed join that
-adaptive execution splits, never a group in one task.
+map-side aggregation and joined to their first places. Those of more than one window in SHARES are at most SHARES different
+ones; they are broadcast, so that no window's places meet in one task, and the others are joined by a shuffle.
 
 Defined results: null text stays null; empty texts and texts of fewer than three lines with words have no windows and stay.
 Rows that repeat both doc_id and text are one document: their windows count once and they are cleaned alike. A null doc_id
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import _shared as sh
 
 LINES = 3
+#: A window is heavy from this share of all windows on; so there can be no more heavy ones than this.
+SHARES = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -47,8 +49,11 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash and the ascending line numbers that later occurrences of windows cover, for documents that have any."""
     each = sh.written(windows(documents).distinct(), "lines")
     place = F.struct("doc_id", "text_hash", "first")
-    repeats = each.groupBy("hash", "check").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = each.join(repeats, ["hash", "check"]).where(~place.eqNullSafe(F.col("origin")))
+    repeats = sh.written(each.groupBy("hash", "check").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1"), "repeats")
+    least = each.count() // SHARES
+    heavy, light = repeats.where(F.col("n") > least).drop("n"), repeats.where(F.col("n") <= least).drop("n")
+    rest = each.join(F.broadcast(heavy.select("hash", "check")), ["hash", "check"], "left_anti")
+    later = each.join(F.broadcast(heavy), ["hash", "check"]).unionByName(rest.join(light, ["hash", "check"])).where(~place.eqNullSafe(F.col("origin")))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("first", "last")), lambda s: F.sequence(s["first"], s["last"])))))
     return later.groupBy("doc_id", "text_hash").agg(covered.alias("covered"))
 

@@ -1,9 +1,9 @@
 """Packing token sequences: best-fit decreasing over a segment tree that is indexed by remaining capacity.
 
 Every document is tokenised whole and closed by one end token. Documents longer than a sequence are first cut into full
-windows, which are sequences of their own; what is left of each document is placed best-fit decreasing. The pieces are
-dealt at random into groups of about GROUP pieces, each packed by itself, so no task ever holds all pieces; a group ends
-with at most a few sequences that are not full.
+windows, which are sequences of their own and need no group; what is left of each document is placed best-fit decreasing.
+Those pieces are dealt by hash, equal ones too, into groups of about GROUP, each packed by itself, so no task ever holds all
+pieces; a group ends with at most a few sequences that are not full.
 
 The segment tree has a leaf for each remaining capacity and holds the largest non-empty capacity's presence in each node:
 the tightest open window for a piece of length n is the first non-empty leaf at or after n, found in log2(size) steps.
@@ -36,8 +36,10 @@ from ledgerloom.llm import _shared as sh
 LENGTH = 2048
 END = 1
 GROUP = 8192
-#: Chunks that a worker remembers; beyond it the memory starts anew. It changes the speed only.
-REMEMBERED = 250_000
+#: Sequence ids of full windows begin here, beyond those of the groups.
+WHOLE = 1 << 60
+#: Chunks that a worker remembers, and the longest of them; beyond that number the memory starts anew. It changes the speed only.
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
 
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
@@ -84,9 +86,10 @@ class Encoder:
             out = self.ids(text)
         else:
             out = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[text] = out
+        if len(text) <= LONGEST_REMEMBERED:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[text] = out
         return out
 
     def __call__(self, text: str) -> bytes:
@@ -182,10 +185,14 @@ def pieces(documents: DataFrame, length: int = LENGTH, end: int = END, tokenizer
     return sh.typed(documents, doc_id="long", text="string").mapInArrow(cut, schema)
 
 
-def pack(of_documents: DataFrame, n_documents: int, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """pieces() with sequence_id and offset. n_documents, their number, sets the number of groups."""
-    groups = max(1, -(-n_documents // group))
-    dealt = of_documents.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+def pack(of_documents: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """pieces() with sequence_id and offset. Pieces are written first: their number sets that of the groups, and their places in the table are fixed."""
+    own = sh.written(of_documents, "pieces").withColumn("place", F.monotonically_increasing_id())
+    fields = of_documents.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    whole = own.where(F.col("length") == length).select(*of_documents.columns, (F.col("place") + WHOLE).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = own.where(F.col("length") < length)
+    groups = max(1, -(-rest.count() // group))
+    dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "place"), F.lit(groups))).drop("place")
 
     def place(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
@@ -195,8 +202,7 @@ def pack(of_documents: DataFrame, n_documents: int, length: int = LENGTH, group:
         own["offset"] = placed[:, 1]
         return own.drop(columns="bucket")
 
-    fields = of_documents.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return dealt.groupBy("bucket").applyInPandas(place, f"{fields},sequence_id:bigint,offset:bigint".replace(":", " "))
+    return dealt.groupBy("bucket").applyInPandas(place, f"{fields},sequence_id:bigint,offset:bigint".replace(":", " ")).unionByName(whole)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -207,4 +213,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, length: int = LENGTH, end: int = END, with_ids: bool = True) -> DataFrame:
-    return pack(pieces(documents, length, end, with_ids=with_ids), documents.count(), length)
+    return pack(pieces(documents, length, end, with_ids=with_ids), length)

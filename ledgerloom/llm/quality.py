@@ -4,8 +4,8 @@ A bounded sample of labelled documents (SAMPLE rows, the first by hash of their
 word shape (its case, its digits, what it begins and ends with) has a sparse random index vector; its word vector is the sum
 of the index vectors of its neighbours within REACH words, over all places in the sample. A document is the mean of its
 words' vectors and the mean of its shapes' vectors; words that the sample lacks have only their shape. A tanh layer and a
-logistic unit follow, trained by Adam; a temperature fitted on a part of the sample that the weights never saw calibrates
-the probabilities. Every text is scored whole, in one pass without a shuffle.
+logistic unit follow, trained by Adam on the classes as they are; a temperature fitted on a part of the sample that the
+weights never saw calibrates the probabilities. Every text is scored whole, in one pass without a shuffle.
 
 Defined results: null texts and texts without words score 0. Labels that are null or other than 0 and 1, and documents
 without text, teach nothing; a document with several labels teaches each. With labels of one class only, or none, every
@@ -29,12 +29,15 @@ from ledgerloom.llm import _shared as sh
 
 #: At most so many labelled documents are collected to train on.
 SAMPLE = 4000
+#: A text teaches by at most so many characters, which bounds what is collected. Scores are of whole texts.
+SAMPLE_CHARS = 1 << 16
 DIMENSIONS, NONZERO, REACH = 32, 4, 2
 LEAST_COUNT = 3
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.01, 1e-4
-#: Words that a worker remembers; beyond it the memory starts anew. It changes the speed only.
-REMEMBERED = 250_000
+#: Words that a worker remembers, and the longest of them; beyond that number the memory starts anew. It changes the speed only.
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
 THRESHOLD = 0.7
+TEMPERATURES = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
 REPEATED = "repeated"
 
 _EDGES = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.DOTALL)
@@ -75,9 +78,10 @@ class Model:
 
     def code(self, word: str) -> int:
         c = self.words.get(word, 0) * len(self.shape_vectors) + self.shapes.get(shape(word), 0)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = c
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = c
         return c
 
     def codes(self, text: str) -> np.ndarray:
@@ -163,13 +167,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     aside, own = order[: len(x) // 5], order[len(x) // 5 :]
     z = (x[own] - model.mean) / model.scale
     t = y[own]
-    weight = np.where(t > 0, 0.5 / max(t.mean(), 1e-6), 0.5 / max(1 - t.mean(), 1e-6))
     params = [rng.normal(0, z.shape[1] ** -0.5, (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(())]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
         h = np.tanh(z @ params[0] + params[1])
         p = 1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -30, 30)))
-        d = weight * (p - t) / len(t)
+        d = (p - t) / len(t)
         dh = d[:, None] * params[2] * (1 - h * h)
         grads = [z.T @ dh + DECAY * params[0], dh.sum(0), h.T @ d + DECAY * params[2], d.sum()]
         for i, g in enumerate(grads):
@@ -178,9 +181,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             params[i] = params[i] - RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     model.weights = params
     logits, t = model.logits(x[aside]), y[aside]
-    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-    losses = [np.logaddexp(0, -np.where(t > 0, logits, -logits) / g).mean() for g in grid] if len(aside) else [0]
-    model.temperature = float(grid[int(np.argmin(losses))]) if len(aside) else 1.0
+    if len(aside):
+        # targets short of 0 and 1 by what so few rows can't tell: rows that are all right would ask for a temperature of 0
+        target = np.where(t > 0, ((t > 0).sum() + 1) / ((t > 0).sum() + 2), 1 / ((t == 0).sum() + 2))
+        losses = [(np.logaddexp(0, logits / g) - target * logits / g).mean() for g in TEMPERATURES]
+        model.temperature = float(TEMPERATURES[int(np.argmin(losses))])
     return model
 
 
@@ -189,7 +194,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labels = sh.typed(labels, doc_id="long", quality="int").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~sh.held_out(F.col("doc_id")))
     chosen = labels.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     docs = sh.typed(documents, doc_id="long", text="string").where(F.length("text") > 0)
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "quality"]).select("doc_id", "text", "quality").toArrow().to_pylist()
+    # of rows that repeat an id, one by a hash of the text, for the same model each time
+    one = F.min_by(F.left("text", F.lit(SAMPLE_CHARS)), F.struct(F.xxhash64("text"), "text"))
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(one.alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     return train([r["text"] for r in rows], [r["quality"] for r in rows])
 

@@ -3,8 +3,8 @@
 Candidates are wide: a value of at least LEAST_VALUE characters after an assignment or a key word, whatever characters it
 has, up to its quote or a space; and, anywhere, runs of at least LEAST_LENGTH characters of keys and tokens, with or without
 digits. A run ends at its first '=', so a key is never part of its value. The forest removes the false ones. Its features
-are the candidate's length, its character transitions and classes, how much of it dictionary words cover, its path and its
-neighbouring words. It is trained on labelled findings; labelled_findings() makes a documented set by rule
+are the candidate's length, how likely its characters follow each other in plain words (a table of transitions counted on the
+labelled rows), its character classes, how much of it dictionary words cover, its path and its neighbouring words. It is trained on labelled findings; labelled_findings() makes a documented set by rule
 where none is given. The trained forest is small and applied inside the JVM; texts are read once and never shuffled.
 
 Defined results: null and empty texts have no findings; a null path is empty. Rows that repeat both doc_id and text give
@@ -13,6 +13,9 @@ their findings once. Offsets count code points from 0. Extra columns are ignored
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -43,8 +46,10 @@ CANDIDATE = rf"(?:{_KEYED}|{_ASSIGN}){_QUOTE}({_VALUE})|{_BARE}"
 CONTEXT = 48
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 24, 7, 11
-#: Rows that labelled_findings() makes; training is on these few rows alone.
-FINDINGS = 4000
+#: Rows that labelled_findings() makes, and the most that are trained on: the first by hash.
+FINDINGS, TRAINED = 4000, 20_000
+#: What characters are told apart as, for their transitions: lower-case letters, any digit, anything else.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0_"
 #: Rules that labelled_findings() makes them by, dealt by number.
 KINDS = 36
 
@@ -60,8 +65,26 @@ FAVOURING = "token|secret|passw|pwd|credential|bearer|auth|api.?key|access.?key|
 OPPOSING = "commit|revision|checksum|digest|sha-?1|sha-?256|md5|hash|uuid|guid|invoice|order|phone|card|iban|build|serial|trace|etag|version"
 
 
-def features(df: DataFrame) -> DataFrame:
-    """df(candidate, before, after, path) with the feature columns."""
+def _letters(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "0"), "[^a-z0]", "_")
+
+
+def transitions(labelled: DataFrame) -> dict[str, float]:
+    """log P(next | character) over LETTERS in what isn't secret: the false candidates, and the words before all candidates."""
+    texts = labelled.select(F.explode(F.array(F.when(F.col("is_secret") == 0, F.col("candidate")), F.col("before"))).alias("t")).where("length(t) > 1").select(_letters(F.col("t")).alias("t"))
+    pairs = texts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substr(F.col("t"), i, F.lit(2)))).alias("pair"))
+    counts = {r["pair"]: r["n"] + 0.5 for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}  # at most 784
+    total = {a: sum(counts.get(a + b, 0.5) for b in LETTERS) for a in LETTERS}
+    return {a + b: math.log(counts.get(a + b, 0.5) / total[a]) for a in LETTERS for b in LETTERS}
+
+
+def features(df: DataFrame, table: dict[str, float]) -> DataFrame:
+    """df(candidate, before, after, path) with the feature columns. table: transitions()."""
+    df = df.withColumn("_walk", F.transform(F.split(_letters(F.col("candidate")), ""), lambda x: F.instr(F.lit(LETTERS), x)))
+    of_pair, walk = F.expr(f"array({', '.join(f'{table[a + b]!r}D' for a in LETTERS for b in LETTERS)})"), F.col("_walk")
+    steps = F.zip_with(F.slice(walk, 1, F.size(walk) - 1), F.slice(walk, 2, F.size(walk)), lambda a, b: F.get(of_pair, (a - 1) * len(LETTERS) + b - 1))
+    df = df.withColumn("_steps", F.array_compact(steps)).drop("_walk")
+    taken = F.greatest(F.size("_steps"), F.lit(1))
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     words = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
@@ -76,7 +99,9 @@ def features(df: DataFrame) -> DataFrame:
         "vowels": share("[AEIOUaeiou]"),
         "hex": share("[0-9a-fA-F]"),
         "separators": share(r"[_=/+\-]"),
-        "transitions": share(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[_=/+\-])(?=[A-Za-z0-9])"),
+        "transitions": F.aggregate("_steps", F.lit(0.0), lambda acc, x: acc + x) / taken,
+        "rare_transitions": F.size(F.filter("_steps", lambda x: x < math.log(0.01))) / taken,
+        "class_changes": share(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[_=/+\-])(?=[A-Za-z0-9])"),
         "repeats": share(r"(.)(?=\1)"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "dictionary": (n - uncovered) / n,
@@ -95,7 +120,7 @@ def features(df: DataFrame) -> DataFrame:
         "favouring": flag(near, FAVOURING),
         "opposing": flag(near, OPPOSING),
     }
-    return df.withColumns({f"f_{k}": v.cast("double") for k, v in own.items()})
+    return df.withColumns({f"f_{k}": v.cast("double") for k, v in own.items()}).drop("_steps")
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -154,16 +179,29 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(at(4, ("f", "self.", "get_", "")), word(1), at(7, ("(", "()", ".", "_")), word(9), at(12, (")", "", ");", "_id"))), F.concat(plain, F.lit(" = ")), 0),
     ]
     pick = lambda k: F.element_at(F.array(*(x[k] if isinstance(x[k], Column) else F.lit(x[k]) for x in kinds)), (F.col("kind") + 1).cast("int"))
-    found = ids.select(pick(0).alias("candidate"), pick(1).alias("before"), F.when(F.col("kind") == KINDS - 2, F.lit(" = 1")).otherwise(at(18, ('"', " and then", "", "'; next"))).alias("after"), at(20, ("src0", "src1", "src/main/config", "lib/client", "docs/guide")).alias("path"), pick(2).alias("is_secret"))
+    found = ids.select(pick(0).alias("candidate"), pick(1).alias("before"), F.when(F.col("kind") == KINDS - 2, F.lit(" = 1")).otherwise(at(18, ('"', " and then", "", "'; next"))).alias("after"), at(20, ("", "src/main/config", "lib/client", "docs/guide", "conf/.env", "notes.txt")).alias("path"), pick(2).alias("is_secret"))
     return found.where(f"length(candidate) >= {LEAST_VALUE}")
 
 
-def fit(labelled: DataFrame) -> PipelineModel:
-    """A forest from labelled(candidate, before, after, path, is_secret). The rows are few and go through one task, for one result everywhere."""
-    rows = features(sh.typed(labelled, candidate="string", before="string", after="string", path="string", is_secret="double").where("length(candidate) > 0 and is_secret is not null"))
-    inputs = [c for c in rows.columns if c.startswith("f_")]
+@dataclass(frozen=True)
+class Forest:
+    table: dict[str, float]
+    model: PipelineModel
+
+    def scored(self, found: DataFrame) -> DataFrame:
+        """found(candidate, before, after, path) with score, the share of the trees' votes for a secret."""
+        return self.model.transform(features(found, self.table)).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+
+
+def fit(labelled: DataFrame, rows: int = TRAINED) -> Forest:
+    """A forest from labelled(candidate, before, after, path, is_secret): at most so many rows, the first by hash, through one task, for one result everywhere."""
+    given = sh.typed(labelled, candidate="string", before="string", after="string", path="string", is_secret="double").where("length(candidate) > 0 and is_secret is not null").fillna("", ["before", "after", "path"])
+    own = sh.written(given.orderBy(F.xxhash64(*given.columns), *given.columns).limit(rows), "findings")
+    table = transitions(own)
+    known = features(own, table)
+    inputs = [c for c in known.columns if c.startswith("f_")]
     forest = RandomForestClassifier(featuresCol="features", labelCol="is_secret", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), forest]).fit(rows.coalesce(1))
+    return Forest(table, Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), forest]).fit(known.coalesce(1)))
 
 
 def candidates(documents: DataFrame) -> DataFrame:
@@ -196,9 +234,9 @@ def candidates(documents: DataFrame) -> DataFrame:
 def scan(documents: DataFrame, labelled: DataFrame | None = None, path: str = "path") -> DataFrame:
     """doc_id, text_hash, start, length, candidate, score and is_secret of every candidate of documents(doc_id, text and the path column)."""
     spark = documents.sparkSession
-    model = fit(labelled if labelled is not None else labelled_findings(spark))
+    forest = fit(labelled if labelled is not None else labelled_findings(spark))
     found = candidates(documents.select("doc_id", "text", F.col(path).alias("path"))).dropDuplicates(["doc_id", "text_hash", "number"])
-    scored = model.transform(features(found)).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+    scored = forest.scored(found)
     before = Window.partitionBy("doc_id", "text_hash").orderBy("number")  # the candidates of one document
     start = F.sum(F.col("gap") + F.length("candidate")).over(before) - F.length("candidate")
     return scored.select("doc_id", "text_hash", start.alias("start"), F.length("candidate").cast("long").alias("length"), "candidate", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))

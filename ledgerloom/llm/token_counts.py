@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm import _shared as sh
 
-#: Words that a worker remembers; beyond it the memory starts anew. It changes the speed only.
-REMEMBERED = 250_000
+#: Words that a worker remembers, and the longest of them; beyond that number the memory starts anew. It changes the speed only.
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
 DEAD = -1
 
 
@@ -125,9 +125,11 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFra
                     if None in found:
                         for i, n in enumerate(found):
                             if n is None:
-                                if len(known) >= REMEMBERED:
-                                    known.clear()
-                                found[i] = known[own[i]] = automaton.count(own[i].encode())
+                                found[i] = automaton.count(own[i].encode())
+                                if len(own[i]) <= LONGEST_REMEMBERED:
+                                    if len(known) >= REMEMBERED:
+                                        known.clear()
+                                    known[own[i]] = found[i]
                     words.append(len(own))
                     tokens.append(sum(found))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*part.schema.names, "n_words", "n_tokens"])
