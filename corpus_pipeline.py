@@ -14,8 +14,10 @@ from ledgerloom.llm._shared import table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; texts without words are rejected."""
+    """Documents that the quality classifier accepts; texts without words are rejected. Labels of fewer than two classes make no classifier, so nothing is rejected then."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.weights:
+        return docs
     return quality.score(docs, model).where("predicted = 1").select(docs.columns)
 
 
@@ -27,10 +29,12 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest doc_id; rows that repeat id and text come once. An empty table stays empty."""
     return near_duplicates.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window. Null texts stay; with an empty benchmark all stay."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
