@@ -6,12 +6,15 @@ result, and a file is one task's work. Many files are read side by side.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.operators import prepare
-from ledgerloom.operators.keeping import keep
+from ledgerloom.operators.keeping import keep, shared_folder
+from ledgerloom.operators.schema import ONE_OF_REPORT, REQUIRED_OF_REPORT
 from ledgerloom.sources.headers import folded
 
 SEPARATORS = (";", ",", "\t", "|")
@@ -34,24 +37,34 @@ def separator(peek: list[str]) -> str:
     return max(SEPARATORS, key=lambda s: sum(x.count(s) for x in peek))
 
 
-def _fields(text: Column, sep: str, names: list[str]) -> Column:
-    """The cells of a line, and _over, which is null unless the line has more cells than the header."""
-    schema = ", ".join(f"`c{k}` string" for k in range(len(names) + 1))
-    return F.from_csv(text, schema, {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
-
-
-def parsed(body: DataFrame, header: str, sep: str) -> DataFrame:
-    """The rows of body(n, text): text columns named by the header, _line (0 for the first). Lines with too many cells are skipped."""
-    names = [x.strip().strip('"') for x in header.split(sep)]
+def unique_names(header: list[str | None]) -> list[str]:
+    """Column names of a header: empty ones are numbered, repeated ones get a number after a point."""
     seen: dict[str, int] = {}
-    unique = []
-    for k, x in enumerate(names):
-        x = x or f"Unnamed: {k}"
+    out = []
+    for k, x in enumerate(header):
+        x = (x or "").strip() or f"Unnamed: {k}"
         seen[x] = seen.get(x, -1) + 1
-        unique.append(f"{x}.{seen[x]}" if seen[x] else x)
-    cells = body.where(F.trim("text") != "").withColumn("_c", _fields(F.col("text"), sep, unique)).where(F.col(f"_c.c{len(unique)}").isNull())
-    value = lambda k: F.when(~F.col(f"_c.c{k}").isin(*NULLS), F.col(f"_c.c{k}"))
-    return cells.select("n", *(value(k).alias(x) for k, x in enumerate(unique)))
+        out.append(f"{x}.{seen[x]}" if seen[x] else x)
+    return out
+
+
+def _cells(spark: SparkSession, path_or_lines: str | DataFrame, sep: str, latin: bool = False) -> DataFrame:
+    """n and the cells c0, c1, ... of each record; quoted cells may hold separators and line ends. A column more than the first record has shows what is too long."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "header": "false", "encoding": "ISO-8859-1" if latin else "UTF-8", "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    width = len(spark.read.options(**options).csv(path_or_lines).columns)
+    schema = ", ".join(f"c{k} string" for k in range(width + 1))
+    # a file that may hold line ends in cells is one task's work, so the numbers follow the records
+    return spark.read.options(**options).schema(schema).csv(path_or_lines).withColumn("n", F.monotonically_increasing_id())
+
+
+def parsed(cells: DataFrame) -> DataFrame:
+    """The rows after the first record, as text columns named by it. Records with too many cells are skipped."""
+    last = len(cells.columns) - 2
+    header = cells.orderBy("n").first()
+    names = unique_names([(header[f"c{k}"] or "").removeprefix("\ufeff") for k in range(last)])
+    value = lambda k: F.when(~F.col(f"c{k}").isin(*NULLS), F.col(f"c{k}"))
+    rows = cells.where((F.col("n") > header["n"]) & F.col(f"c{last}").isNull())
+    return rows.select("n", *(value(k).alias(x) for k, x in enumerate(names)))
 
 
 def pruned(rows: DataFrame, number_all: bool = False) -> DataFrame:
@@ -74,33 +87,48 @@ def is_report(spark: SparkSession, path: str) -> bool:
     return path.lower().endswith(".csv") and not lines(spark, path).where((F.col("n") < REPORT_PEEK_LINES) & F.col("text").startswith(HEADER)).isEmpty()
 
 
+def _is_latin(spark: SparkSession, path: str) -> bool:
+    return not spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(F.col("content").cast("string"))).first()[0]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file as text columns with ord and _line. Other formats are an error."""
     if not path.lower().endswith(".csv"):
         raise ValueError("Formato não suportado. Envie CSV, XLS ou XLSX.")
-    own = keep(lines(spark, path))
-    peek = [r["text"] for r in own.where(F.col("n") < PEEK_LINES).orderBy("n").collect()]
-    first = own.where(F.trim("text") != "").orderBy("n").first()
-    if first is None:
+    peek = [r["text"] for r in lines(spark, path).where(F.col("n") < PEEK_LINES).orderBy("n").collect()]
+    if not "".join(peek).strip() and lines(spark, path).where(F.trim("text") != "").isEmpty():
         return spark.createDataFrame([], "ord bigint, _line bigint")
-    return pruned(parsed(own.where(F.col("n") > first["n"]), first["text"], separator(peek)))
+    return pruned(parsed(keep(_cells(spark, path, separator(peek), _is_latin(spark, path)), "cells")))
 
 
 def read_report(spark: SparkSession, path: str, scope: str = "card") -> tuple[DataFrame, DataFrame]:
-    """The card rows of the ledger's financial report with _source_line, and the discard report of the others.
+    """The card rows of the ledger's financial report with _source_line, and the discard report of the others. A blank file gives neither.
 
     scope: anything but "card" keeps all rows.
     """
-    own = keep(lines(spark, path))
+    own = keep(lines(spark, path), "lines")
+    nothing = spark.createDataFrame([], "ord bigint, _line bigint")
+    none = prepare.discards(nothing, "SHIFT", NOT_CARD)
+    if own.where(F.trim("text") != "").isEmpty():
+        return nothing, none
     starts = own.where(F.col("text").startswith(HEADER)).orderBy("n").first()
     if starts is None:
         raise ValueError(f'Não foi possível localizar o cabeçalho do relatório financeiro do Shift (linha iniciada por "{HEADER}").')
     ends = own.where(F.col("text").startswith(FOOTER)).orderBy("n").first()
-    body = own.where((F.col("n") > starts["n"]) & (F.col("n") < (ends["n"] if ends else 1 << 60)))
-    rows = parsed(body, starts["text"], ";")
+    body = own.where((F.col("n") >= starts["n"]) & (F.col("n") < (ends["n"] if ends else 1 << 60)) & (F.trim("text") != ""))
+    texts = body.orderBy("n").coalesce(1).select(F.col("text").alias("value"))  # one uploaded file, its lines in order
+    joined = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    texts.write.text(joined)
+    rows = parsed(keep(_cells(spark, joined, ";"), "cells"))
+    if rows.isEmpty():
+        return nothing, none
     place = F.row_number().over(Window.orderBy("n")) - 1  # one uploaded file
     rows = pruned(keep(rows.withColumn("_source_line", (place + starts["n"] + 2).cast("bigint"))), number_all=True)
+    if not any(name in rows.columns for name in ONE_OF_REPORT):
+        raise ValueError('Não foi possível identificar pagamentos de cartão porque o relatório não possui "Espécie" nem "Forma de pagamento/cobrança".')
+    if missing := [f'"{name}"' for name in REQUIRED_OF_REPORT if name not in rows.columns]:
+        raise ValueError(f"O relatório do Shift não contém a coluna essencial {' e '.join(missing)}.")
     if scope != "card":
-        return rows, prepare.discards(rows.limit(0), "SHIFT", NOT_CARD)
+        return rows, none
     card, other = prepare.card_scope(rows)
     return card, prepare.discards(other, "SHIFT", NOT_CARD, NOT_CARD_NOTE)
