@@ -5,10 +5,11 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from ledgerloom.llm import _shared, language, near_duplicates, packing, quality, queries, secrets, token_counts
+from ledgerloom.llm import _shared, chat_format, decontamination, language, line_dedup, near_duplicates, packing, quality, queries, secrets, token_counts, top_k
 
 REAL = "/root/testdata/sf0.001"
 WORDS = [f"w{k}" for k in range(60)]
@@ -234,3 +235,84 @@ def test_secrets_made_by_other_rules(spark):
     precision, recall = right / max(1, len(secret)), right / sum(r[3] for r in rows)
     print(f"secrets: precision {precision:.3f}, recall {recall:.3f}")
     assert precision >= 0.8 and recall >= 0.8
+
+
+def test_empty_tables_of_every_operator_and_stage(spark, tmp_path):
+    """No rows in, no rows out; columns with the operators' own names pass or are ignored."""
+    docs = empty(spark, "doc_id long, text string, lang string, source string, n_chars long, hash long, items int, score double, bucket int")
+    items = empty(spark, "item_id long, text string")
+    vectors, turns = empty(spark, "vec_id long, embedding array<float>, dim int"), empty(spark, "conv_id long, turn int, role string, text string, last int")
+    assert top_k.top_k(vectors, 3, F.col("vec_id") % 2 == 0).count() == 0 and chat_format.digests(chat_format.examples(turns)).count() == 0
+    assert line_dedup.dedup_lines(docs).count() == decontamination.contamination(docs, items).count() == secrets.scan(docs, path="source").count() == 0
+    assert language.identify(docs, language.fit(docs)).count() == packing.pack_documents(docs).count() == 0
+    for name, df in {"benchmark": items, "labels": empty(spark, "doc_id long, quality int, toxic int")}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns and stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_long_and_repeated_texts(spark):
+    """A text of over 1 MB whole, and rows that repeat id and text, through the operators that cut texts."""
+    long = "\n".join(f"line {k} with its own words {k * 7}" for k in range(40_000))
+    rows = [(1, long, "s"), (2, f"begin\n{long[-200:]}\nend", "s"), (3, "same text here", "s"), (3, "same text here", "s"), (None, "same text here", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cut = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).where("doc_id < 3").collect()}
+    assert cut[1]["n_removed"] == 0 and cut[1]["text"] == long and cut[2]["n_removed"] > 0
+    packed = packing.pack_documents(docs).collect()
+    assert len({r["sequence_id"] for r in packed if r["length"] == 2048}) == sum(r["length"] == 2048 for r in packed) > 200
+    assert sum(r["length"] for r in packed if r["doc_id"] == 1) == next(r["doc_tokens"] for r in packed if r["doc_id"] == 1)
+    assert sorted(str(r["doc_id"]) for r in packed if r["doc_tokens"] < 10) == ["3", "3", "None"]
+
+
+def test_best_fit_against_a_linear_scan():
+    rng = np.random.default_rng(5)
+    fit, used = packing.BestFit(64), []
+    for n in rng.integers(1, 65, 500).tolist():
+        open_ = [64 - u for u in used if 64 - u >= n]
+        window, offset = fit.place(n)
+        if open_:
+            assert 64 - used[window] == min(open_) and offset == used[window]
+            used[window] += n
+        else:
+            assert (window, offset) == (len(used), 0)
+            used.append(n)
+
+
+def test_top_k_prunes_clusters_and_keeps_ties(spark):
+    """Clusters with copies and a hot one: the same as brute force, and few (query, annulus) pairs are visited."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 16)) * 3
+    of = np.where(rng.random(6000) < 0.4, 0, rng.integers(0, 12, 6000))
+    m = np.round(centres[of] + rng.normal(size=(6000, 16)) * 0.02, 2)
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>")
+    huge = spark.createDataFrame([(7000, [2.0**40] * 16), (7001, [1.0] * 3)], vectors.schema)
+    got = [tuple(r) for r in top_k.top_k(vectors.union(huge), 5, F.col("vec_id") % 500 == 0).orderBy("query_id", "rank").collect()]
+    v, expected = np.floor(1024 * m).astype(np.int64), []
+    for q in range(0, 6000, 500):
+        s = v @ v[q]
+        s[q] = -(1 << 62)
+        expected += [(q, k + 1, int(i), int(s[i])) for k, i in enumerate(np.lexsort((np.arange(6000), -s))[:5])]
+    assert got == expected
+    plain = vectors.select("vec_id", F.col("embedding").alias("v"), (F.col("vec_id") % 500 == 0).alias("query"))
+    pivots = top_k._pivots(plain)
+    blocks = top_k.index(plain, pivots)
+    batch = next(top_k._batches(top_k._asked(blocks, 5)))
+    visited, pairs = top_k.visits(top_k._visited(blocks, batch, 0, pivots, 5))
+    print(f"top-k: {visited} of {pairs} pairs visited")
+    assert visited < 0.6 * pairs
+
+
+def test_pipeline_from_end_to_end(spark, folder, tmp_path):
+    """Labels that reject nothing; the packed pieces are of the documents that the stages keep, whole."""
+    for name in ("documents", "benchmark"):
+        _shared.table(spark, folder, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    empty(spark, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = _shared.table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    left = {r["doc_id"] for r in docs.collect()}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == left and 0 not in left
+    for doc in left:
+        own = [r for r in pieces if r["doc_id"] == doc]
+        assert sum(r["length"] for r in own) == own[0]["doc_tokens"]
