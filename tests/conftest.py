@@ -11,6 +11,6 @@ sys.path.insert(0, str(Path(__file__).parent.parent))
 def spark(tmp_path_factory):
     conf = {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
-        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     return SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
