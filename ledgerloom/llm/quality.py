@@ -1,11 +1,13 @@
 """Document quality: random-indexing word vectors, pooled per document, then a two-layer network with calibrated probabilities.
 
-A bounded sample of labelled documents (SAMPLE rows, the first by hash of their id) trains everything. Each word and each
-word shape (its case, its digits, what it begins and ends with) has a sparse random index vector; its word vector is the sum
-of the index vectors of its neighbours within REACH words, over all places in the sample. A document is the mean of its
-words' vectors and the mean of its shapes' vectors; words that the sample lacks have only their shape. A tanh layer and a
-logistic unit follow, trained by Adam on the classes as they are; a temperature fitted on a part of the sample that the
-weights never saw calibrates the probabilities. Every text is scored whole, in one pass without a shuffle.
+Each word and each word shape (its case, its digits, what it begins and ends with) is hashed to one of WORDS or SHAPES rows,
+and each row has a sparse random index vector. A row's vector is the sum of the index vectors of its words' neighbours within
+REACH words, over all places in all documents: tasks sum their own rows, a shuffle adds them up, and what reaches the driver
+and the broadcast has WORDS + SHAPES rows at any size of the corpus. The sums are of whole numbers, so no order or
+partitioning changes them. A document is the mean of its words' vectors and the mean of its shapes' vectors. A tanh layer and
+a logistic unit follow, trained by Adam on a bounded sample of labelled documents (SAMPLE rows, the first by hash of their id),
+on the classes as they are; a temperature fitted on a part of the sample that the weights never saw calibrates the
+probabilities. Every text is scored whole, in one pass without a shuffle.
 
 Defined results: null texts and texts without words score 0. Labels that are null or other than 0 and 1, and documents
 without text, teach nothing; a document with several labels teaches each. With labels of one class only, or none, every
@@ -14,10 +16,10 @@ text with words scores that class's share, or 0.5. Repeated rows are scored alik
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,19 @@ from ledgerloom.llm import _shared as sh
 
 #: At most so many labelled documents are collected to train on.
 SAMPLE = 4000
-#: A text teaches by at most so many characters, which bounds what is collected. Scores are of whole texts.
+#: A text teaches the network by at most so many characters, which bounds what is collected. Scores and word vectors are of whole texts.
 SAMPLE_CHARS = 1 << 16
 DIMENSIONS, NONZERO, REACH = 32, 4, 2
-LEAST_COUNT = 3
+#: Rows of word and of shape vectors; words that share a row share its vector. Row 0 stands for no word, shape row 1 for a repeated word.
+WORDS, SHAPES = 1 << 17, 1 << 10
+REPEATED = 1
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.01, 1e-4
 #: Words that a worker remembers, and the longest of them; beyond that number the memory starts anew. It changes the speed only.
 REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
+#: Words whose neighbours are added up at a time.
+STEP = 1 << 16
 THRESHOLD = 0.7
 TEMPERATURES = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
-REPEATED = "repeated"
 
 _EDGES = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.DOTALL)
 
@@ -50,34 +55,33 @@ def shape(word: str) -> str:
     return f"{begin[:2]} {case}{digits}{'+' * (len(core) > 14)} {end[:3]}"
 
 
-def _index_vectors(names: list[str]) -> np.ndarray:
-    out = np.zeros((len(names), DIMENSIONS), np.float32)
-    for i, x in enumerate(names):
-        h = hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=2 * NONZERO).digest()
-        for j in range(NONZERO):
-            out[i, h[2 * j] % DIMENSIONS] += 1 if h[2 * j + 1] & 1 else -1
-    return out
+@cache
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """The sparse random vectors of all rows of words and of shapes; those of row 0 are zero."""
+    rng = np.random.default_rng(20240611)
+    out = []
+    for n in (WORDS, SHAPES):
+        vectors = np.zeros((n, DIMENSIONS), np.int32)
+        places, signs = rng.integers(0, DIMENSIONS, (n, NONZERO)), rng.integers(0, 2, (n, NONZERO), np.int32) * 2 - 1
+        for k in range(NONZERO):
+            vectors[np.arange(n), places[:, k]] += signs[:, k]
+        vectors[0] = 0
+        out.append(vectors)
+    return out[0], out[1]
 
 
-class Model:
-    """Place 0 of words and shapes is for those unknown; its vectors are zero."""
+class Coder:
+    """Texts as codes, word row * SHAPES + shape row for each word; a word that repeats the one before has the shape REPEATED."""
 
-    def __init__(self, words: list[str], shapes: list[str]):
-        self.words = {x: i + 1 for i, x in enumerate(words)}
-        self.shapes = {x: i + 1 for i, x in enumerate(shapes)}
-        self.word_vectors = np.zeros((len(words) + 1, DIMENSIONS), np.float32)
-        self.shape_vectors = np.zeros((len(shapes) + 1, DIMENSIONS), np.float32)
-        self.mean, self.scale = np.zeros(2 * DIMENSIONS, np.float32), np.ones(2 * DIMENSIONS, np.float32)
-        self.weights: list[np.ndarray] = []
-        self.temperature, self.constant = 1.0, 0.5
-        self.repeated = self.shapes.get(REPEATED, 0)
+    def __init__(self):
         self.known: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return {"known": {}}
 
     def code(self, word: str) -> int:
-        c = self.words.get(word, 0) * len(self.shape_vectors) + self.shapes.get(shape(word), 0)
+        row, form = (zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (word, shape(word)))
+        c = (1 + row % (WORDS - 1)) * SHAPES + 2 + form % (SHAPES - 2)
         if len(word) <= LONGEST_REMEMBERED:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -85,7 +89,6 @@ class Model:
         return c
 
     def codes(self, text: str) -> np.ndarray:
-        """word * number of shapes + shape, for each word; a word that repeats the one before has the shape REPEATED."""
         words = text.split()
         found = list(map(self.known.get, words))
         if None in found:
@@ -94,15 +97,71 @@ class Model:
         if len(codes) > 1:
             again = np.flatnonzero(codes[1:] == codes[:-1]) + 1
             again = np.array([i for i in again.tolist() if words[i] == words[i - 1]], np.int64)
-            codes[again] += self.repeated - codes[again] % len(self.shape_vectors)
+            codes[again] += REPEATED - codes[again] % SHAPES
         return codes
 
+
+def add_neighbours(sums: np.ndarray, texts: Iterable[np.ndarray]) -> None:
+    """Add to sums, rows of words and then of shapes, the index vectors around each place of coded texts."""
+    gap = np.zeros(REACH, np.int64)  # row 0 between texts: no word is a neighbour of another text's
+    codes = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
+    of_words, of_shapes = index_vectors()
+    for a in range(REACH, len(codes) - REACH, STEP):
+        b = min(a + STEP, len(codes) - REACH)
+        word, form = np.divmod(codes[a - REACH : b + REACH], SHAPES)
+        own = of_words[word] + of_shapes[form]
+        around = sum(own[REACH + k : REACH + k + b - a] for k in (*range(-REACH, 0), *range(1, REACH + 1)))
+        for rows in (word[REACH : REACH + b - a], form[REACH : REACH + b - a] + WORDS):
+            order = np.argsort(rows, kind="stable")
+            ordered = rows[order]
+            at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            sums[ordered[at]] += np.add.reduceat(around[order], at, axis=0)
+    sums[[0, WORDS]] = 0
+
+
+def word_vectors(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 (0 where nothing was seen) for the rows of words and of shapes, over all of documents(text)."""
+    values = [f"v{k}" for k in range(DIMENSIONS)]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, sums = Coder(), np.zeros((WORDS + SHAPES, DIMENSIONS), np.int64)
+        waiting: list[np.ndarray] = []
+        for batch in batches:
+            for text in batch.column("text"):
+                waiting.append(coder.codes(text.as_py()))
+                if len(waiting[-1]) >= STEP or len(waiting) >= 256:
+                    add_neighbours(sums, waiting)
+                    waiting = []
+        add_neighbours(sums, waiting)
+        seen = np.flatnonzero(sums.any(1))
+        for at in range(0, len(seen), 1 << 14):
+            rows = seen[at : at + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(x) for x in np.ascontiguousarray(sums[rows].T))], names=["row", *values])
+
+    texts = sh.typed(documents, text="string").where(F.length("text") > 0)
+    schema = T.StructType([T.StructField("row", T.IntegerType()), *(T.StructField(v, T.LongType()) for v in values)])
+    total = texts.mapInArrow(summed, schema).groupBy("row").agg(*(F.sum(v).alias(v) for v in values)).toArrow()  # at most WORDS + SHAPES rows
+    vectors = np.zeros((WORDS + SHAPES, DIMENSIONS), np.float32)
+    sums = np.array([total.column(v).to_numpy() for v in values], np.float64).reshape(DIMENSIONS, -1).T
+    vectors[total.column("row").to_numpy()] = sums / np.maximum(np.sqrt((sums**2).sum(1, keepdims=True)), 1e-9)
+    return vectors[:WORDS], vectors[WORDS:]
+
+
+class Model:
+    def __init__(self, word_vectors: np.ndarray | None = None, shape_vectors: np.ndarray | None = None, constant: float = 0.5):
+        self.coder = Coder()
+        self.word_vectors, self.shape_vectors = word_vectors, shape_vectors
+        self.mean, self.scale = np.zeros(2 * DIMENSIONS, np.float32), np.ones(2 * DIMENSIONS, np.float32)
+        self.weights: list[np.ndarray] = []
+        self.temperature, self.constant = 1.0, constant
+
     def pooled(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(2 * DIMENSIONS, np.float32)
-        word, form = np.divmod(codes, len(self.shape_vectors))
+        if self.word_vectors is None:
+            return out
+        word, form = np.divmod(codes, SHAPES)
         for k, (ids, vectors) in enumerate(((word, self.word_vectors), (form, self.shape_vectors))):
-            step = 1 << 16
-            total = sum(vectors[ids[a : a + step]].sum(0, dtype=np.float64) for a in range(0, len(ids), step))
+            total = sum(vectors[ids[a : a + STEP]].sum(0, dtype=np.float64) for a in range(0, len(ids), STEP))
             out[k * DIMENSIONS : (k + 1) * DIMENSIONS] = total / max(1, len(ids))
         return out
 
@@ -116,51 +175,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(pooled) / self.temperature, -30, 30)))
 
 
-def _word_vectors(model: Model, texts: list[np.ndarray]) -> None:
-    """Random indexing over the coded texts, in runs that bound the memory."""
-    n_shapes = len(model.shape_vectors)
-    names = [[""] * len(v) for v in (model.word_vectors, model.shape_vectors)]
-    for to, known in zip(names, (model.words, model.shapes), strict=True):
-        for x, i in known.items():
-            to[i] = x
-    index = [_index_vectors([f"{kind}{x}" for x in n]) for kind, n in zip("ws", names, strict=True)]
-    index[0][0] = index[1][0] = 0
-    sums = [np.zeros(v.shape, np.float64) for v in (model.word_vectors, model.shape_vectors)]
-    for codes in texts:
-        for a in range(0, len(codes), 1 << 16):
-            lo, hi = max(0, a - REACH), min(len(codes), a + (1 << 16) + REACH)
-            word, form = np.divmod(codes[lo:hi], n_shapes)
-            own = index[0][word] + index[1][form]
-            around = np.zeros_like(own)
-            for k in range(1, REACH + 1):
-                around[k:] += own[:-k]
-                around[:-k] += own[k:]
-            inner = slice(a - lo, min(a + (1 << 16), len(codes)) - lo)
-            for ids, total in ((word[inner], sums[0]), (form[inner], sums[1])):
-                order = np.argsort(ids, kind="stable")
-                sorted_ids = ids[order]
-                at = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-                total[sorted_ids[at]] += np.add.reduceat(around[inner][order], at, axis=0)
-    for total, vectors in zip(sums, (model.word_vectors, model.shape_vectors), strict=True):
-        length = np.sqrt((total**2).sum(1, keepdims=True))
-        vectors[:] = total / np.maximum(length, 1e-9)
-        vectors[0] = 0
-
-
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    if not texts or len(set(labels)) < 2:
-        model = Model([], [])
-        model.constant = float(labels[0]) if labels else 0.5
-        return model
-    counts = Counter(w for t in texts for w in t.split())
-    words = sorted(w for w, n in counts.items() if n >= LEAST_COUNT)
-    shapes = Counter()
-    for w, n in counts.items():
-        shapes[shape(w)] += n
-    model = Model(words, [REPEATED, *sorted(s for s, n in shapes.items() if n >= LEAST_COUNT)])
-    coded = [model.codes(t) for t in texts]
-    _word_vectors(model, coded)
-    x, y = np.array([model.pooled(c) for c in coded], np.float64), np.array(labels, np.float64)
+def train(texts: list[str], labels: list[int], vectors: tuple[np.ndarray, np.ndarray], seed: int = 7) -> Model:
+    """A network over the pooled vectors of texts with labels of both classes."""
+    model = Model(*vectors)
+    x, y = np.array([model.pooled(model.coder.codes(t)) for t in texts], np.float64), np.array(labels, np.float64)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
@@ -190,7 +208,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from documents(doc_id, text) and labels(doc_id, quality), without the held-out fold."""
+    """A model from documents(doc_id, text) and labels(doc_id, quality). The held-out fold's labels teach nothing; its texts count for the word vectors."""
     labels = sh.typed(labels, doc_id="long", quality="int").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~sh.held_out(F.col("doc_id")))
     chosen = labels.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     docs = sh.typed(documents, doc_id="long", text="string").where(F.length("text") > 0)
@@ -198,7 +216,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     one = F.min_by(F.left("text", F.lit(SAMPLE_CHARS)), F.struct(F.xxhash64("text"), "text"))
     rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(one.alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
-    return train([r["text"] for r in rows], [r["quality"] for r in rows])
+    classes = sorted({r["quality"] for r in rows})
+    if len(classes) < 2:
+        return Model(constant=float(classes[0]) if classes else 0.5)
+    return train([r["text"] for r in rows], [r["quality"] for r in rows], word_vectors(documents))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -213,7 +234,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                codes = [own.codes(t or "") for t in part.column("text").cast(pa.string()).to_pylist()]
+                codes = [own.coder.codes(t or "") for t in part.column("text").cast(pa.string()).to_pylist()]
                 p = own.scores(np.array([own.pooled(c) for c in codes], np.float64).reshape(-1, 2 * DIMENSIONS))
                 p[[i for i, c in enumerate(codes) if not len(c)]] = 0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, "score"])

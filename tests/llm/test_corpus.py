@@ -127,6 +127,27 @@ def test_quality_on_the_held_out_fold(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) >= 0.8
 
 
+def test_word_vectors_are_of_all_documents(spark):
+    """Sums over every place of every text, by a plain loop, however the rows are spread."""
+    texts = [t for t in TEXTS if t]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    index = np.concatenate(quality.index_vectors()).astype(int)
+    sums = np.zeros(index.shape, int)
+    for codes in map(quality.Coder().codes, texts):
+        for i, c in enumerate(codes.tolist()):
+            for j in range(max(0, i - quality.REACH), min(len(codes), i + quality.REACH + 1)):
+                if j != i:
+                    d = int(codes[j])
+                    near = index[d // quality.SHAPES] + index[quality.WORDS + d % quality.SHAPES]
+                    sums[c // quality.SHAPES] += near
+                    sums[quality.WORDS + c % quality.SHAPES] += near
+    expected = sums / np.maximum(np.sqrt((sums.astype(float) ** 2).sum(1, keepdims=True)), 1e-9)
+    for n in (1, 5):
+        found = np.concatenate(quality.word_vectors(docs.repartition(n)))
+        assert np.allclose(found, expected, atol=1e-6)
+    assert not np.concatenate(quality.word_vectors(docs.where("false"))).any()
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
     model = quality.fit(docs, empty(spark, "doc_id long, quality int"))
