@@ -40,8 +40,8 @@ REPEATED = 1
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.01, 1e-4
 #: Words that a worker remembers, and the longest of them; beyond that number the memory starts anew. It changes the speed only.
 REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
-#: Words whose neighbours are added up at a time.
-STEP = 1 << 16
+#: Words whose neighbours are added up at a time, and words whose vectors are pooled at a time.
+STEP, POOL_STEP = 1 << 18, 1 << 16
 THRESHOLD = 0.7
 TEMPERATURES = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
 
@@ -61,46 +61,50 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240611)
     out = []
     for n in (WORDS, SHAPES):
-        vectors = np.zeros((n, DIMENSIONS), np.int32)
+        vectors = np.zeros((n, DIMENSIONS), np.int8)  # a component is at most NONZERO, and a place's sum at most 2 * REACH * 2 * NONZERO, 32 here
         places, signs = rng.integers(0, DIMENSIONS, (n, NONZERO)), rng.integers(0, 2, (n, NONZERO), np.int32) * 2 - 1
         for k in range(NONZERO):
-            vectors[np.arange(n), places[:, k]] += signs[:, k]
+            vectors[np.arange(n), places[:, k]] += signs[:, k].astype(np.int8)
         vectors[0] = 0
         out.append(vectors)
     return out[0], out[1]
 
 
-class Coder:
-    """Texts as codes, word row * SHAPES + shape row for each word; a word that repeats the one before has the shape REPEATED."""
+class Coder(dict):
+    """Words as codes, word row * SHAPES + shape row. A dictionary of the words it has met, so that known words need no Python code."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __getstate__(self) -> dict:
-        return {"known": {}}
-
-    def code(self, word: str) -> int:
+    def __missing__(self, word: str) -> int:
         row, form = (zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (word, shape(word)))
         c = (1 + row % (WORDS - 1)) * SHAPES + 2 + form % (SHAPES - 2)
         if len(word) <= LONGEST_REMEMBERED:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = c
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = c
         return c
 
     def codes(self, text: str) -> np.ndarray:
+        """A text's codes; a word that repeats the one before has the shape REPEATED."""
         words = text.split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self.code(words[i]) if c is None else c for i, c in enumerate(found)]
-        codes = np.array(found, np.int64)
-        if len(codes) > 1:
-            again = np.flatnonzero(codes[1:] == codes[:-1]) + 1
-            again = np.array([i for i in again.tolist() if words[i] == words[i - 1]], np.int64)
-            codes[again] += REPEATED - codes[again] % SHAPES
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        again = np.array([i for i in (np.flatnonzero(codes[1:] == codes[:-1]) + 1).tolist() if words[i] == words[i - 1]], np.int64)
+        codes[again] += REPEATED - codes[again] % SHAPES
         return codes
 
 
+@cache
+def coder() -> Coder:
+    """The one coder of a Python worker, which its tasks share."""
+    return Coder()
+
+
+def _totals(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sum of each one's rows."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[at], np.add.reduceat(rows[order], at, axis=0, dtype=np.int32)
+
+
 def add_neighbours(sums: np.ndarray, texts: Iterable[np.ndarray]) -> None:
     """Add to sums, rows of words and then of shapes, the index vectors around each place of coded texts."""
     gap = np.zeros(REACH, np.int64)  # row 0 between texts: no word is a neighbour of another text's
@@ -110,12 +114,14 @@ def add_neighbours(sums: np.ndarray, texts: Iterable[np.ndarray]) -> None:
         b = min(a + STEP, len(codes) - REACH)
         word, form = np.divmod(codes[a - REACH : b + REACH], SHAPES)
         own = of_words[word] + of_shapes[form]
-        around = sum(own[REACH + k : REACH + k + b - a] for k in (*range(-REACH, 0), *range(1, REACH + 1)))
-        for rows in (word[REACH : REACH + b - a], form[REACH : REACH + b - a] + WORDS):
-            order = np.argsort(rows, kind="stable")
-            ordered = rows[order]
-            at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            sums[ordered[at]] += np.add.reduceat(around[order], at, axis=0)
+        around = np.zeros((b - a, DIMENSIONS), np.int8)
+        for k in (*range(REACH), *range(REACH + 1, 2 * REACH + 1)):
+            around += own[k : k + b - a]
+        # by code first: there are few codes beside places, and each has one word row and one shape row
+        seen, total = _totals(codes[a:b], around)
+        for keys in (seen // SHAPES, seen % SHAPES + WORDS):
+            rows, values = _totals(keys, total)
+            sums[rows] += values
     sums[[0, WORDS]] = 0
 
 
@@ -124,14 +130,16 @@ def word_vectors(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     values = [f"v{k}" for k in range(DIMENSIONS)]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sums = Coder(), np.zeros((WORDS + SHAPES, DIMENSIONS), np.int64)
+        own, sums = coder(), np.zeros((WORDS + SHAPES, DIMENSIONS), np.int64)
         waiting: list[np.ndarray] = []
+        places = 0
         for batch in batches:
             for text in batch.column("text"):
-                waiting.append(coder.codes(text.as_py()))
-                if len(waiting[-1]) >= STEP or len(waiting) >= 256:
+                waiting.append(own.codes(text.as_py()))
+                places += len(waiting[-1]) + REACH
+                if places >= STEP:
                     add_neighbours(sums, waiting)
-                    waiting = []
+                    waiting, places = [], 0
         add_neighbours(sums, waiting)
         seen = np.flatnonzero(sums.any(1))
         for at in range(0, len(seen), 1 << 14):
@@ -149,7 +157,6 @@ def word_vectors(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 class Model:
     def __init__(self, word_vectors: np.ndarray | None = None, shape_vectors: np.ndarray | None = None, constant: float = 0.5):
-        self.coder = Coder()
         self.word_vectors, self.shape_vectors = word_vectors, shape_vectors
         self.mean, self.scale = np.zeros(2 * DIMENSIONS, np.float32), np.ones(2 * DIMENSIONS, np.float32)
         self.weights: list[np.ndarray] = []
@@ -161,7 +168,7 @@ class Model:
             return out
         word, form = np.divmod(codes, SHAPES)
         for k, (ids, vectors) in enumerate(((word, self.word_vectors), (form, self.shape_vectors))):
-            total = sum(vectors[ids[a : a + STEP]].sum(0, dtype=np.float64) for a in range(0, len(ids), STEP))
+            total = sum(vectors[ids[a : a + POOL_STEP]].sum(0, dtype=np.float64) for a in range(0, len(ids), POOL_STEP))
             out[k * DIMENSIONS : (k + 1) * DIMENSIONS] = total / max(1, len(ids))
         return out
 
@@ -178,7 +185,7 @@ class Model:
 def train(texts: list[str], labels: list[int], vectors: tuple[np.ndarray, np.ndarray], seed: int = 7) -> Model:
     """A network over the pooled vectors of texts with labels of both classes."""
     model = Model(*vectors)
-    x, y = np.array([model.pooled(model.coder.codes(t)) for t in texts], np.float64), np.array(labels, np.float64)
+    x, y = np.array([model.pooled(coder().codes(t)) for t in texts], np.float64), np.array(labels, np.float64)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
@@ -230,11 +237,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     schema = sh.with_fields(documents.select(*others).schema, score=T.DoubleType())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, words = shared.value, coder()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                codes = [own.coder.codes(t or "") for t in part.column("text").cast(pa.string()).to_pylist()]
+                codes = [words.codes(t or "") for t in part.column("text").cast(pa.string()).to_pylist()]
                 p = own.scores(np.array([own.pooled(c) for c in codes], np.float64).reshape(-1, 2 * DIMENSIONS))
                 p[[i for i, c in enumerate(codes) if not len(c)]] = 0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, "score"])
