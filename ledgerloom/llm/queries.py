@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, decontamination, language, line_dedup, near_duplicates, packing, quality, secrets, token_counts, top_k
+from ledgerloom.llm import chat_format, decontamination, filter_audit, language, line_dedup, near_duplicates, packing, quality, secrets, token_counts, top_k
 from ledgerloom.llm._shared import held_out, table
 
 
@@ -63,6 +63,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), 10, F.col("vec_id") % 100 == 0)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_top_k": op10_top_k,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -173,4 +178,37 @@ ORACLE_SQL = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), known AS (
+            SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+        ), flags AS (
+            SELECT x.part, coalesce(k.good, false) AS good, coalesce(k.toxic, false) AS toxic, {
+                'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t),
+                'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(x.doc_id > min(x.doc_id) OVER (PARTITION BY t), false)} AS f
+            FROM texts x LEFT JOIN known k ON x.doc_id = k.doc_id
+        ), failed AS (
+            SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda c: CASE c WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS fails, count(*) AS n FROM flags GROUP BY ALL
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+        ), orders AS (
+            SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+        ), steps AS (
+            SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s] AS own, list_filter(string_split(filter_order, ''), lambda x: instr(filter_order, x) < s) AS earlier FROM orders, range(1, 6) r(s)
+        ), counted AS (
+            SELECT part, filter_order, step, own,
+                   coalesce(sum(n) FILTER (WHERE NOT list_has_any(fails, earlier) AND NOT list_contains(fails, own)), 0) AS kept,
+                   coalesce(sum(n) FILTER (WHERE NOT list_has_any(fails, earlier) AND list_contains(fails, own)), 0) AS removed,
+                   coalesce(sum(n) FILTER (WHERE list_has_any(fails, earlier) AND list_contains(fails, own)), 0) AS redundant,
+                   coalesce(sum(n) FILTER (WHERE fails = [own]), 0) AS unique_fails,
+                   coalesce(sum(n) FILTER (WHERE good AND NOT list_has_any(fails, earlier) AND list_contains(fails, own)), 0) AS good_lost,
+                   coalesce(sum(n) FILTER (WHERE toxic AND NOT list_has_any(fails, earlier) AND list_contains(fails, own)), 0) AS toxic_lost
+            FROM failed, steps GROUP BY ALL
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM counted
+    """,
 }
