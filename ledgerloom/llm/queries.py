@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, decontamination, filter_audit, language, line_dedup, near_duplicates, packing, quality, secrets, token_counts, top_k
+from ledgerloom.llm import chat_format, decontamination, filter_audit, language, line_dedup, near_duplicates, packing, quality, secrets, token_counts, top_k, toxicity
 from ledgerloom.llm._shared import held_out, table
 
 
@@ -63,6 +63,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), 10, F.col("vec_id") % 100 == 0)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, lexicon).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_top_k": op10_top_k,
+    "op11_toxicity": op11_toxicity,
     "op12_filter_audit": op12_filter_audit,
 }
 
