@@ -29,12 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import _shared as sh
 from ledgerloom.llm import vectors as v
+from ledgerloom.operators.keeping import settings
 
 SCALE = 256
 #: Pivots of a length, and the rows, the first by hash of their id, that they come from.
@@ -43,8 +44,8 @@ PIVOTS, PIVOT_ROWS = 16, 64
 BLOCK, BLOCK_BYTES = 2048, 1 << 19
 #: A group has at most so many anchors, or more where there would be over MOST_GROUPS: what is known of groups is broadcast, some 300 bytes each.
 GROUP, MOST_GROUPS = 4096, 4096
-#: Blocks of one share, so that a task's share is some 32 MB, and anchors that meet a block at a time.
-SHARE, TOGETHER = 64, 512
+#: Blocks of one share, so that a share is some 8 MB, and anchors that meet a block at a time.
+SHARE, TOGETHER = 16, 512
 #: Distances are doubles; bounds are widened by this share of the lengths, above their rounding up to 10,000 dimensions.
 SLACK = 2e-6
 NONE = v.LEAST
@@ -291,6 +292,11 @@ def _joined(groups: DataFrame, blocks: DataFrame, shares: int, function, schema:
     return left.groupBy("number", "share").cogroup(right.groupBy("group", "share")).applyInArrow(function, schema)
 
 
+def spread(spark: SparkSession):
+    """Shares are small beside their work: they stay in the partitions that they were dealt to."""
+    return settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false")
+
+
 def _rows(table: pa.Table) -> Iterator[dict]:
     for batch in table.to_batches():
         for at in range(batch.num_rows):
@@ -381,7 +387,8 @@ def hard_negatives(
                     far = float(own.space.reach(own.norms[place[some]], low[some]).max())
                 yield pa.RecordBatch.from_arrays([pa.array([r["number"]], pa.int64()), pa.array([near]), pa.array([far])], names=["number", "nearest", "farthest"])
 
-    with_positives = sh.written(groups.join(chosen, "number"), "positives")
+    with spread(spark):
+        with_positives = sh.written(groups.join(chosen, "number"), "positives")
     banded = sh.written(with_positives.mapInArrow(reached, "number long, nearest double, farthest double"), "bands")
     bounds = summary(with_positives.join(banded, "number"), "nearest", "farthest")
 
@@ -410,6 +417,7 @@ def hard_negatives(
         return pa.table([pa.array(np.asarray(x, np.int64)) for x in out], names=names)
 
     names = ["number", "seeker", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
-    mined = _joined(with_positives, replicated(blocks, bounds, True), shares, best_negatives, ", ".join(f"{n} long" for n in names))
+    with spread(spark):
+        mined = sh.written(_joined(with_positives, replicated(blocks, bounds, True), shares, best_negatives, ", ".join(f"{n} long" for n in names)), "mined")
     order = Window.partitionBy("number", "seeker").orderBy(F.desc("negative_score"), "negative_id")
     return mined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
