@@ -16,9 +16,10 @@ How much is pruned depends on the data: annuli of clusters are narrow, but vecto
 all about equally far apart, and no triangle inequality tells them from each other. The share of (query, annulus) pairs that
 were visited is logged at level INFO.
 
-Defined results: vectors that are null or empty, that hold a null or non-finite component, or whose squared length (as
-integers) is 2^62 or more, so that a score might not fit 64 bits, take no part, nor do rows with a null vec_id. Vectors meet
-only vectors of their own length. Rows with the query's own vec_id are not its candidates; other repeated rows are candidates
+Defined results: vectors that are null or empty or hold a null or non-finite component take no part, nor do rows with a null
+vec_id. All others do: vectors so large that 64 bits might not hold a score (vectors.py) have annuli of their own, which nothing
+prunes, and are multiplied as unbounded integers; a returned score that is no long raises an error. Vectors meet only vectors
+of their own length. Rows with the query's own vec_id are not its candidates; other repeated rows are candidates
 like any others, and a repeated query row is a query of its own. Ties go to the smaller vec_id. Fewer candidates than k: all
 of them. Extra columns are ignored.
 """
@@ -35,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import _shared as sh
+from ledgerloom.llm import vectors as v
 
 SCALE = 1024
 #: The pivots are this many rows, the first by hash of their id.
@@ -47,40 +49,15 @@ QUERY_BYTES = 16 << 20
 RUN, TOGETHER = 16, 512
 #: Distances are floats; bounds are widened by this share of the vectors' lengths, above their rounding up to 10,000 dimensions.
 SLACK = 2e-6
-NO_BOUND = np.iinfo(np.int64).min
-LONGEST = 2.0**62
+NO_BOUND = v.LEAST
 LOG = logging.getLogger(__name__)
 
 
-def integers(column: pa.Array) -> list[np.ndarray | None]:
-    out = []
-    for x in column:
-        v = None
-        if x.is_valid and len(x.values) and not x.values.null_count:
-            f = np.floor(x.values.to_numpy(zero_copy_only=False).astype(np.float64) * SCALE)
-            if np.isfinite(f).all() and np.abs(f).max() < 2.0**31 and f @ f < LONGEST:
-                v = f.astype(np.int64)
-        out.append(v)
-    return out
-
-
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two integer matrices whose squared lengths are below LONGEST."""
-    largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if largest < 2.0**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    """Between the rows of two matrices of scaled tame vectors."""
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0))
 
 
-def squares(a: np.ndarray) -> np.ndarray:
-    return (a.astype(np.float64) ** 2).sum(1)
-
-
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     if len(scores) > k:
@@ -97,15 +74,16 @@ def reach(norms: np.ndarray, norm: float, bound: np.ndarray) -> np.ndarray:
 
 
 class Queries:
-    """Queries of one length in one batch, with what was found for each so far."""
+    """Queries of one length in one batch, all tame or none, with what was found for each so far."""
 
-    def __init__(self, rows: list[tuple], dim: int, centres: np.ndarray | None, k: int):
-        self.k = k
+    def __init__(self, rows: list[tuple], dim: int, tame: bool, centres: np.ndarray | None, component: str, k: int):
+        self.k, self.tame = k, tame
         self.ids = np.concatenate([np.frombuffer(r[0], "<i8") for r in rows])
-        self.values = np.concatenate([np.frombuffer(r[1], "<i8").reshape(-1, dim) for r in rows])
+        self.values = np.concatenate([np.frombuffer(r[1], component).reshape(-1, dim) for r in rows])
         self.bound = np.concatenate([np.frombuffer(r[2], "<i8") for r in rows]).copy()
-        self.norms = squares(self.values)
-        self.to_pivots = distances(self.values, centres) if centres is not None else np.zeros((len(self.ids), 0))
+        self.scaled = v.scaled(self.values, SCALE)
+        self.norms = v.squares(self.scaled) if tame else np.full(len(self.ids), np.inf)
+        self.to_pivots = distances(self.scaled, centres) if centres is not None and tame else np.zeros((len(self.ids), 0))
         self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.visited = self.pairs = 0
 
@@ -114,7 +92,7 @@ class Queries:
         gaps = np.zeros((len(self.ids), len(annuli)))
         norms = np.array([a["norm"] for a in annuli])
         for i, a in enumerate(annuli):
-            if self.to_pivots.shape[1]:
+            if self.to_pivots.shape[1] and a["tame"]:
                 gaps[:, i] = np.maximum(np.maximum(a["low"] - self.to_pivots, self.to_pivots - a["high"]).max(1), 0)
         order = np.argsort(gaps, axis=1, kind="stable")
         going = np.arange(len(self.ids))
@@ -132,7 +110,7 @@ class Queries:
 
     def meet(self, places: np.ndarray, annulus: dict) -> None:
         ids = annulus["ids"]
-        scores = products(self.values[places], annulus["values"])
+        scores = v.whole_products(self.scaled[places], annulus["scaled"]) if self.tame and annulus["tame"] else v.products(self.values[places], annulus["values"], SCALE)
         ok = (scores >= self.bound[places, None]) & (ids[None, :] != self.ids[places, None])
         for j in np.flatnonzero(ok.any(1)).tolist():
             q = int(places[j])
@@ -146,32 +124,29 @@ class Queries:
 
 
 def _pivots(plain: DataFrame) -> dict[int, np.ndarray]:
-    """Distinct vectors of the first PIVOTS rows by hash, by length."""
-    pivots: dict[int, list[np.ndarray]] = {}
+    """Distinct tame vectors, scaled, of the first PIVOTS rows by hash, by length."""
     sample = plain.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).toArrow()
-    for v in integers(sample.column("v").combine_chunks()) if sample.num_rows else []:
-        if v is not None and not any((v == x).all() for x in pivots.get(len(v), [])):
-            pivots.setdefault(len(v), []).append(v)
-    return {dim: np.array(x) for dim, x in pivots.items()}
+    out: dict[int, np.ndarray] = {}
+    for _, m in v.matrices(sample.column("v").combine_chunks()) if sample.num_rows else []:
+        f = v.scaled(m, SCALE)
+        f = np.unique(f[v.tame(f)], axis=0)
+        if len(f):
+            out[m.shape[1]] = f
+    return out
 
 
-def index(plain: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """The annuli of plain(vec_id, v, query): sorted runs of vectors of one cell, with their distances to all pivots."""
+def index(plain: DataFrame, centres: dict[int, np.ndarray], component: str) -> DataFrame:
+    """The annuli of plain(vec_id, v, query): sorted runs of vectors of one cell, with their distances to all pivots. Cell -1 has no pivots; -2 holds what isn't tame."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = integers(batch.column("v"))
-            by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(values):
-                if v is not None:
-                    by_dim.setdefault(len(v), []).append(i)
-            for dim, rows in by_dim.items():
-                m = np.array([values[i] for i in rows])
-                pivot, distance = np.full(len(rows), -1), np.zeros(len(rows))
-                if dim in centres:
-                    d = distances(m, centres[dim])
-                    pivot = d.argmin(1)
-                    distance = d[np.arange(len(rows)), pivot]
+            for rows, m in v.matrices(batch.column("v")):
+                f, dim = v.scaled(m, SCALE), m.shape[1]
+                fine = v.tame(f)
+                pivot, distance = np.where(fine, -1, -2), np.zeros(len(rows))
+                if dim in centres and fine.any():
+                    d = distances(f[fine], centres[dim])
+                    pivot[fine], distance[fine] = d.argmin(1), d.min(1)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("vec_id").take(take), batch.column("query").take(take), pa.array([dim] * len(rows), pa.int32()), pa.array(pivot, pa.int32()), pa.array(distance, pa.float64()), sh.binary_array(m)],
@@ -184,12 +159,13 @@ def index(plain: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
         def annulus() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held.clear()
-            dim = t.column("dim")[0].as_py()
-            m = sh.binary_rows(t.column("values"), "<i8", dim)
-            d = distances(m, centres[dim]) if dim in centres else np.zeros((len(m), 0))
+            dim, tame = t.column("dim")[0].as_py(), t.column("pivot")[0].as_py() > -2
+            m = sh.binary_rows(t.column("values"), component, dim)
+            f = v.scaled(m, SCALE)
+            d = distances(f, centres[dim]) if dim in centres and tame else np.zeros((len(m), 0))
             ids, query = (np.asarray(t.column(c).to_numpy(zero_copy_only=False)).astype(kind) for c, kind in (("vec_id", "<i8"), ("query", "u1")))
-            plain_values = [pa.array([x], kind) for x, kind in ((dim, pa.int32()), (float(squares(m).max()), pa.float64()), (bool(query.any()), pa.bool_()))]
-            return pa.RecordBatch.from_arrays([*plain_values, *(sh.binary_array(x.reshape(1, -1)) for x in (d.min(0), d.max(0), ids, query, m))], names=["dim", "norm", "asks", "low", "high", "ids", "query", "values"])
+            plain_values = [pa.array([x], kind) for x, kind in ((dim, pa.int32()), (tame, pa.bool_()), (float(v.squares(f).max()) if tame else np.inf, pa.float64()), (bool(query.any()), pa.bool_()))]
+            return pa.RecordBatch.from_arrays([*plain_values, *(sh.binary_array(x.reshape(1, -1)) for x in (d.min(0), d.max(0), ids, query, m))], names=["dim", "tame", "norm", "asks", "low", "high", "ids", "query", "values"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -197,7 +173,7 @@ def index(plain: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
             cell = np.stack([batch.column(c).to_numpy() for c in ("dim", "pivot")], 1)
             cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                most = max(1, min(BLOCK, BLOCK_BYTES // (8 * int(cell[x, 0]))))
+                most = max(1, min(BLOCK, BLOCK_BYTES // (int(component[-1]) * int(cell[x, 0]))))
                 if held and (held[-1].column("dim")[0].as_py(), held[-1].column("pivot")[0].as_py()) != tuple(cell[x].tolist()):
                     yield annulus()
                 while x < y:
@@ -212,26 +188,28 @@ def index(plain: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     columns = "vec_id long, query boolean, dim int, pivot int, distance double, values binary"
     order = ("dim", "pivot", "distance", "vec_id")
     in_order = plain.mapInArrow(keyed, columns).repartitionByRange(*order).sortWithinPartitions(*order)
-    return sh.written(in_order.mapInArrow(annuli, "dim int, norm double, asks boolean, low binary, high binary, ids binary, query binary, values binary"), "annuli")
+    return sh.written(in_order.mapInArrow(annuli, "dim int, tame boolean, norm double, asks boolean, low binary, high binary, ids binary, query binary, values binary"), "annuli")
 
 
-def _asked(blocks: DataFrame, k: int) -> DataFrame:
+def _asked(blocks: DataFrame, component: str, k: int) -> DataFrame:
     """The queries of each annulus, each with the bound that its own annulus gives."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, m = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["values"], "<i8").reshape(-1, r["dim"])
+                ids, m = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["values"], component).reshape(-1, r["dim"])
+                f = v.scaled(m, SCALE)
                 at = np.flatnonzero(np.frombuffer(r["query"], "u1"))
                 bound = np.full(len(at), NO_BOUND)
                 for first in range(0, len(at), TOGETHER):
-                    for j, scores in enumerate(products(m[at[first : first + TOGETHER]], m), first):
+                    some = at[first : first + TOGETHER]
+                    for j, scores in enumerate(v.whole_products(f[some], f) if r["tame"] else v.products(m[some], m, SCALE), first):
                         scores = scores[ids != ids[at[j]]]
                         if len(scores) >= k:
                             bound[j] = np.partition(scores, len(scores) - k)[len(scores) - k]
-                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), *(sh.binary_array(x.reshape(1, -1)) for x in (ids[at], m[at], bound))], names=["dim", "ids", "values", "bounds"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), pa.array([r["tame"]]), *(sh.binary_array(x.reshape(1, -1)) for x in (ids[at], m[at], bound))], names=["dim", "tame", "ids", "values", "bounds"])
 
-    return sh.written(blocks.where("asks").select("dim", "ids", "query", "values").mapInArrow(ask, "dim int, ids binary, values binary, bounds binary"), "asked")
+    return sh.written(blocks.where("asks").select("dim", "tame", "ids", "query", "values").mapInArrow(ask, "dim int, tame boolean, ids binary, values binary, bounds binary"), "asked")
 
 
 def _batches(asked: DataFrame) -> Iterator[list[Row]]:
@@ -247,30 +225,36 @@ def _batches(asked: DataFrame) -> Iterator[list[Row]]:
         yield held
 
 
-def _visited(blocks: DataFrame, batch: list[Row], number: int, centres: dict[int, np.ndarray], k: int) -> DataFrame:
+def _visited(blocks: DataFrame, batch: list[Row], number: int, centres: dict[int, np.ndarray], component: str, k: int) -> DataFrame:
     """For each query of the batch (asked, place) at most k rows from each task; and a row without a query with the pairs visited and all pairs."""
-    by_dim: dict[int, list[tuple]] = {}
+    by_kind: dict[tuple[int, bool], list[tuple]] = {}
     for row in batch:
-        by_dim.setdefault(row["dim"], []).append((bytes(row["ids"]), bytes(row["values"]), bytes(row["bounds"])))
-    shared = blocks.sparkSession.sparkContext.broadcast(by_dim)
+        by_kind.setdefault((row["dim"], row["tame"]), []).append((bytes(row["ids"]), bytes(row["values"]), bytes(row["bounds"])))
+    shared = blocks.sparkSession.sparkContext.broadcast(by_kind)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = {dim: Queries(rows, dim, centres.get(dim), k) for dim, rows in shared.value.items()}
-        runs: dict[int, list[dict]] = {dim: [] for dim in queries}
+        queries = {(dim, tame): Queries(rows, dim, tame, centres.get(dim), component, k) for (dim, tame), rows in shared.value.items()}
+        runs: dict[int, list[dict]] = {dim: [] for dim, _ in queries}
+
+        def expand(dim: int) -> None:
+            for own, asking in queries.items():
+                if own[0] == dim and runs[dim]:
+                    asking.expand(runs[dim])
+            runs[dim] = []
+
         for arrow in batches:
             for at in range(arrow.num_rows):
                 r = arrow.slice(at, 1).to_pylist()[0]
                 if r["dim"] not in runs:
                     continue
-                own = {"norm": r["norm"], "ids": np.frombuffer(r["ids"], "<i8"), "values": np.frombuffer(r["values"], "<i8").reshape(-1, r["dim"])}
-                runs[r["dim"]].append(own | {c: np.frombuffer(r[c], "<f8") for c in ("low", "high")})
+                own = {"norm": r["norm"], "tame": r["tame"], "ids": np.frombuffer(r["ids"], "<i8"), "values": np.frombuffer(r["values"], component).reshape(-1, r["dim"])}
+                runs[r["dim"]].append(own | {"scaled": v.scaled(own["values"], SCALE)} | {c: np.frombuffer(r[c], "<f8") for c in ("low", "high")})
                 if len(runs[r["dim"]]) == RUN:
-                    queries[r["dim"]].expand(runs[r["dim"]])
-                    runs[r["dim"]] = []
-        for dim, run in runs.items():
-            if run:
-                queries[dim].expand(run)
-        for dim, own in queries.items():
+                    expand(r["dim"])
+        for dim in runs:
+            expand(dim)
+        for (dim, tame), own in queries.items():
+            dim = dim if tame else -dim  # places are numbered apart
             n = [len(s) for s, _ in own.found.values()]
             place = np.repeat(np.array(list(own.found), np.int64), n)
             none = np.zeros(0, np.int64)
@@ -288,10 +272,12 @@ def _visited(blocks: DataFrame, batch: list[Row], number: int, centres: dict[int
 def top_k(vectors: DataFrame, k: int, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score for each row of vectors that is_query holds for, against all rows."""
     sh.require(vectors, id_column, vector_column)
-    plain = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where("vec_id is not null and v is not null")
+    kind = v.component_type(vectors, vector_column)
+    component = "<f4" if kind == "array<float>" else "<f8"
+    plain = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where("vec_id is not null and v is not null")
     centres = _pivots(plain)
-    blocks = index(plain, centres)
-    found = [_visited(blocks, batch, number, centres, k) for number, batch in enumerate(_batches(_asked(blocks, k)))]
+    blocks = index(plain, centres, component)
+    found = [_visited(blocks, batch, number, centres, component, k) for number, batch in enumerate(_batches(_asked(blocks, component, k)))]
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     candidates = reduce(DataFrame.union, found)
@@ -299,7 +285,7 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, id_column: str = "vec_id
         LOG.info("%d of %d (query, annulus) pairs visited", *visits(candidates))
     order = Window.partitionBy("query_id", "asked", "dim", "place").orderBy(F.desc("score"), "vec_id")
     ranked = candidates.where("place is not null").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", v.fits(F.col("score")).alias("score"))
 
 
 def visits(candidates: DataFrame) -> tuple[int, int]:

