@@ -1,10 +1,18 @@
 """One-to-one assignment of ledger rows to acquirer rows of the same authorisation.
 
 Rows compete only within their own match key, so the greedy assignment (ledger rows in order, each takes its best free
-candidate) is exact when made key by key. A key with a single ledger row has no contest: its acquirer rows are joined and
-reduced to the best one with map-side aggregation, so any number of them is fine. The rows of contested keys are sorted and
-streamed through tasks: a key's free acquirer rows are held by value, instalments, NSU and date, so that each choice takes
-a few look-ups, however many rows the key has. Each choice depends on the ones before, so a contested key is one task's work.
+candidate) is exact when made key by key. Keys are dealt with by their size, which is counted first:
+
+- A key with a single ledger row has no contest: its acquirer rows are joined and reduced to the best one with map-side
+  aggregation, so any number of them is fine.
+- A key of at most SMALL pairs is folded in the JVM: its scored pairs become one sorted list of candidates for each ledger row,
+  and the ledger rows take their turns along it. No group has more pairs than that.
+- A larger key falls apart into runs of near values (no two of them within the tolerance), as a row of near value comes before
+  all others. Each run is swept by itself, so that a hot key's rows spread over tasks. If every ledger row finds a free row of
+  near value at its turn, no row ever looks outside its run, and the runs' assignments are the key's.
+- Where one doesn't, or a consolidated row asks how many rows are free, the key is swept as a whole: rows stream through one
+  task in order, each choice a few look-ups among queues of free rows. Such a choice may take the row that the next one wants,
+  and that one the row of the one after it, all along the key: no rounds of proposals end sooner than the sweep.
 """
 
 from __future__ import annotations
@@ -12,14 +20,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import MATCH_KEY, criterion, staged
 from ledgerloom.functions.installments import CRITERIA
+from ledgerloom.operators.keeping import keep
 
 TOLERANCE = "0.02"
 CENTS = 2
+#: Keys of so many pairs of rows at most are folded.
+SMALL = 4096
 SCORED = ("valor_bruto", "parcela", "numero_parcelas", "nsu", "data_venda")
 #: What became of a ledger row.
 TAKEN, NONE_FREE, SEVERAL = "taken", "none", "several"
@@ -60,9 +71,12 @@ def candidate_scores(ledger: DataFrame, acquirer: DataFrame) -> DataFrame:
 
 def assigned(ledger: DataFrame, acquirer: DataFrame) -> DataFrame:
     """s_ord, r_ord and outcome of each ledger row whose key the acquirer has. ledger has _grouped."""
-    s, r = _keyed(ledger, "_grouped"), _keyed(acquirer)
+    s, r = keep(_keyed(ledger, "_grouped"), "choosing"), keep(_keyed(acquirer), "offered")
     by_key = s.groupBy("auth_key").agg(F.count("*").alias("n"), F.any_value(F.struct("ord", *SCORED, "_grouped")).alias("s"))
-    return _uncontested(by_key.where("n = 1").drop("n"), r).unionByName(_contested(s, r, by_key.where("n > 1").select("auth_key")))
+    sizes = keep(by_key.where("n > 1").drop("s").join(r.groupBy("auth_key").agg(F.count("*").alias("m")), "auth_key"), "contested")
+    out = _uncontested(by_key.where("n = 1").drop("n"), r).unionByName(_folded(s, r, sizes.where(F.col("n") * F.col("m") <= SMALL).select("auth_key")))
+    large = sizes.where(F.col("n") * F.col("m") > SMALL)
+    return out if large.isEmpty() else out.unionByName(_swept(s, r, large))
 
 
 def _uncontested(single: DataFrame, r: DataFrame) -> DataFrame:
@@ -72,48 +86,98 @@ def _uncontested(single: DataFrame, r: DataFrame) -> DataFrame:
     return best.select("s_ord", F.when(~several, -F.col("best.first")).alias("r_ord"), F.when(several, F.lit(SEVERAL)).otherwise(F.lit(TAKEN)).alias("outcome"))
 
 
-def _contested(s: DataFrame, r: DataFrame, keys: DataFrame) -> DataFrame:
-    plain = lambda df, side, grouped: df.join(keys, "auth_key", "left_semi").select(
-        "auth_key", F.lit(side).alias("side"), "ord", (F.col("valor_bruto") * 100).cast("decimal(38,0)").alias("cents"), "parcela", "numero_parcelas", F.nullif("nsu", F.lit("")).alias("nsu"), F.unix_date("data_venda").alias("day"), grouped.alias("grouped")
+def _folded(s: DataFrame, r: DataFrame, keys: DataFrame) -> DataFrame:
+    """The assignment of keys of few pairs, each key one row."""
+    choosing = s.join(keys, "auth_key", "left_semi").select("auth_key", F.struct("ord", *SCORED, "_grouped").alias("s"))
+    pairs = choosing.join(r.select("auth_key", F.struct("ord", *SCORED).alias("r")), "auth_key").select("auth_key", F.col("s.ord").alias("s_ord"), F.col("s._grouped").alias("grouped"), score(F.col("s"), F.col("r")).alias("score"))
+    lists = pairs.groupBy("auth_key", "s_ord", "grouped").agg(F.sort_array(F.collect_list("score"), asc=False).alias("wanted"))
+    lists = lists.withColumn("wanted", F.transform("wanted", lambda x: -x["first"]))
+    turns = lists.groupBy("auth_key").agg(F.array_sort(F.collect_list(F.struct("s_ord", "grouped", "wanted"))).alias("turns"))
+    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<s_ord:bigint,r_ord:bigint,outcome:string>>").alias("out"))
+
+    def turn(acc: Column, x: Column) -> Column:
+        free = F.array_except(x["wanted"], acc["used"])  # keeps the order, and acquirer rows are unique
+        outcome = F.when(F.size(free) == 0, F.lit(NONE_FREE)).when(x["grouped"] & (F.size(free) > 1), F.lit(SEVERAL)).otherwise(F.lit(TAKEN))
+        pick = F.when(outcome == TAKEN, F.get(free, F.lit(0)))
+        used = F.when(pick.isNotNull(), F.array_append(acc["used"], pick)).otherwise(acc["used"])
+        return F.struct(used.alias("used"), F.array_append(acc["out"], F.struct(x["s_ord"].alias("s_ord"), pick.alias("r_ord"), outcome.alias("outcome"))).alias("out"))
+
+    return turns.select(F.inline(F.aggregate("turns", start, turn)["out"]))
+
+
+def _swept(s: DataFrame, r: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The assignment of large keys: run by run of near values, and whole where that isn't enough."""
+    of_key = sizes.select("auth_key", "m")
+    plain = lambda df, side, grouped: df.join(of_key, "auth_key").select(
+        "auth_key", F.lit(side).alias("side"), "ord", (F.col("valor_bruto") * 100).cast("decimal(38,0)").alias("cents"), "parcela", "numero_parcelas", F.nullif("nsu", F.lit("")).alias("nsu"), F.unix_date("data_venda").alias("day"), grouped.alias("grouped"), "m"
     )
-    both = plain(r, 0, F.lit(False)).unionByName(plain(s, 1, F.col("_grouped")))
-    # by a hash of the key: by the key itself, the planner may take the joins' partitions below the union for it, although adaptive execution reads them differently
-    return both.repartition(F.xxhash64("auth_key")).sortWithinPartitions("auth_key", "side", "ord").mapInArrow(_chosen, "s_ord bigint, r_ord bigint, outcome string")
+    both = keep(plain(r, 0, F.lit(False)).unionByName(plain(s, 1, F.col("_grouped"))), "large")
+    # only the first m ledger rows of a key may find anything, if each finds one
+    asking = both.where("side = 1").withColumn("turn", F.row_number().over(Window.partitionBy("auth_key").orderBy("ord")))
+    late = asking.where("turn > m").select("auth_key", "ord")
+    values = both.where("cents is not null").groupBy("auth_key", "cents").agg(F.count("*").alias("n")).drop("n")
+    by_value = Window.partitionBy("auth_key").orderBy("cents")
+    starts = F.coalesce(F.col("cents") - F.lag("cents").over(by_value) > CENTS, F.lit(True)).cast("long")
+    runs = keep(values.withColumn("begins", starts).withColumn("run", F.sum("begins").over(by_value)).drop("begins"), "runs")
+    placed = both.join(late.withColumn("late", F.lit(True)), ["auth_key", "ord"], "left").where("late is null or side = 0").join(runs, ["auth_key", "cents"])
+    columns = ("auth_key", "run", "side", "ord", "cents", "parcela", "numero_parcelas", "nsu", "day", "grouped")
+    # by a hash of the key: by the key itself, the planner may take the joins' partitions below for it, although adaptive execution reads them differently
+    dealt = placed.select(*columns).repartition(F.xxhash64("auth_key", "run")).sortWithinPartitions("auth_key", "run", "side", "ord")
+    within = keep(dealt.mapInArrow(_within_runs, _CHOSEN), "within")
+    unsettled = within.where("outcome is null").select("auth_key").union(both.where("side = 1 and (grouped or cents is null)").select("auth_key")).distinct()
+    unsettled = keep(unsettled, "unsettled")
+    settled = within.join(unsettled, "auth_key", "left_anti").drop("auth_key")
+    after = late.join(unsettled, "auth_key", "left_anti").select(F.col("ord").alias("s_ord"), F.lit(None).cast("bigint").alias("r_ord"), F.lit(NONE_FREE).alias("outcome"))
+    whole = both.join(unsettled, "auth_key", "left_semi").withColumn("run", F.lit(0).cast("bigint")).select(*columns)
+    swept = whole.repartition(F.xxhash64("auth_key")).sortWithinPartitions("auth_key", "side", "ord").mapInArrow(_along_keys, _CHOSEN)
+    return settled.unionByName(after).unionByName(swept.drop("auth_key"))
+
+
+_CHOSEN = "auth_key string, s_ord bigint, r_ord bigint, outcome string"
+
+
+def _within_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _chosen(batches, near_only=True)
+
+
+def _along_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _chosen(batches, near_only=False)
 
 
-def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (auth_key, side, ord): a key's acquirer rows become free, then its ledger rows choose."""
+def _chosen(batches: Iterator[pa.RecordBatch], near_only: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (auth_key, run, side, ord): acquirer rows become free, then ledger rows choose. near_only: where no free row is near, the outcome is null."""
     key, free = None, Free()
     for batch in batches:
-        out: list[tuple[int, int | None, str]] = []
-        for auth_key, side, ord_, cents, current, total, nsu, day, grouped in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if auth_key != key:
-                key, free = auth_key, Free()
+        out: list[tuple[str, int, int | None, str | None]] = []
+        for auth_key, run, side, ord_, cents, current, total, nsu, day, grouped in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (auth_key, run) != key:
+                key, free = (auth_key, run), Free()
             cents = None if cents is None else int(cents)
             if side == 0:
                 free.add(ord_, cents, current, total, nsu, day)
-            elif free.seen:
-                if not free.n:
-                    out.append((ord_, None, NONE_FREE))
-                elif grouped and free.n > 1:
-                    out.append((ord_, None, SEVERAL))
-                else:
-                    out.append((ord_, free.take(cents, current, total, nsu, day), TAKEN))
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["s_ord", "r_ord", "outcome"])
+            elif near_only:
+                pick = free.take(cents, current, total, nsu, day, near_only)
+                out.append((auth_key, ord_, pick, TAKEN if pick is not None else None))
+            elif not free.n:
+                out.append((auth_key, ord_, None, NONE_FREE))
+            elif grouped and free.n > 1:
+                out.append((auth_key, ord_, None, SEVERAL))
+            else:
+                out.append((auth_key, ord_, free.take(cents, current, total, nsu, day), TAKEN))
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["auth_key", "s_ord", "r_ord", "outcome"])
 
 
 class Free:
     """The free acquirer rows of one key, in queues by what a score looks at. Rows come in order, so every queue is in order too."""
 
     def __init__(self) -> None:
-        self.seen = self.n = 0
+        self.n = 0
         self.taken: set[int] = set()
         #: (cents, or None for all rows) -> (instalment, total) -> what else must agree -> the numbers of the rows
         self.queues: dict[int | None, dict[tuple, dict[tuple, Queue]]] = {}
 
     def add(self, ord_: int, cents: int | None, current: int | None, total: int | None, nsu: str | None, day: int | None) -> None:
-        self.seen += 1
         self.n += 1
         agree = [(None, None)]
         agree += [(nsu, None)] if nsu is not None else []
@@ -124,17 +188,19 @@ class Free:
             for x in agree:
                 queues.setdefault(x, Queue()).rows.append(ord_)
 
-    def take(self, cents: int | None, current: int | None, total: int | None, nsu: str | None, day: int | None) -> int:
-        """The best free row; at least one is free."""
+    def take(self, cents: int | None, current: int | None, total: int | None, nsu: str | None, day: int | None, near_only: bool = False) -> int | None:
+        """The best free row, or the best of near value; None if there is none."""
         near = [] if cents is None else [cents + d for d in range(-CENTS, CENTS + 1)]
-        for scopes in (near, [None]):
-            ranked: dict[int, list[dict[tuple, Queue]]] = {}
+        ranked: dict[int, list[dict[tuple, Queue]]] = {}
+        for scopes in (near,) if near_only else (near, [None]):
             for scope in scopes:
                 for installments, queues in self.queues.get(scope, {}).items():
                     if queues[None, None].first(self.taken) is not None:
                         ranked.setdefault(_rank(current, total, *installments), []).append(queues)
             if ranked:
                 break
+        if not ranked:
+            return None
         best = ranked[max(ranked)]
         wanted = [(nsu, day)] if nsu is not None and day is not None else []
         wanted += [(nsu, None)] if nsu is not None else []

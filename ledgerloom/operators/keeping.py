@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 #: Only for a local master whose session names no shared folder, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
 
@@ -64,7 +67,26 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], T]) -> T:
+    """What make() gives, made once for the application from files that are still as they were. It holds frames of kept tables; clear() forgets it."""
+    key = (spark.sparkContext.applicationId, name, *((path, _version(spark, path)) for path in inputs))
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]  # type: ignore[return-value]
+
+
+def _version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: of the file itself, or of those in its folder."""
+    system, jvm_path = _file_system(spark, path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(jvm_path)))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has kept. Frames made from them can't be read any more."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        del _made[key]
     system, jvm_path = _file_system(spark, shared_folder(spark))
     system.delete(jvm_path, True)

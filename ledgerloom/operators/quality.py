@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.keeping import keep
-
 #: Codes for absent fields in order, codes that alone don't make an error, and keys of duplicates.
 REQUIRED = {
     "autorizacao": "AUTORIZACAO_VAZIA", "nsu": "NSU_VAZIO", "valor_bruto": "VALOR_VAZIO", "parcela": "PARCELA_VAZIA",
@@ -28,12 +26,12 @@ def cancelled(c: Column) -> Column:
 
 
 def with_duplicates(rows: DataFrame) -> DataFrame:
-    """A boolean column for each kind of duplicate.
+    """A boolean column for each kind of duplicate. rows: a kept table.
 
-    Counts are aggregated map-side, rows with null keys stay out, and what is repeated is joined back by ord, which is unique:
-    no key can be hot there.
+    Counts are aggregated map-side, and rows with null keys stay out. Rows find the keys that are repeated by a semi-join, where a hot
+    key's rows are one side only and adaptive execution may split them; the marks are joined back by ord, which is unique.
     """
-    kept = keep(rows)
+    kept = rows
     marked = [kept.dropna(subset=list(keys)).join(kept.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), list(keys), "left_semi").select("ord", F.lit(code).alias("code")) for code, keys in DUPLICATES.items()]
     marks = reduce(DataFrame.union, marked).groupBy("ord").agg(*(F.bool_or(F.col("code") == code).alias(code) for code in DUPLICATES))
     return kept.join(marks, "ord", "left").withColumns({code: F.coalesce(code, F.lit(False)) for code in DUPLICATES})

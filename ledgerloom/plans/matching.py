@@ -60,8 +60,9 @@ def row_counts(result: Result) -> DataFrame:
     return rollup._turned(one.select("*", grouped), "bigint")
 
 
-def match(acquirer: DataFrame, ledger: DataFrame, check_empty: bool = True, kept: bool = False) -> Result:
+def match(acquirer: DataFrame, ledger: DataFrame, check_empty: bool = True, kept: bool = False, rows: DataFrame | None = None) -> Result:
     """Match canonical sides (schema.acquirer and schema.ledger complete them). kept: both are tables already, which several branches may read.
+    rows: the consolidated ledger with its codes, if there is a table of it.
 
     Sides have a unique ord of 0 or more.
     """
@@ -73,7 +74,8 @@ def match(acquirer: DataFrame, ledger: DataFrame, check_empty: bool = True, kept
         if no_a or no_l:
             who = "Os dois arquivos estão vazios" if no_a and no_l else "O arquivo da Rede está vazio" if no_a else "O arquivo do Shift está vazio"
             raise ValueError(f"{who} ou a aba selecionada não contém dados válidos.")
-    rows = keep(quality.with_codes(consolidate.consolidated(original)), "rows")
+    if rows is None:
+        rows = keep(quality.with_codes(keep(consolidate.consolidated(original), "consolidated")), "rows")
     clear = rows.where("not _ambiguous")
     outcome = keep(assign.assigned(clear, a), "outcome")
     settled = outcome.where(F.col("outcome") != assign.NONE_FREE).select(F.col("s_ord").alias("ord"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import functions as L
 from ledgerloom.operators import assign, classify, consolidate, fallback, history, prepare, quality, rollup, schema
-from ledgerloom.operators.keeping import keep
+from ledgerloom.operators.keeping import keep, once
 from ledgerloom.plans import matching, sides
 from ledgerloom.plans.oracle import ORACLE_SQL  # noqa: F401  re-exported beside QUERIES
 
@@ -20,32 +20,49 @@ def _query(f):
     return f
 
 
-def _valid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The two sides without discarded rows, and the discards."""
-    a, l = sides.sides(spark, sf_dir)  # noqa: E741
-    own, other = prepare.of_company(l, COMPANY)
-    a, a_gone = prepare.partitioned(a, "REDE")
-    own, l_gone = prepare.partitioned(own, "SHIFT")
-    return a, own, prepare.all_discards(other, l_gone, a_gone)
+def _acquirer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Valid rows and discards."""
+    return prepare.partitioned(sides.acquirer(spark, sf_dir), "REDE")
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Valid rows, those of other companies, and discards."""
+    own, other = prepare.of_company(sides.ledger(spark, sf_dir), COMPANY)
+    own, gone = prepare.partitioned(own, "SHIFT")
+    return own, other, gone
+
+
+def _discards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, other, gone = _ledger(spark, sf_dir)
+    return prepare.all_discards(other, gone, _acquirer(spark, sf_dir)[1])
 
 
 def _match(spark: SparkSession, sf_dir: str) -> matching.Result:
-    a, l, discards = _valid(spark, sf_dir)  # noqa: E741
-    result = matching.match(a, l, kept=True)
-    result.discards = discards
-    one = lambda df, name: df.agg(F.count("*").alias("valor")).select(F.lit(name).alias("indicador"), "valor")
-    result.counters = one(a, "rede_transacoes_enviadas_para_matching").union(one(l, "shift_linhas_validas_para_conciliacao"))
-    return result
+    """The match that all queries of its results read, made once for the application."""
+
+    def make() -> matching.Result:
+        a, l = _acquirer(spark, sf_dir)[0], _ledger(spark, sf_dir)[0]  # noqa: E741
+        result = matching.match(a, l, kept=True, rows=_coded(spark, sf_dir))
+        result.discards = _discards(spark, sf_dir)
+        one = lambda df, name: df.agg(F.count("*").alias("valor")).select(F.lit(name).alias("indicador"), "valor")
+        result.counters = one(a, "rede_transacoes_enviadas_para_matching").union(one(l, "shift_linhas_validas_para_conciliacao"))
+        return result
+
+    return once(spark, "match", sides._inputs(sf_dir), make)
 
 
 def _consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidate.consolidated(schema.ledger(_valid(spark, sf_dir)[1]))
+    return once(spark, "consolidated", sides._inputs(sf_dir), lambda: keep(consolidate.consolidated(schema.ledger(_ledger(spark, sf_dir)[0])), "consolidated"))
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consolidated ledger rows with their quality codes."""
+    return once(spark, "coded", sides._inputs(sf_dir), lambda: keep(quality.with_codes(_consolidated(spark, sf_dir)), "rows"))
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ledger rows that take part in assignment, and the acquirer's."""
-    a, l, _ = _valid(spark, sf_dir)  # noqa: E741
-    return consolidate.consolidated(schema.ledger(l)).where("not _ambiguous"), schema.acquirer(a)
+    return _consolidated(spark, sf_dir).where("not _ambiguous"), schema.acquirer(_acquirer(spark, sf_dir)[0])
 
 
 # --- scalar rules ---------------------------------------------------------------------------------------------------
@@ -53,35 +70,35 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @_query
 def norm_authorization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = L.staged(sides.raw_sides(spark, sf_dir)[1].select("ord", "autorizacao"), {"a": (L.authorization_rule(), F.col("autorizacao"))})
+    own = L.staged(sides.raw_ledger(spark, sf_dir).select("ord", "autorizacao"), {"a": (L.authorization_rule(), F.col("autorizacao"))})
     return L.staged(own.select("ord", "a.value", "a.error"), {"auth_key": (L.MATCH_KEY, F.col("value"))})
 
 
 @_query
 def norm_nsu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.staged(sides.raw_sides(spark, sf_dir)[0].select("ord", "nsu"), {"nsu": (L.NSU, F.col("nsu"))})
+    return L.staged(sides.raw_acquirer(spark, sf_dir).select("ord", "nsu"), {"nsu": (L.NSU, F.col("nsu"))})
 
 
 @_query
 def norm_money(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = sides.raw_sides(spark, sf_dir)[1].select("ord", F.col("valor_bruto_original").alias("valor_bruto"), "valor_liquido")
+    raw = sides.raw_ledger(spark, sf_dir).select("ord", F.col("valor_bruto_original").alias("valor_bruto"), "valor_liquido")
     return L.staged(raw, {c: (L.AMOUNT, F.col(c)) for c in ("valor_bruto", "valor_liquido")})
 
 
 @_query
 def norm_instalment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = L.staged(sides.raw_sides(spark, sf_dir)[1].select("ord", "parcela"), {"parcela": (L.installment_rule(), F.col("parcela")), "numero_parcelas": (L.installment_rule(1), F.col("parcela"))})
+    own = L.staged(sides.raw_ledger(spark, sf_dir).select("ord", "parcela"), {"parcela": (L.installment_rule(), F.col("parcela")), "numero_parcelas": (L.installment_rule(1), F.col("parcela"))})
     return own.withColumn("restantes", L.remaining(F.col("parcela"), F.col("numero_parcelas")))
 
 
 @_query
 def norm_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.staged(sides.raw_sides(spark, sf_dir)[1].select("ord", "data_venda"), {"data_venda": (L.DATE, F.col("data_venda"))})
+    return L.staged(sides.raw_ledger(spark, sf_dir).select("ord", "data_venda"), {"data_venda": (L.DATE, F.col("data_venda"))})
 
 
 @_query
 def brand_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.staged(sides.raw_sides(spark, sf_dir)[0].select("ord", "bandeira", "modalidade"), {"bandeira": (L.BRAND, F.col("bandeira")), "modalidade": (L.MODALITY, F.col("modalidade"))})
+    return L.staged(sides.raw_acquirer(spark, sf_dir).select("ord", "bandeira", "modalidade"), {"bandeira": (L.BRAND, F.col("bandeira")), "modalidade": (L.MODALITY, F.col("modalidade"))})
 
 
 @_query
@@ -124,28 +141,28 @@ def card_scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def valid_discard_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _valid(spark, sf_dir)[2].select("origem", "motivo_descarte", "numero_linha_original")
+    return _discards(spark, sf_dir).select("origem", "motivo_descarte", "numero_linha_original")
 
 
 @_query
 def discard_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = rollup.discard_reasons(_valid(spark, sf_dir)[2])
+    reasons = rollup.discard_reasons(_discards(spark, sf_dir))
     return reasons.groupBy("origem", "motivo_descarte").agg(F.sum("quantidade").alias("quantidade"))
 
 
 @_query
 def unit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.of_company(sides.sides(spark, sf_dir)[1], COMPANY)[0].select("ord", "empresa")
+    return prepare.of_company(sides.ledger(spark, sf_dir), COMPANY)[0].select("ord", "empresa")
 
 
 @_query
 def context_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.context_values(_valid(spark, sf_dir)[0])
+    return prepare.context_values(_acquirer(spark, sf_dir)[0])
 
 
 @_query
 def cross_file_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = sides.sides(spark, sf_dir)[0]
+    a = sides.acquirer(spark, sf_dir)
     again = a.where(F.floor(F.col("ord") / 100) % 13 == 0).withColumns({"ord": F.col("ord") + (1 << 62), "rede_arquivo_origem": F.lit("c.csv")})
     return prepare.deduplicated(schema.acquirer(a.unionByName(again)))[0].select("ord", "rede_arquivo_origem", "rede_duplicado_entre_arquivos")
 
@@ -161,17 +178,17 @@ def split_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def ambiguous_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidate.flagged(schema.ledger(_valid(spark, sf_dir)[1])).where("_ambiguous").select("ord", F.col("_ambiguous").alias("ambigua"))
+    return consolidate.flagged(schema.ledger(_ledger(spark, sf_dir)[0])).where("_ambiguous").select("ord", F.col("_ambiguous").alias("ambigua"))
 
 
 @_query
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidate.flagged(schema.ledger(_valid(spark, sf_dir)[1])).where("_repeated").select("ord", F.col("_repeated").alias("repetida"))
+    return consolidate.flagged(schema.ledger(_ledger(spark, sf_dir)[0])).where("_repeated").select("ord", F.col("_repeated").alias("repetida"))
 
 
 @_query
 def quality_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.report(quality.with_codes(_consolidated(spark, sf_dir))).select("linha_shift", "problema")
+    return quality.report(_coded(spark, sf_dir)).select("linha_shift", "problema")
 
 
 @_query
@@ -196,7 +213,6 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _second(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """What the second stage pairs: ledger rows without an outcome, and free acquirer rows."""
     l, a = _both(spark, sf_dir)  # noqa: E741
-    l = keep(l, "clear")  # noqa: E741
     outcome = keep(assign.assigned(l, a), "outcome")
     with_one = outcome.where(F.col("outcome") != assign.NONE_FREE).select(F.col("s_ord").alias("ord"))
     taken = outcome.where("r_ord is not null").select(F.col("r_ord").alias("ord"))
@@ -258,8 +274,7 @@ def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def money_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, l, _ = _valid(spark, sf_dir)  # noqa: E741
-    return rollup.money_totals(a, consolidate.consolidated(schema.ledger(l)))
+    return rollup.money_totals(_acquirer(spark, sf_dir)[0], _consolidated(spark, sf_dir))
 
 
 @_query

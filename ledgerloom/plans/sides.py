@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import schema
-from ledgerloom.operators.keeping import keep
+from ledgerloom.operators.keeping import keep, once
 from ledgerloom.sources.headers import CANONICAL
 
 _CENTS = "CAST(cents {div} 100 AS STRING) || ',' || lpad(CAST(cents % 100 AS STRING), 2, '0')"
@@ -62,18 +62,39 @@ def sql(div: str) -> tuple[str, str]:
     return ACQUIRER_SQL.replace("{gross}", gross).replace("{net}", net).replace("{div}", div), LEDGER_SQL.replace("{div}", div)
 
 
-def raw_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders")}
-    a_sql, l_sql = sql("div")
-    acquirer = keep(spark.sql(a_sql.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}"), **tables), "raw")
-    return acquirer, spark.sql(l_sql.replace("FROM acquirer_rows", "FROM {acquirer_rows}"), acquirer_rows=acquirer)
+def _inputs(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders")]
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides in canonical form, with all their columns."""
-    acquirer, ledger = raw_sides(spark, sf_dir)
-    fields = tuple(CANONICAL)
-    own = {c: c for c in fields}
-    a = schema.normalized(acquirer, schema.ACQUIRER, own, fields, ("rede_arquivo_origem",))
-    l = schema.normalized(ledger, schema.LEDGER, own, fields, ("empresa", "os_shift", "codigo_registro"))  # noqa: E741
-    return keep(schema.acquirer(a), "acquirer"), keep(schema.ledger(l.withColumn("data_shift_usada_para_match", F.col("data_venda"))), "ledger")
+def _raw_acquirer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = dict(zip(("lineitem", "orders"), (spark.read.parquet(path) for path in _inputs(sf_dir)), strict=True))
+    return spark.sql(sql("div")[0].replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}"), **tables)
+
+
+def raw_acquirer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side A as its files would have it; kept, as both sides are made of it."""
+    return once(spark, "raw-acquirer", _inputs(sf_dir), lambda: keep(_raw_acquirer(spark, sf_dir), "raw"))
+
+
+def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(sql("div")[1].replace("FROM acquirer_rows", "FROM {acquirer_rows}"), acquirer_rows=raw_acquirer(spark, sf_dir))
+
+
+def acquirer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side A in canonical form, with all its columns."""
+
+    def make() -> DataFrame:
+        own = schema.normalized(raw_acquirer(spark, sf_dir), schema.ACQUIRER, {c: c for c in CANONICAL}, tuple(CANONICAL), ("rede_arquivo_origem",))
+        return keep(schema.acquirer(own), "acquirer")
+
+    return once(spark, "acquirer", _inputs(sf_dir), make)
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side L in canonical form, with all its columns."""
+
+    def make() -> DataFrame:
+        own = schema.normalized(raw_ledger(spark, sf_dir), schema.LEDGER, {c: c for c in CANONICAL}, tuple(CANONICAL), ("empresa", "os_shift", "codigo_registro"))
+        return keep(schema.ledger(own.withColumn("data_shift_usada_para_match", F.col("data_venda"))), "ledger")
+
+    return once(spark, "ledger", _inputs(sf_dir), make)
