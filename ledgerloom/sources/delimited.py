@@ -1,104 +1,51 @@
-"""Delimited exports: encoding, separator and header are found from a small peek; rows are read by Spark.
-
-An export is one uploaded file of one day (tens of MB), so its lines are numbered within the file: the number is part of the
-result, and a file is one task's work. Many files are read side by side.
-"""
+"""One delimited file as a table: a CSV export, or the ledger's financial report. Many files are read together by records.py and uploads.py."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.operators import prepare
-from ledgerloom.operators.keeping import keep, shared_folder
 from ledgerloom.operators.schema import ONE_OF_REPORT, REQUIRED_OF_REPORT
-from ledgerloom.sources.headers import folded
+from ledgerloom.sources import records
 
-SEPARATORS = (";", ",", "\t", "|")
-PEEK_LINES, REPORT_PEEK_LINES = 8, 60
-#: Where the ledger's financial report begins and ends, texts that are nulls, and why rows are left out of it.
-HEADER, FOOTER = "Empresa;", "Emitido por:"
-NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+#: Why rows are left out of the financial report.
 NOT_CARD, NOT_CARD_NOTE = "FORMA_PAGAMENTO_NAO_CARTAO", "Linha ignorada porque não foi identificada como pagamento de cartão Rede."
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """n (from 0) and text of each line of a file in UTF-8 (a byte order mark goes) or else Latin-1."""
-    content = spark.read.format("binaryFile").load(path).select("content")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    own = content.select(F.posexplode(F.split(F.regexp_replace(text, "^﻿|\\R\\z", ""), "\\R")).alias("n", "text"))
-    return own.select(F.col("n").cast("bigint").alias("n"), "text")
-
-
-def separator(peek: list[str]) -> str:
-    return max(SEPARATORS, key=lambda s: sum(x.count(s) for x in peek))
-
-
-def unique_names(header: list[str | None]) -> list[str]:
-    """Column names of a header: empty ones are numbered, repeated ones get a number after a point."""
-    seen: dict[str, int] = {}
-    out = []
-    for k, x in enumerate(header):
-        x = (x or "").strip() or f"Unnamed: {k}"
-        seen[x] = seen.get(x, -1) + 1
-        out.append(f"{x}.{seen[x]}" if seen[x] else x)
-    return out
-
-
-def _cells(spark: SparkSession, path_or_lines: str | DataFrame, sep: str, latin: bool = False) -> DataFrame:
-    """n and the cells c0, c1, ... of each record; quoted cells may hold separators and line ends. A column more than the first record has shows what is too long."""
-    options = {"sep": sep, "quote": '"', "escape": '"', "header": "false", "encoding": "ISO-8859-1" if latin else "UTF-8", "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    width = len(spark.read.options(**options).csv(path_or_lines).columns)
-    schema = ", ".join(f"c{k} string" for k in range(width + 1))
-    # a file that may hold line ends in cells is one task's work, so the numbers follow the records
-    return spark.read.options(**options).schema(schema).csv(path_or_lines).withColumn("n", F.monotonically_increasing_id())
+def check_format(path: str) -> None:
+    if not path.lower().endswith(".csv"):
+        raise ValueError("Formato não suportado. Envie CSV, XLS ou XLSX.")
 
 
-def parsed(cells: DataFrame) -> DataFrame:
-    """The rows after the first record, as text columns named by it. Records with too many cells are skipped."""
-    last = len(cells.columns) - 2
-    header = cells.orderBy("n").first()
-    names = unique_names([(header[f"c{k}"] or "").removeprefix("\ufeff") for k in range(last)])
-    value = lambda k: F.when(~F.col(f"c{k}").isin(*NULLS), F.col(f"c{k}"))
-    rows = cells.where((F.col("n") > header["n"]) & F.col(f"c{last}").isNull())
-    return rows.select("n", *(value(k).alias(x) for k, x in enumerate(names)))
+def check_report(names: list[str]) -> None:
+    if not any(name in names for name in ONE_OF_REPORT):
+        raise ValueError('Não foi possível identificar pagamentos de cartão porque o relatório não possui "Espécie" nem "Forma de pagamento/cobrança".')
+    if missing := [f'"{name}"' for name in REQUIRED_OF_REPORT if name not in names]:
+        raise ValueError(f"O relatório do Shift não contém a coluna essencial {' e '.join(missing)}.")
 
 
-def pruned(rows: DataFrame, number_all: bool = False) -> DataFrame:
-    """Without empty rows, empty columns, and unnamed columns that are blank; ord and _line count what stays (number_all: all rows)."""
-    names = [c for c in rows.columns if c not in ("n", "_source_line")]
-    if not names:
-        return rows.select(F.col("n").alias("ord"), F.col("n").alias("_line"))
-    some = F.coalesce(*(F.col(f"`{c}`") for c in names)).isNotNull()
-    unnamed = lambda c: folded(c).startswith("unnamed") or folded(c).removeprefix("coluna").strip().isdigit() and folded(c).startswith("coluna")
-    full = rows.agg(*(F.count_if(F.trim(f"`{c}`") != "" if unnamed(c) else F.col(f"`{c}`").isNotNull()).alias(f"k{k}") for k, c in enumerate(names))).first()
-    kept = [c for k, c in enumerate(names) if full[k]]
-    own = rows if number_all else rows.where(some)
-    line = F.row_number().over(Window.orderBy("n")) - 1  # one uploaded file
-    more = ["_source_line"] if "_source_line" in rows.columns else []
-    return own.withColumn("_line", line.cast("bigint")).select(F.col("_line").alias("ord"), "_line", *more, *(F.col(f"`{c}`") for c in kept))
+def _table(found: records.Records, *more: str) -> DataFrame:
+    """The rows of one file as columns named by its header."""
+    own = next(iter(found.shapes.values()), [])
+    return found.rows.select(F.col("n").alias("ord"), F.col("n").alias("_line"), *more, *(F.get("cells", F.lit(k)).alias(x) for k, x in own))
 
 
 def is_report(spark: SparkSession, path: str) -> bool:
     """Whether a file is the ledger's financial report: one of its first lines is that report's header."""
-    return path.lower().endswith(".csv") and not lines(spark, path).where((F.col("n") < REPORT_PEEK_LINES) & F.col("text").startswith(HEADER)).isEmpty()
-
-
-def _is_latin(spark: SparkSession, path: str) -> bool:
-    return not spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(F.col("content").cast("string"))).first()[0]
+    return records.reports(spark, [path])[0]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file as text columns with ord and _line. Other formats are an error."""
-    if not path.lower().endswith(".csv"):
-        raise ValueError("Formato não suportado. Envie CSV, XLS ou XLSX.")
-    peek = [r["text"] for r in lines(spark, path).where(F.col("n") < PEEK_LINES).orderBy("n").collect()]
-    if not "".join(peek).strip() and lines(spark, path).where(F.trim("text") != "").isEmpty():
-        return spark.createDataFrame([], "ord bigint, _line bigint")
-    return pruned(parsed(keep(_cells(spark, path, separator(peek), _is_latin(spark, path)), "cells")))
+    check_format(path)
+    return _table(records.read(spark, [path]))
+
+
+def card_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A report's card rows, and the discard report of the others."""
+    card, other = prepare.card_scope(rows)
+    return card, prepare.discards(other, "SHIFT", NOT_CARD, NOT_CARD_NOTE)
 
 
 def read_report(spark: SparkSession, path: str, scope: str = "card") -> tuple[DataFrame, DataFrame]:
@@ -106,29 +53,12 @@ def read_report(spark: SparkSession, path: str, scope: str = "card") -> tuple[Da
 
     scope: anything but "card" keeps all rows.
     """
-    own = keep(lines(spark, path), "lines")
-    nothing = spark.createDataFrame([], "ord bigint, _line bigint")
-    none = prepare.discards(nothing, "SHIFT", NOT_CARD)
-    if own.where(F.trim("text") != "").isEmpty():
-        return nothing, none
-    starts = own.where(F.col("text").startswith(HEADER)).orderBy("n").first()
-    if starts is None:
-        raise ValueError(f'Não foi possível localizar o cabeçalho do relatório financeiro do Shift (linha iniciada por "{HEADER}").')
-    ends = own.where(F.col("text").startswith(FOOTER)).orderBy("n").first()
-    body = own.where((F.col("n") >= starts["n"]) & (F.col("n") < (ends["n"] if ends else 1 << 60)) & (F.trim("text") != ""))
-    texts = body.orderBy("n").coalesce(1).select(F.col("text").alias("value"))  # one uploaded file, its lines in order
-    joined = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
-    texts.write.text(joined)
-    rows = parsed(keep(_cells(spark, joined, ";"), "cells"))
-    if rows.isEmpty():
-        return nothing, none
-    place = F.row_number().over(Window.orderBy("n")) - 1  # one uploaded file
-    rows = pruned(keep(rows.withColumn("_source_line", (place + starts["n"] + 2).cast("bigint"))), number_all=True)
-    if not any(name in rows.columns for name in ONE_OF_REPORT):
-        raise ValueError('Não foi possível identificar pagamentos de cartão porque o relatório não possui "Espécie" nem "Forma de pagamento/cobrança".')
-    if missing := [f'"{name}"' for name in REQUIRED_OF_REPORT if name not in rows.columns]:
-        raise ValueError(f"O relatório do Shift não contém a coluna essencial {' e '.join(missing)}.")
+    found = records.read(spark, [path], as_report=True)
+    if not found.shapes:
+        nothing = spark.createDataFrame([], "ord bigint, _line bigint")
+        return nothing, prepare.discards(nothing, "SHIFT", NOT_CARD)
+    rows = _table(found, "_source_line")
+    check_report(rows.columns)
     if scope != "card":
-        return rows, none
-    card, other = prepare.card_scope(rows)
-    return card, prepare.discards(other, "SHIFT", NOT_CARD, NOT_CARD_NOTE)
+        return rows, prepare.discards(rows.limit(0), "SHIFT", NOT_CARD)
+    return card_rows(rows)

@@ -13,12 +13,12 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.keeping import keep
-from ledgerloom.sources.delimited import NULLS, pruned, unique_names
 from ledgerloom.sources.headers import folded, header_score
+from ledgerloom.sources.records import NULLS, unique_names, unnamed
 
 CHOICE_ROWS, HEADER_ROWS, LEAST_SCORE = 20, 25, 2
 #: The sheet that is taken wherever it exists.
@@ -163,3 +163,15 @@ def read(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[Data
     names = unique_names([*header, *[None] * (width - len(header))])
     value = lambda k: F.get("cells", F.lit(k))
     return pruned(rows.select("n", *(F.when(~value(k).isin(*NULLS), value(k)).alias(x) for k, x in enumerate(names)))), chosen
+
+
+def pruned(rows: DataFrame) -> DataFrame:
+    """Without empty rows, empty columns, and unnamed columns that are blank; ord and _line count what stays."""
+    names = [c for c in rows.columns if c != "n"]
+    if not names:
+        return rows.select(F.col("n").alias("ord"), F.col("n").alias("_line"))
+    some = F.coalesce(*(F.col(f"`{c}`") for c in names)).isNotNull()
+    full = rows.agg(*(F.count_if(F.trim(f"`{c}`") != "" if unnamed(c) else F.col(f"`{c}`").isNotNull()).alias(f"k{k}") for k, c in enumerate(names))).first()
+    kept = [c for k, c in enumerate(names) if full[k]]
+    line = F.row_number().over(Window.orderBy("n")) - 1  # one sheet
+    return rows.where(some).withColumn("_line", line.cast("bigint")).select(F.col("_line").alias("ord"), "_line", *(F.col(f"`{c}`") for c in kept))
