@@ -29,8 +29,13 @@ def usage(units: DataFrame, reconciliations: DataFrame) -> DataFrame:
     return units.select(F.col("id").alias("unidade_id")).join(counts, "unidade_id", "left").select("unidade_id", n.alias("conciliacoes"), (n == 0).alias("pode_excluir"))
 
 
+def units_by_name(units: DataFrame) -> DataFrame:
+    """Units in the order of their names, whatever their case: the names are compared under a collation, ties by number."""
+    return units.orderBy(F.collate("nome", "UTF8_LCASE"), "id")
+
+
 def with_files(reconciliations: DataFrame, files: DataFrame) -> DataFrame:
     """reconciliations with arquivos, a map of origin to its file (name, path, category)."""
-    entry = F.struct("origem", F.struct("nome_original", "caminho", "categoria").alias("arquivo"))
+    entry = F.struct("origem", F.struct("nome_original", "caminho_arquivo", "categoria").alias("arquivo"))
     own = files.groupBy("conciliacao_id").agg(F.map_from_entries(F.collect_list(entry)).alias("arquivos"))
     return reconciliations.join(own, reconciliations["id"] == own["conciliacao_id"], "left").drop("conciliacao_id")

@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
@@ -67,6 +68,13 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """keep(), and aggregates of df's rows that are observed while they are written: they take no job of their own."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    kept = keep(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in counts.items())), name)
+    return kept, seen.get
+
+
 _made: dict[tuple, object] = {}
 
 

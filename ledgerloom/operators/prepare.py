@@ -85,14 +85,23 @@ def of_company(ledger: DataFrame, company: str | None) -> tuple[DataFrame, DataF
     return ledger.where(own), discards(ledger.where(~own), "SHIFT", OTHER_COMPANY, f'Empresa diferente da unidade selecionada ("{expected}").')
 
 
+def companies(ledger: DataFrame) -> DataFrame:
+    """empresas: one row with the sorted distinct companies, found by partial aggregation."""
+    return ledger.select(F.trim("empresa").alias("x")).where("x != ''").distinct().agg(F.sort_array(F.collect_list("x")).alias("empresas"))
+
+
+def company_alert(expected: Column, found: Column) -> Column:
+    """The alert that none of the companies found is the expected one, or null."""
+    absent = (F.size(found) > 0) & ~F.exists(found, lambda x: F.upper(x) == F.upper(F.trim(expected)))
+    text = F.concat(F.lit('A empresa cadastrada para esta unidade ("'), F.trim(expected), F.lit('") não aparece na coluna "Empresa" do relatório do Shift. Empresa(s) encontrada(s): '), F.array_join(found, ", "), F.lit("."))  # fixed values
+    return F.when(absent, text)
+
+
 def company_alerts(ledger: DataFrame, company: str | None) -> list[str]:
     if not company or "empresa" not in ledger.columns:
         return []
-    found = _texts(ledger, F.trim("empresa"))[0]
-    expected = company.strip()
-    if not found or expected.upper() in {x.upper() for x in found}:
-        return []
-    return [f'A empresa cadastrada para esta unidade ("{expected}") não aparece na coluna "Empresa" do relatório do Shift. Empresa(s) encontrada(s): {", ".join(found)}.']
+    alert = companies(ledger).select(company_alert(F.lit(company), F.col("empresas"))).first()[0]
+    return [alert] if alert else []
 
 
 def acquirer_context(acquirer: DataFrame, day: str, establishment: str | None = None) -> dict[str, list[str]]:
