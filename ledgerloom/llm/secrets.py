@@ -4,8 +4,10 @@ Candidates are wide: a value of at least LEAST_VALUE characters after an assignm
 has, up to its quote or a space; and, anywhere, runs of at least LEAST_LENGTH characters of keys and tokens, with or without
 digits. A run ends at its first '=', so a key is never part of its value. The forest removes the false ones. Its features
 are the candidate's length, how likely its characters follow each other in plain words (a table of transitions counted on the
-labelled rows), its character classes, how much of it dictionary words cover, its path and its neighbouring words. It is trained on labelled findings; labelled_findings() makes a documented set by rule
-where none is given. The trained forest is small and applied inside the JVM; texts are read once and never shuffled.
+words of all documents), its character classes, how much of it dictionary words cover, its path and its neighbouring words. It is
+trained on labelled findings; where none are given, labelled_findings() makes a documented set by rule, and a bounded number of
+plain words of the documents themselves are added as what is no secret. The trained forest is small and applied inside the JVM.
+Texts are never shuffled: candidates and the counts of words are.
 
 Defined results: null and empty texts have no findings; a null path is empty. Rows that repeat both doc_id and text give
 their findings once. Offsets count code points from 0. Extra columns are ignored.
@@ -46,8 +48,8 @@ CANDIDATE = rf"(?:{_KEYED}|{_ASSIGN}){_QUOTE}({_VALUE})|{_BARE}"
 CONTEXT = 48
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 24, 7, 11
-#: Rows that labelled_findings() makes, and the most that are trained on: the first by hash.
-FINDINGS, TRAINED = 4000, 20_000
+#: Rows that labelled_findings() makes, plain words of the documents that are added to them, and the most that are trained on: the first by hash.
+FINDINGS, PLAIN, TRAINED = 4000, 1000, 20_000
 #: What characters are told apart as, for their transitions: lower-case letters, any digit, anything else.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0_"
 #: Rules that labelled_findings() makes them by, dealt by number.
@@ -69,11 +71,17 @@ def _letters(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "0"), "[^a-z0]", "_")
 
 
-def transitions(labelled: DataFrame) -> dict[str, float]:
-    """log P(next | character) over LETTERS in what isn't secret: the false candidates, and the words before all candidates."""
-    texts = labelled.select(F.explode(F.array(F.when(F.col("is_secret") == 0, F.col("candidate")), F.col("before"))).alias("t")).where("length(t) > 1").select(_letters(F.col("t")).alias("t"))
-    pairs = texts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substr(F.col("t"), i, F.lit(2)))).alias("pair"))
-    counts = {r["pair"]: r["n"] + 0.5 for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}  # at most 784
+def prose(documents: DataFrame) -> DataFrame:
+    """word and n: how often each run of letters of 2 characters or more is in documents(text), lower-cased; counted over all of them, with partial sums."""
+    words = F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")
+    return documents.select(F.explode(words).alias("word")).where("length(word) > 1").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def transitions(words: DataFrame) -> dict[str, float]:
+    """log P(next | character) over LETTERS in words(word, n)."""
+    texts = words.where("length(word) > 1").select(_letters(F.col("word")).alias("t"), "n")
+    pairs = texts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substr(F.col("t"), i, F.lit(2)))).alias("pair"), "n")
+    counts = {r["pair"]: r["n"] + 0.5 for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # at most 784
     total = {a: sum(counts.get(a + b, 0.5) for b in LETTERS) for a in LETTERS}
     return {a + b: math.log(counts.get(a + b, 0.5) / total[a]) for a in LETTERS for b in LETTERS}
 
@@ -81,8 +89,9 @@ def transitions(labelled: DataFrame) -> dict[str, float]:
 def features(df: DataFrame, table: dict[str, float]) -> DataFrame:
     """df(candidate, before, after, path) with the feature columns. table: transitions()."""
     df = df.withColumn("_walk", F.transform(F.split(_letters(F.col("candidate")), ""), lambda x: F.instr(F.lit(LETTERS), x)))
-    of_pair, walk = F.expr(f"array({', '.join(f'{table[a + b]!r}D' for a in LETTERS for b in LETTERS)})"), F.col("_walk")
-    steps = F.zip_with(F.slice(walk, 1, F.size(walk) - 1), F.slice(walk, 2, F.size(walk)), lambda a, b: F.get(of_pair, (a - 1) * len(LETTERS) + b - 1))
+    # the table as one text, tenths as characters: an array of 784 numbers would be written out in the generated code
+    of_pair, walk = F.lit("".join(chr(33 + min(93, round(-10 * table[a + b]))) for a in LETTERS for b in LETTERS)), F.col("_walk")
+    steps = F.zip_with(F.slice(walk, 1, F.size(walk) - 1), F.slice(walk, 2, F.size(walk)), lambda a, b: (33 - F.ascii(F.substr(of_pair, (a - 1) * len(LETTERS) + b, F.lit(1)))) / F.lit(10.0))
     df = df.withColumn("_steps", F.array_compact(steps)).drop("_walk")
     taken = F.greatest(F.size("_steps"), F.lit(1))
     c, n = F.col("candidate"), F.length("candidate").cast("double")
@@ -180,7 +189,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     ]
     pick = lambda k: F.element_at(F.array(*(x[k] if isinstance(x[k], Column) else F.lit(x[k]) for x in kinds)), (F.col("kind") + 1).cast("int"))
     found = ids.select(pick(0).alias("candidate"), pick(1).alias("before"), F.when(F.col("kind") == KINDS - 2, F.lit(" = 1")).otherwise(at(18, ('"', " and then", "", "'; next"))).alias("after"), at(20, ("", "src/main/config", "lib/client", "docs/guide", "conf/.env", "notes.txt")).alias("path"), pick(2).alias("is_secret"))
-    return found.where(f"length(candidate) >= {LEAST_VALUE}")
+    return sh.written(found, "made").where(f"length(candidate) >= {LEAST_VALUE}")  # a filter over all rules at once would not compile
 
 
 @dataclass(frozen=True)
@@ -190,15 +199,28 @@ class Forest:
 
     def scored(self, found: DataFrame) -> DataFrame:
         """found(candidate, before, after, path) with score, the share of the trees' votes for a secret."""
-        return self.model.transform(features(found, self.table)).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+        return self.model.transform(sh.written(features(found, self.table), "features")).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+
+
+def plain_words(found: DataFrame, n: int = PLAIN) -> DataFrame:
+    """Findings that are no secrets: candidates of small letters only, but for the first, that no key and no assignment is before; the first n by hash."""
+    beside = F.col("before").rlike(r"""[=:>"'`]\s*$""") | F.col("before").rlike(rf"(?i){KEY_WORD}\W*(?:(?:is|was|are|ist|es|est)\s+)?$")
+    own = found.where(F.col("candidate").rlike(r"^\p{L}\p{Ll}*$") & ~beside).select("candidate", "before", "after", "path", F.lit(0).alias("is_secret")).distinct()
+    return own.orderBy(F.xxhash64("candidate", "before", "after"), "candidate", "before", "after", "path").limit(n)
+
 
+def fit(labelled: DataFrame, words: DataFrame | None = None, rows: int = TRAINED) -> Forest:
+    """A forest from labelled(candidate, before, after, path, is_secret): at most so many rows, the first by hash, through one task, for one result everywhere.
 
-def fit(labelled: DataFrame, rows: int = TRAINED) -> Forest:
-    """A forest from labelled(candidate, before, after, path, is_secret): at most so many rows, the first by hash, through one task, for one result everywhere."""
+    words: what is known of plain text, prose(); without it, the false candidates and the words before all candidates.
+    """
     given = sh.typed(labelled, candidate="string", before="string", after="string", path="string", is_secret="double").where("length(candidate) > 0 and is_secret is not null").fillna("", ["before", "after", "path"])
     own = sh.written(given.orderBy(F.xxhash64(*given.columns), *given.columns).limit(rows), "findings")
-    table = transitions(own)
-    known = features(own, table)
+    if words is None:
+        texts = own.select(F.explode(F.array(F.when(F.col("is_secret") == 0, F.col("candidate")), F.col("before"))).alias("t"))
+        words = texts.select(F.explode(F.split(F.lower("t"), r"\s+")).alias("word"), F.lit(1).alias("n"))
+    table = transitions(words)
+    known = sh.written(features(own, table), "known")
     inputs = [c for c in known.columns if c.startswith("f_")]
     forest = RandomForestClassifier(featuresCol="features", labelCol="is_secret", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")
     return Forest(table, Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), forest]).fit(known.coalesce(1)))
@@ -234,9 +256,12 @@ def candidates(documents: DataFrame) -> DataFrame:
 def scan(documents: DataFrame, labelled: DataFrame | None = None, path: str = "path") -> DataFrame:
     """doc_id, text_hash, start, length, candidate, score and is_secret of every candidate of documents(doc_id, text and the path column)."""
     spark = documents.sparkSession
-    forest = fit(labelled if labelled is not None else labelled_findings(spark))
-    found = candidates(documents.select("doc_id", "text", F.col(path).alias("path"))).dropDuplicates(["doc_id", "text_hash", "number"])
-    scored = forest.scored(found)
+    # a table of its own: patterns over whole texts, features and trees are too much for one generated class
+    found = sh.written(candidates(documents.select("doc_id", "text", F.col(path).alias("path"))).dropDuplicates(["doc_id", "text_hash", "number"]), "candidates")
+    words = sh.written(prose(documents.select("text")), "words")
+    if labelled is None:
+        labelled = labelled_findings(spark).unionByName(plain_words(found))
+    scored = fit(labelled, words).scored(found)
     before = Window.partitionBy("doc_id", "text_hash").orderBy("number")  # the candidates of one document
     start = F.sum(F.col("gap") + F.length("candidate")).over(before) - F.length("candidate")
     return scored.select("doc_id", "text_hash", start.alias("start"), F.length("candidate").cast("long").alias("length"), "candidate", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))

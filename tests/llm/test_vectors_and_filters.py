@@ -243,3 +243,16 @@ def test_toxicity_without_classes(spark):
     assert [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()] == [0.0, 0.0]
     one = spark.createDataFrame([(1, 0), (2, 7), (None, 1)], "doc_id long, toxic int")
     assert toxicity.fit(docs, one).constant == 0.0 and toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), one)).count() == 0
+
+
+def test_secrets_of_documents_are_keys_and_their_code_compiles(spark):
+    """All findings on the given documents are keys: words of prose are none. Generated code that doesn't compile would raise."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows = queries.op6_secrets(spark, SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    is_key = lambda x: len(x) >= 32 and set(x.lower()) <= set("0123456789abcdef")
+    found, keys = [r["candidate"] for r in rows if r["is_secret"]], [r for r in rows if is_key(r["candidate"])]
+    print(f"secrets: {len(found)} findings of {len(rows)} candidates, {len(keys)} keys")
+    assert keys and all(r["is_secret"] for r in keys) and sum(map(is_key, found)) >= 0.9 * len(found)
