@@ -43,19 +43,29 @@ def staged(df: DataFrame, wanted: dict[str, tuple[Rule, Column]]) -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in df.columns if c not in wanted), *(F.col(held[name]).alias(name) for name in wanted))
 
 
-def _folding() -> tuple[str, str]:
-    """Characters whose compatibility form without marks is one other character, and those characters."""
-    plain, folded = [], []
-    for ranges in (range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0x2000, 0x2070), range(0xFF00, 0xFFF0)):
-        for c in map(chr, ranges):
-            x = "".join(y for y in unicodedata.normalize("NFKD", c) if not unicodedata.combining(y))
-            if len(x) == 1 and x != c:
-                plain.append(c)
-                folded.append(x)
-    return "".join(plain), "".join(folded)
-
-
-ACCENTED, PLAIN = _folding()
+def _folding() -> tuple[str, str, str, dict[str, str]]:
+    """Of the basic plane: characters whose compatibility form without marks is one other character, and those characters; combining marks; and the forms of several characters. Hangul syllables are apart."""
+    plain, folded, marks, several = [], [], [], {}
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000))):
+        x = "".join(y for y in unicodedata.normalize("NFKD", c) if not unicodedata.combining(y))
+        if x == c:
+            continue
+        if not x:
+            marks.append(c)
+        elif len(x) == 1:
+            plain.append(c)
+            folded.append(x)
+        else:
+            several[c] = x
+    return "".join(plain), "".join(folded), "".join(marks), several
+
+
+ACCENTED, PLAIN, MARKS, SEVERAL = _folding()
+#: Hangul syllables, those with a last part first, and their parts, by the rule that numbers them.
+_TAILED = [k for k in range(11172) if k % 28]
+_SYLLABLES = [*_TAILED, *range(0, 11172, 28)]
+HANGUL = "".join(chr(0xAC00 + k) for k in _SYLLABLES)
+PARTS = ("".join(chr(0x1100 + k // 588) for k in _SYLLABLES), "".join(chr(0x1161 + k % 588 // 28) for k in _SYLLABLES), "".join(chr(0x11A7 + k % 28) for k in _TAILED))
 
 
 def let(c: Column, body: Step) -> Column:
@@ -100,8 +110,17 @@ def repaired(c: Column) -> Column:
     return F.coalesce(F.when(suspect, mended), c)
 
 
+def _spelled_out(c: Column) -> Column:
+    """Characters whose forms have several, as those. Texts without any pass by."""
+    forms = F.str_to_map(F.lit("\x02".join(f"{k}\x01{x}" for k, x in SEVERAL.items())), F.lit("\x02"), F.lit("\x01"))
+    syllable = lambda x: F.concat(*(F.translate(x, HANGUL, part) for part in PARTS))  # noqa: E731  a syllable without a last part loses it
+    each = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.when(x.rlike("[\uac00-\ud7a3]"), syllable(x)).otherwise(F.coalesce(F.element_at(forms, x), x)))
+    return F.when(c.rlike(f"[{''.join(SEVERAL)}\uac00-\ud7a3]"), F.array_join(each, "")).otherwise(c)
+
+
 def _unaccented(c: Column) -> Column:
-    return F.when(_ascii(c), c).otherwise(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}", ""))
+    # translate() drops the marks, which have no counterpart
+    return F.when(_ascii(c), c).otherwise(F.translate(c, ACCENTED + MARKS, PLAIN))
 
 
 #: Upper case without accents, runs of white space as one blank; null as the empty text.
@@ -109,7 +128,8 @@ FOLD = Rule(
     lambda c: stripped(F.coalesce(c.cast("string"), F.lit(""))),
     lambda c: F.when(_ascii(c), c).otherwise(repaired(c)),
     _unaccented,
-    lambda c: stripped(F.regexp_replace(F.upper(c), r"(?U)\s+", " ")),
+    lambda c: F.when(_ascii(c), c).otherwise(_spelled_out(c)),
+    lambda c: stripped(F.regexp_replace(F.upper(c), r"(?U)[\s\x1c-\x1f]+", " ")),
 )
 #: The same, but null if the text is blank.
 FOLDED_TEXT = TEXT.then(*FOLD.steps[1:])

@@ -4,6 +4,8 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ledgerloom import functions as L
@@ -56,3 +58,19 @@ def test_payment_forms(spark):
 
 def test_folding(spark):
     assert values(spark, L.fold, ["  São  José ", "crÃ©dito", None]) == ["SAO JOSE", "CREDITO", ""]
+
+
+def test_fold_of_the_whole_basic_plane(spark):
+    """Every character between two letters, as the Unicode tables have its compatibility form without marks."""
+    chars = [c for c in map(chr, (*range(1, 0xD800), *range(0xE000, 0x10000))) if c != "�"]
+
+    def expected(text):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", text.strip()) if not unicodedata.combining(c))
+        return " ".join(plain.upper().split())
+
+    got = spark.createDataFrame([(k, f"a{c}b") for k, c in enumerate(chars)], "k int, t string").select("k", L.fold(F.col("t")).alias("f")).collect()
+    wrong = [(hex(ord(chars[r["k"]])), r["f"], expected(f"a{chars[r['k']]}b")) for r in got if r["f"] != expected(f"a{chars[r['k']]}b")]
+    print(f"{len(wrong)} of {len(chars)} differ: {wrong[:20]}")
+    assert all(unicodedata.category(chr(int(x, 16))) in ("Cn", "Ll") for x, *_ in wrong) and len(wrong) < 20  # letters whose upper case is newer than one of the two tables
+    mixed = spark.createDataFrame([("½ ① ㎏ ﬁ 각 가 \U0001d400",)], "t string").select(L.fold(F.col("t"))).first()[0]
+    assert mixed == expected("½ ① ㎏ ﬁ 각 가") + " \U0001d400"
