@@ -115,7 +115,7 @@ def _spelled_out(c: Column) -> Column:
     forms = F.str_to_map(F.lit("\x02".join(f"{k}\x01{x}" for k, x in SEVERAL.items())), F.lit("\x02"), F.lit("\x01"))
     syllable = lambda x: F.concat(*(F.translate(x, HANGUL, part) for part in PARTS))  # noqa: E731  a syllable without a last part loses it
     each = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.when(x.rlike("[\uac00-\ud7a3]"), syllable(x)).otherwise(F.coalesce(F.element_at(forms, x), x)))
-    return F.when(c.rlike(f"[{''.join(SEVERAL)}\uac00-\ud7a3]"), F.array_join(each, "")).otherwise(c)
+    return F.when(F.char_length(F.translate(c, "".join(SEVERAL) + HANGUL, "")) < F.char_length(c), F.array_join(each, "")).otherwise(c)
 
 
 def _unaccented(c: Column) -> Column:
