@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.operators import history, prepare, quality, rollup, schema
-from ledgerloom.operators.keeping import keep, once
+from ledgerloom.operators.keeping import keep, once, shared_folder
 from ledgerloom.plans import matching, queries, reconcile, sides
 from ledgerloom.plans.oracle import _FINE, _GROUP, _LABEL, _REASONS, CHAIN, MONEY, _how
 from ledgerloom.plans.queries import COMPANY
+from ledgerloom.sources import export
 
 QUERIES, SQL = {}, {}
 
@@ -164,6 +168,38 @@ def company_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select(F.col("n_name").alias("esperada")).crossJoin(prepare.companies(ledger)).select("esperada", prepare.company_alert(F.col("esperada"), F.col("empresas")).alias("alerta"))  # one row of companies
 
 
+# --- reports as written ---------------------------------------------------------------------------------------------
+
+
+def _written(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    return once(spark, "sections", sides._inputs(sf_dir), lambda: export.write_sections(queries._match(spark, sf_dir), f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"))
+
+
+_TEXT = "coalesce(CAST({x} AS VARCHAR), '')"
+_READ_BACK = {"linha_shift": "s.linha", "linha_rede": "r.linha", "status_conciliacao": "d.status", "acao_recomendada": "d.acao", "rede_arquivo_origem": "r.arquivo", "data_venda_rede": "r.venda", "houve_agrupamento_shift": "coalesce(s.linhas > 1, false)"}
+_MONEY_BACK = {"valor_bruto_shift": "s.bruto", "valor_liquido_rede": "r.liquido", "impacto_financeiro_confirmado": "d.confirmado"}
+
+
+@_query(f"""{CHAIN} SELECT {", ".join(f"{_TEXT.format(x=v)} AS {k}" for k, v in _READ_BACK.items())}, {", ".join(f"CAST({v} AS DECIMAL(28,2)) AS {k}" for k, v in _MONEY_BACK.items())}
+    FROM detail d LEFT JOIN coded s ON d.stage < 2 AND s.ord = d.emit LEFT JOIN va r ON r.ord = d.r_ord""")
+def report_section_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detail section as executors wrote it in JSON lines, read again."""
+    back = spark.read.schema(", ".join(f"{c} string" for c in (*_READ_BACK, *_MONEY_BACK))).json(_written(spark, sf_dir)["detalhado"])
+    return back.select(*_READ_BACK, *(F.expr(f"try_cast({c} as decimal(28,2))").alias(c) for c in _MONEY_BACK))
+
+
+@_query(f"""{CHAIN} SELECT indicador, CAST(valor AS DECIMAL(38,2)) AS valor FROM (
+    SELECT 'total_linhas_rede' AS indicador, count(*) AS valor FROM va UNION ALL SELECT 'total_linhas_shift', count(*) FROM cons UNION ALL SELECT 'impacto_financeiro_confirmado', sum(confirmado) FROM detail
+    UNION ALL SELECT 'valor_bruto_total_rede', sum(bruto) FROM va UNION ALL SELECT 'quantidade_por_bandeira_shift.' || marca, count(*) FROM cons GROUP BY marca
+    UNION ALL SELECT 'shift_motivos_descarte.' || motivo_descarte, count(*) FROM ({_REASONS}) WHERE origem = 'SHIFT' GROUP BY motivo_descarte)""")
+def report_summary_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary document as it was written: numbers, and objects of counts."""
+    text = spark.read.text(_written(spark, sf_dir)["resumo"])
+    plain = [text.select(F.lit(k).alias("indicador"), F.get_json_object("value", f"$.{k}").alias("valor")) for k in ("total_linhas_rede", "total_linhas_shift", "impacto_financeiro_confirmado", "valor_bruto_total_rede")]
+    nested = [text.select(F.explode(F.from_json(F.get_json_object("value", f"$.{k}"), "map<string,string>"))).select(F.concat(F.lit(f"{k}."), "key"), "value") for k in ("quantidade_por_bandeira_shift", "shift_motivos_descarte")]
+    return reduce(DataFrame.union, [*plain, *nested]).withColumn("valor", F.col("valor").cast("decimal(38,2)"))
+
+
 # --- every column of the detail report ------------------------------------------------------------------------------
 
 _FIELDS = {

@@ -77,6 +77,11 @@ def test_reconcile_and_store(spark, files, tmp_path):
     assert (tmp_path / "out" / "relatorio_detalhado.csv").read_bytes().startswith(b"\xef\xbb\xbf")
     assert zipfile.ZipFile(tmp_path / "out" / "relatorio_detalhado.xlsx").testzip() is None
     assert workbook.list_sheets(spark, str(tmp_path / "out" / "relatorio_detalhado.xlsx")) == ["Detalhado", "Auditoria", "Descartes"]
+    # the same by executors, of any size
+    read = lambda name: [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out" / "resultado" / name)).collect()]
+    assert read("detalhado") == out["detalhado"] and sorted(map(str, read("descartes"))) == sorted(map(str, out["descartes"])) and read("qualidade_shift") == out["qualidade_shift"]
+    summary = read("resumo")[0]
+    assert {k: summary.get(k) for k in expected} == expected
     # the store
     with pytest.raises(ConflictError, match="código"):
         store.create_unit("u1", "Outra")
@@ -135,3 +140,12 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         keeping.shared_folder(Session())
+
+
+def test_a_large_day_has_sections_and_no_files(spark, files, tmp_path, monkeypatch):
+    monkeypatch.setattr(export, "DAY_ROWS", 2)
+    monkeypatch.setattr(export, "write_reports", None)
+    store = Store(spark, str(tmp_path / "store"))
+    process(spark, store, store.create_unit("U1", "Filial A", "10", "A"), "run-1", *files, "2025-12-01", str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["detalhado_csv", "qualidade_shift_csv", "resultado"] and store.run("run-1")["resumo"]["rede_total_linhas_lidas"] == 5
+    assert spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "out" / "detalhado_csv")).count() == 3
