@@ -21,6 +21,8 @@ LISTS = {
 }
 #: Groups come after all other rows, in the order of their first members.
 AFTER = 1 << 61
+#: Numbers of a stretch of ord in which a group's rows are put together first.
+CHUNK = 1 << 14
 
 
 def _signature(fields: tuple[str, ...]) -> Column:
@@ -52,16 +54,26 @@ def flagged(ledger: DataFrame) -> DataFrame:
 def consolidated(ledger: DataFrame) -> DataFrame:
     """Rows after consolidation, with _grouped, _linhas_agrupadas_shift and the lists of what each group holds (null for single rows).
 
-    The lists are part of the result: a group's rows, those of one authorisation that is split over service orders, meet in one task.
+    A group's rows are aggregated in two levels, first by stretches of CHUNK numbers of their order, each with its pieces of the lists:
+    a hot group's rows spread over tasks, and what meets in one are the pieces, whose concatenation is the result.
     """
     rows = ledger.join(_marks(ledger), "ord")
-    listed = lambda c: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("ord", F.col(c).cast("string").alias("v")))), lambda x: x["v"].isNotNull()), lambda x: x["v"])
     own = [c for c in rows.columns if c not in ("_group", *SUMMED)]
-    grouped = rows.where("_group is not null").groupBy("_group").agg(
+    in_order = lambda items: F.transform(F.filter(F.array_sort(items), lambda x: x["v"].isNotNull()), lambda x: x["v"])
+    listed = lambda c: F.collect_list(F.struct("ord", F.col(c).cast("string").alias("v")))
+    pieces = rows.where("_group is not null").groupBy("_group", F.floor(F.col("ord") / CHUNK).alias("chunk")).agg(
         F.min_by(F.struct(*own), "ord").alias("first"),
+        *(F.sum(c).alias(c) for c in SUMMED),
+        F.count("*").alias("n"),
+        *(in_order(listed(c)).alias(name) for name, (c, _) in LISTS.items()),
+    )
+    joined = [F.when(F.size(name) > 0, F.array_join(name, separator)).alias(name) for name, (_, separator) in LISTS.items()]
+    pieces = pieces.select("_group", "chunk", "first", *SUMMED, "n", *joined)
+    grouped = pieces.groupBy("_group").agg(
+        F.min_by("first", "chunk").alias("first"),
         *(F.sum(c).cast(MONEY).alias(c) for c in SUMMED),
-        F.count("*").alias("_linhas_agrupadas_shift"),
-        *(F.array_join(listed(c), separator).alias(name) for name, (c, separator) in LISTS.items()),
+        F.sum("n").alias("_linhas_agrupadas_shift"),
+        *(F.array_join(in_order(F.collect_list(F.struct("chunk", F.col(name).alias("v")))), separator).alias(name) for name, (_, separator) in LISTS.items()),
     )
     merged = grouped.select("first.*", *SUMMED, "_linhas_agrupadas_shift", *LISTS).withColumns(
         {"ord": F.col("ord") + AFTER, "_grouped": F.lit(True), "_criterio_agrupamento": F.lit(CRITERION), "_motivo_agrupamento": F.lit(WHY)}

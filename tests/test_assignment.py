@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import assign
+from ledgerloom.operators import assign, consolidate, schema
 
 OWN = "ord bigint, autorizacao string, valor_bruto decimal(28,2), parcela int, numero_parcelas int, nsu string, data_venda date"
 
@@ -74,3 +74,12 @@ def test_a_hot_key_that_is_swept_as_a_whole(spark):
     ledger = own().withColumn("valor_bruto", F.when(F.col("ord") == 0, F.lit(-5)).otherwise(F.col("valor_bruto")).cast("decimal(28,2)")).withColumn("_grouped", F.lit(False))
     got = {r["s_ord"]: r["r_ord"] for r in assign.assigned(ledger, own().where("ord > 0")).collect()}
     assert got == {k: k + 1 for k in range(n - 1)} | {n - 1: None}
+
+
+def test_a_hot_group_is_put_together_in_two_levels(spark):
+    """100,000 service orders of one authorisation: the lists are in order, the sums whole."""
+    n = 100_000
+    ledger = schema.ledger(spark.range(n).select((F.col("id") * 7919 % n).alias("ord"), (F.col("id") * 7919 % n).alias("_row"), F.lit("000001").alias("autorizacao"), F.expr("cast(0.01 as decimal(28,2))").alias("valor_bruto"), F.concat(F.lit("O"), (F.col("id") * 7919 % n).cast("string")).alias("os_shift")))
+    one = consolidate.consolidated(ledger).collect()
+    assert len(one) == 1 and one[0]["_linhas_agrupadas_shift"] == n and one[0]["valor_bruto"] == n // 100 and one[0]["ord"] == consolidate.AFTER
+    assert one[0]["_rows_agrupadas"] == ", ".join(map(str, range(n))) and one[0]["_os_shift_agrupadas"].startswith("O0 | O1 | O2") and one[0]["_descricoes_originais_agrupadas"] == ""
