@@ -81,7 +81,7 @@ def of_company(ledger: DataFrame, company: str | None) -> tuple[DataFrame, DataF
     own = F.coalesce(F.upper(F.trim("empresa")) == expected.upper(), F.lit(False))
     if ledger.where(own).isEmpty():
         found = ", ".join(_texts(ledger, F.trim("empresa"))[0]) or "nenhuma"
-        raise ValueError(f'A empresa cadastrada para a unidade ("{expected}") não foi encontrada na coluna "Empresa" do Shift. Empresas disponíveis: {found}.')
+        raise ValueError(f'A empresa cadastrada para a unidade ("{expected}") não foi encontrada na coluna "Empresa" do Shift. Empresas disponíveis: {found}.')  # fixed value: the message
     return ledger.where(own), discards(ledger.where(~own), "SHIFT", OTHER_COMPANY, f'Empresa diferente da unidade selecionada ("{expected}").')
 
 
@@ -111,10 +111,10 @@ def acquirer_context(acquirer: DataFrame, day: str, establishment: str | None =
     """
     days, places, names = _texts(acquirer, F.col("data_recebimento").cast("string"), F.upper(F.trim("estabelecimento")), F.trim("nome_estabelecimento"))
     if days and day not in days:
-        raise ValueError(f"A data selecionada ({day}) não corresponde ao arquivo da Rede. Data encontrada: {', '.join(days)}.")
+        raise ValueError(f"A data selecionada ({day}) não corresponde ao arquivo da Rede. Data encontrada: {', '.join(days)}.")  # fixed value: the message
     expected = (establishment or "").strip().upper()
     if expected and places and expected not in places:
-        raise ValueError(f"O estabelecimento da unidade selecionada ({expected}) não corresponde ao arquivo da Rede. Estabelecimento encontrado: {', '.join(places)}.")
+        raise ValueError(f"O estabelecimento da unidade selecionada ({expected}) não corresponde ao arquivo da Rede. Estabelecimento encontrado: {', '.join(places)}.")  # fixed value: the message
     return {"datas_recebimento": days, "estabelecimentos": places, "nomes_estabelecimento": names}
 
 

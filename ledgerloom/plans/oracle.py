@@ -5,10 +5,84 @@ CHAIN holds common table expressions over lineitem and orders; each oracle is CH
 
 from __future__ import annotations
 
-from ledgerloom.operators import classify, rollup
 from ledgerloom.plans import sides
 
 MONEY = "DECIMAL(28,2)"
+#: Fixed values, written out here again so that a slip in the code they check shows.
+WEAK = (
+    "AUTORIZACAO_DUPLICADA", "NSU_DUPLICADO", "PARCELA_VAZIA", "NUMERO_PARCELAS_VAZIO", "BANDEIRA_VAZIA", "MODALIDADE_VAZIA", "STATUS_VAZIO",
+    "NSU_FORMATO_INVALIDO", "VALOR_ZERADO", "NSU_VAZIO", "FORMA_PAGAMENTO_AUSENTE", "PARCELAMENTO_NAO_IDENTIFICADO", "DIVERGENCIA_PARCELAMENTO_FORMA_PAGAMENTO", "VALOR_BRUTO_INVALIDO",
+)
+GROUP_AMBIGUOUS = "AGRUPAMENTO_OS_AMBIGUO"
+GROUP_VALUE = "AGRUPAMENTO_OS_VALOR_DIVERGENTE"
+GROUP_MATCHED = "CONCILIADO_POR_AGRUPAMENTO_OS_MESMA_AUTORIZACAO"
+NOT_AT_ACQUIRER = "NAO_ENCONTRADO_NA_REDE"
+NOT_IN_LEDGER = "NAO_ENCONTRADO_NO_SHIFT"
+TOLERATED = "DIVERGENCIA_TOLERADA_ATE_2_CENTAVOS"
+TOLERATED_ALONE = "CONCILIADO_COM_DIVERGENCIA_TOLERADA"
+BY_AUTH = "AUTORIZACAO_COMPATIVEL"
+BY_GROUP = "AUTORIZACAO_NORMALIZADA_AGRUPAMENTO_SHIFT"
+GROUP_ALONE = "AGRUPAMENTO_OS_SEM_CORRESPONDENCIA_REDE"
+LEFT_OVER = "SEM_CORRESPONDENCIA_NO_SHIFT"
+REVIEW = "REVISAR_AUTORIZACAO_DIVERGENTE_ALTA_CONFIANCA"
+AMBIGUOUS = "AMBIGUO_SEM_AUTORIZACAO_COMPATIVEL"
+NOTHING = "SEM_AUTORIZACAO_COMPATIVEL"
+NO_ACTION = "Sem ação necessária"
+MANUAL = "Revisão manual obrigatória"
+OTHER_GROUP = "Outras divergências"
+ACTIONS = (
+    ("CONCILIADO_COM_DIVERGENCIA_TOLERADA", "Diferença de até R$ 0,02 aceita; manter para auditoria"),
+    ("ERRO_CADASTRAL_SHIFT", "Corrigir cadastro no Shift"),
+    ("AGRUPAMENTO_OS_AMBIGUO", "Revisão manual obrigatória"),
+    ("AGRUPAMENTO_OS_VALOR_DIVERGENTE", "Conferir soma das O.S. agrupadas"),
+    ("AGRUPAMENTO_SHIFT_AMBIGUO", "Revisão manual obrigatória"),
+    ("DUPLICIDADE_EXATA_SUSPEITA", "Revisar possível linha duplicada no Shift"),
+    ("REVISAR_AUTORIZACAO_DIVERGENTE_ALTA_CONFIANCA", "Revisar autorização divergente manualmente."),
+    ("AMBIGUO_SEM_AUTORIZACAO_COMPATIVEL", "Revisar manualmente: múltiplos candidatos possíveis, sem correspondência automática."),
+    ("DIVERGENCIA_PARCELA", "Verificar parcela"),
+    ("DADOS_PARCELA_INSUFICIENTES", "Conferir parcela/quantidade de parcelas manualmente"),
+    ("DIVERGENCIA_VALOR_BRUTO", "Verificar valor bruto"),
+    ("SEM_AUTORIZACAO_COMPATIVEL", "Verificar se a venda foi processada ou lançada na unidade correta"),
+    ("NAO_ENCONTRADO_NA_REDE", "Verificar se a venda foi processada ou lançada na unidade correta"),
+    ("NAO_ENCONTRADO_NO_SHIFT", "Cadastrar ou justificar a transação no Shift"),
+)
+GROUPS = (
+    ("AGRUPAMENTO_OS_AMBIGUO", "Agrupamentos ambíguos"),
+    ("AGRUPAMENTO_OS_VALOR_DIVERGENTE", "Agrupamentos com valor divergente"),
+    ("AGRUPAMENTO_SHIFT_AMBIGUO", "Agrupamentos ambíguos"),
+    ("REVISAR_AUTORIZACAO_DIVERGENTE", "Autorizações divergentes para revisão"),
+    ("DIVERGENCIA_AUTORIZACAO", "Divergências de autorização"),
+    ("DIVERGENCIA_VALOR_BRUTO", "Divergências de valor bruto"),
+    ("DIVERGENCIA_VALOR_LIQUIDO", "Divergências de valor líquido"),
+    ("DIVERGENCIA_MDR", "Divergências de MDR"),
+    ("DIVERGENCIA_PARCELA", "Divergências de parcela"),
+    ("DADOS_PARCELA_INSUFICIENTES", "Dados de parcela insuficientes"),
+    ("DIVERGENCIA_DATA", "Divergências de data"),
+    ("DIVERGENCIA_BANDEIRA", "Divergências de bandeira"),
+    ("DIVERGENCIA_MODALIDADE", "Divergências de modalidade"),
+    ("NAO_ENCONTRADO_NA_REDE", "Encontradas somente no Shift"),
+    ("NAO_ENCONTRADO_NO_SHIFT", "Encontradas somente na Rede"),
+    ("POSSIVEL_DUPLICIDADE", "Possíveis duplicidades"),
+    ("DUPLICIDADE_EXATA_SUSPEITA", "Duplicidades exatas suspeitas"),
+    ("CONCILIADO_COM_DIVERGENCIA_TOLERADA", "Divergências toleradas até R$ 0,02"),
+)
+COUNTS = {
+    "total_conciliado": "^CONCILIADO",
+    "total_divergencia_tolerada": "DIVERGENCIA_TOLERADA",
+    "total_parcela_compativel_por_restantes": "CONCILIADO_COM_PARCELA_COMPATIVEL_POR_RESTANTES",
+    "total_so_rede": "NAO_ENCONTRADO_NO_SHIFT",
+    "total_so_shift": "NAO_ENCONTRADO_NA_REDE",
+    "total_com_divergencia": "DIVERGENCIA|REVISAO_MANUAL|DADOS_PARCELA_INSUFICIENTES|REVISAR_AUTORIZACAO_DIVERGENTE|AMBIGUO_SEM_AUTORIZACAO_COMPATIVEL|AGRUPAMENTO_SHIFT_AMBIGUO|AGRUPAMENTO_OS_AMBIGUO|AGRUPAMENTO_OS_VALOR_DIVERGENTE|DUPLICIDADE_EXATA_SUSPEITA",
+    "total_agrupamento_shift_ambiguo": "AGRUPAMENTO_SHIFT_AMBIGUO|AGRUPAMENTO_OS_AMBIGUO",
+    "total_revisar_autorizacao_divergente": "REVISAR_AUTORIZACAO_DIVERGENTE_ALTA_CONFIANCA",
+    "total_ambiguo_sem_autorizacao": "AMBIGUO_SEM_AUTORIZACAO_COMPATIVEL",
+    "total_erro_cadastral_shift": "ERRO_CADASTRAL_SHIFT",
+    "total_duplicidade": "POSSIVEL_DUPLICIDADE|DUPLICIDADE_EXATA_SUSPEITA",
+    "total_cancelamento_contestacao": "CANCELAMENTO_CONTESTACAO",
+}
+RECONCILED = (
+    "CONCILIADO", "CONCILIADO_COM_PARCELA_COMPATIVEL_POR_RESTANTES", "CONCILIADO_POR_AGRUPAMENTO_OS_MESMA_AUTORIZACAO", "CONCILIADO_POR_AGRUPAMENTO_SHIFT",
+)
 BRAND = "CASE WHEN upper({x}) LIKE '%VISA%' THEN 'VISA' WHEN upper({x}) LIKE '%MASTER%' THEN 'MASTERCARD' WHEN upper({x}) LIKE '%ELO%' THEN 'ELO' WHEN upper({x}) LIKE '%AMEX%' THEN 'AMEX' WHEN upper({x}) LIKE '%HIPER%' THEN 'HIPERCARD' ELSE 'OUTRA' END"
 MODALITY = "CASE WHEN strip_accents(upper({x})) LIKE '%CREDIT%' THEN 'CREDITO' WHEN strip_accents(upper({x})) LIKE '%DEBIT%' THEN 'DEBITO' WHEN upper({x}) = 'PIX' THEN 'PIX' ELSE 'OUTRA' END"
 
@@ -38,12 +112,12 @@ def _texts(*parts: str) -> str:
 
 
 def _action(statuses: str) -> str:
-    fine = f"len(list_filter({statuses}, lambda x: NOT starts_with(x, 'CONCILIADO') AND x <> '{classify.TOLERATED}')) = 0"
-    return f"CASE WHEN {fine} THEN '{classify.NO_ACTION}' " + " ".join(f"WHEN list_contains({statuses}, '{k}') THEN '{v}'" for k, v in classify.ACTIONS) + f" ELSE '{classify.MANUAL}' END"
+    fine = f"len(list_filter({statuses}, lambda x: NOT starts_with(x, 'CONCILIADO') AND x <> '{TOLERATED}')) = 0"
+    return f"CASE WHEN {fine} THEN '{NO_ACTION}' " + " ".join(f"WHEN list_contains({statuses}, '{k}') THEN '{v}'" for k, v in ACTIONS) + f" ELSE '{MANUAL}' END"
 
 
 _A_SQL, _L_SQL = sides.sql("//")
-_WEAK = ", ".join(f"'{x}'" for x in classify.WEAK)
+_WEAK = ", ".join(f"'{x}'" for x in WEAK)
 _QUALITY = f"""{_texts(f"CASE WHEN len(list_filter(s.codes, lambda x: x NOT IN ({_WEAK}))) > 0 THEN 'ERRO_CADASTRAL_SHIFT' END",
     "CASE WHEN len(list_filter(s.codes, lambda x: contains(x, 'DUPLICAD'))) > 0 THEN 'POSSIVEL_DUPLICIDADE' END",
     "CASE WHEN s.repetida THEN 'DUPLICIDADE_EXATA_SUSPEITA' END")}"""
@@ -123,7 +197,7 @@ second AS (
     WHERE how IN ('EXATA', 'COMPATIVEL_POR_PARCELAS_RESTANTES') AND NOT regexp_matches(r.situacao || ' ' || r.cancelamento, 'CANCEL|CONTEST|DESAGEND|ESTORN')
 ),
 counted AS (SELECT *, count(*) OVER (PARTITION BY s_ord) AS n, count(*) OVER (PARTITION BY r_ord) AS m FROM second),
-kinds AS (SELECT DISTINCT s_ord, CASE WHEN n = 1 AND m = 1 THEN r_ord END AS r_ord, CASE WHEN n = 1 AND m = 1 THEN '{classify.fallback.REVIEW}' ELSE '{classify.fallback.AMBIGUOUS}' END AS kind FROM counted),
+kinds AS (SELECT DISTINCT s_ord, CASE WHEN n = 1 AND m = 1 THEN r_ord END AS r_ord, CASE WHEN n = 1 AND m = 1 THEN '{REVIEW}' ELSE '{AMBIGUOUS}' END AS kind FROM counted),
 paired AS (
     SELECT s.*, r.ord AS r_ord, r.linha AS linha_rede, r.bruto AS r_bruto, r.liquido AS r_liquido, r.auth AS r_auth, {_how("s", "r")} AS how, {_QUALITY} AS quality,
            {_texts(f"CASE WHEN {_how('s', 'r')} = 'DIVERGENCIA_PARCELAS_RESTANTES' THEN 'parcela' END", "CASE WHEN s.auth <> r.auth THEN 'autorizacao' END", "CASE WHEN s.nsu_norm <> r.nsu_norm THEN 'nsu' END", "CASE WHEN s.bruto <> r.bruto THEN 'valor_bruto' END",
@@ -140,31 +214,31 @@ plain AS (
     SELECT *, list_concat(list_concat(quality, {_texts("CASE how WHEN 'DIVERGENCIA_PARCELAS_RESTANTES' THEN 'DIVERGENCIA_PARCELA' WHEN 'DADOS_PARCELA_INSUFICIENTES' THEN 'DADOS_PARCELA_INSUFICIENTES' WHEN 'COMPATIVEL_POR_PARCELAS_RESTANTES' THEN 'CONCILIADO_COM_PARCELA_COMPATIVEL_POR_RESTANTES' END")}),
                           list_concat(of_fields, {_texts("CASE WHEN cancelada THEN 'CANCELAMENTO_CONTESTACAO' END")})) AS found,
            CASE WHEN agrupada AND list_has_any(found, ['DIVERGENCIA_VALOR_BRUTO', 'DIVERGENCIA_VALOR_LIQUIDO'])
-                THEN list_append(list_filter(found, lambda x: x NOT IN ('DIVERGENCIA_VALOR_BRUTO', 'DIVERGENCIA_VALOR_LIQUIDO')), '{classify.GROUP_VALUE}') ELSE found END AS judged_list,
+                THEN list_append(list_filter(found, lambda x: x NOT IN ('DIVERGENCIA_VALOR_BRUTO', 'DIVERGENCIA_VALOR_LIQUIDO')), '{GROUP_VALUE}') ELSE found END AS judged_list,
            agrupada AND how = 'DIVERGENCIA_PARCELAS_RESTANTES' AS blocked
     FROM paired
 ),
 branches AS (
     SELECT 0 AS stage, ord AS emit, r_ord, linha AS linha_shift, linha_rede, bruto AS s_bruto, liquido AS s_liquido, r_bruto, r_liquido, auth AS s_auth, r_auth,
-           CASE WHEN blocked THEN list_append(quality, '{classify.GROUP_AMBIGUOUS}') WHEN len(judged_list) = 0 AND agrupada AND tolerada THEN ['{classify.GROUP_MATCHED}', '{classify.TOLERATED}']
-                WHEN len(judged_list) = 0 AND agrupada THEN ['{classify.GROUP_MATCHED}'] WHEN len(judged_list) = 0 AND tolerada THEN ['{classify.TOLERATED_ALONE}']
-                WHEN tolerada THEN list_append(judged_list, '{classify.TOLERATED}') WHEN len(judged_list) = 0 THEN ['CONCILIADO'] ELSE judged_list END AS statuses,
-           CASE WHEN blocked THEN ['parcela'] ELSE fields END AS fields, CASE WHEN blocked THEN '{classify.GROUP_AMBIGUOUS}' WHEN agrupada THEN '{classify.BY_GROUP}' ELSE '{classify.BY_AUTH}' END AS kind
+           CASE WHEN blocked THEN list_append(quality, '{GROUP_AMBIGUOUS}') WHEN len(judged_list) = 0 AND agrupada AND tolerada THEN ['{GROUP_MATCHED}', '{TOLERATED}']
+                WHEN len(judged_list) = 0 AND agrupada THEN ['{GROUP_MATCHED}'] WHEN len(judged_list) = 0 AND tolerada THEN ['{TOLERATED_ALONE}']
+                WHEN tolerada THEN list_append(judged_list, '{TOLERATED}') WHEN len(judged_list) = 0 THEN ['CONCILIADO'] ELSE judged_list END AS statuses,
+           CASE WHEN blocked THEN ['parcela'] ELSE fields END AS fields, CASE WHEN blocked THEN '{GROUP_AMBIGUOUS}' WHEN agrupada THEN '{BY_GROUP}' ELSE '{BY_AUTH}' END AS kind
     FROM plain
-    UNION ALL {_alone(0, f"['{classify.GROUP_AMBIGUOUS}']", "['agrupamento_shift']", classify.GROUP_AMBIGUOUS, "coded s WHERE s.ambigua")}
-    UNION ALL {_alone(0, f"list_append({_QUALITY}, '{classify.GROUP_AMBIGUOUS}')", "['autorizacao']", classify.GROUP_AMBIGUOUS, "coded s JOIN outcomes o ON s.ord = o.s_ord WHERE o.outcome = 'several'")}
-    UNION ALL {_alone(0, f"list_concat({_QUALITY}, ['{classify.NOT_AT_ACQUIRER}', 'MULTIPLAS_OS_MESMA_AUTORIZACAO'])", "[]", classify.GROUP_ALONE, "coded s LEFT JOIN outcomes o ON s.ord = o.s_ord WHERE s.agrupada AND NOT s.ambigua AND coalesce(o.outcome, 'none') = 'none'")}
+    UNION ALL {_alone(0, f"['{GROUP_AMBIGUOUS}']", "['agrupamento_shift']", GROUP_AMBIGUOUS, "coded s WHERE s.ambigua")}
+    UNION ALL {_alone(0, f"list_append({_QUALITY}, '{GROUP_AMBIGUOUS}')", "['autorizacao']", GROUP_AMBIGUOUS, "coded s JOIN outcomes o ON s.ord = o.s_ord WHERE o.outcome = 'several'")}
+    UNION ALL {_alone(0, f"list_concat({_QUALITY}, ['{NOT_AT_ACQUIRER}', 'MULTIPLAS_OS_MESMA_AUTORIZACAO'])", "[]", GROUP_ALONE, "coded s LEFT JOIN outcomes o ON s.ord = o.s_ord WHERE s.agrupada AND NOT s.ambigua AND coalesce(o.outcome, 'none') = 'none'")}
     UNION ALL SELECT 1, s.ord, r.ord, s.linha, r.linha, s.bruto, s.liquido, r.bruto, r.liquido, s.auth, r.auth, list_append({_QUALITY}, k.kind), ['autorizacao'], k.kind
               FROM kinds k JOIN coded s ON k.s_ord = s.ord JOIN va r ON k.r_ord = r.ord
-    UNION ALL {_alone(1, f"list_concat({_QUALITY}, ['{classify.fallback.AMBIGUOUS}', '{classify.NOT_AT_ACQUIRER}'])", "['autorizacao']", classify.fallback.AMBIGUOUS, "coded s JOIN kinds k ON s.ord = k.s_ord WHERE k.r_ord IS NULL")}
-    UNION ALL {_alone(1, f"list_append({_QUALITY}, '{classify.NOT_AT_ACQUIRER}')", "[]", classify.fallback.NOTHING, "pending s WHERE s.ord NOT IN (SELECT s_ord FROM kinds)")}
-    UNION ALL {_alone(2, f"['{classify.NOT_IN_LEDGER}']", "[]", classify.LEFT_OVER, "pool s WHERE s.ord NOT IN (SELECT r_ord FROM kinds WHERE r_ord IS NOT NULL)", "r")}
+    UNION ALL {_alone(1, f"list_concat({_QUALITY}, ['{AMBIGUOUS}', '{NOT_AT_ACQUIRER}'])", "['autorizacao']", AMBIGUOUS, "coded s JOIN kinds k ON s.ord = k.s_ord WHERE k.r_ord IS NULL")}
+    UNION ALL {_alone(1, f"list_append({_QUALITY}, '{NOT_AT_ACQUIRER}')", "[]", NOTHING, "pending s WHERE s.ord NOT IN (SELECT s_ord FROM kinds)")}
+    UNION ALL {_alone(2, f"['{NOT_IN_LEDGER}']", "[]", LEFT_OVER, "pool s WHERE s.ord NOT IN (SELECT r_ord FROM kinds WHERE r_ord IS NOT NULL)", "r")}
 ),
 detail AS (
     SELECT *, array_to_string(statuses, ' + ') AS status, array_to_string(fields, ', ') AS campos, {_action("statuses")} AS acao,
            abs(s_bruto - r_bruto) AS d_bruto, abs(s_liquido - r_liquido) AS d_liquido, coalesce(s_liquido, s_bruto) AS op_s, coalesce(r_liquido, r_bruto) AS op_r,
-           CASE WHEN list_contains(statuses, '{classify.NOT_AT_ACQUIRER}') THEN 'l' WHEN list_contains(statuses, '{classify.NOT_IN_LEDGER}') THEN 'a' WHEN list_contains(statuses, '{classify.fallback.REVIEW}') THEN 'v'
-                WHEN list_contains(statuses, '{classify.GROUP_AMBIGUOUS}') OR list_contains(statuses, '{classify.fallback.AMBIGUOUS}') THEN 'x' WHEN list_contains(statuses, 'DIVERGENCIA_VALOR_LIQUIDO') THEN 'n'
+           CASE WHEN list_contains(statuses, '{NOT_AT_ACQUIRER}') THEN 'l' WHEN list_contains(statuses, '{NOT_IN_LEDGER}') THEN 'a' WHEN list_contains(statuses, '{REVIEW}') THEN 'v'
+                WHEN list_contains(statuses, '{GROUP_AMBIGUOUS}') OR list_contains(statuses, '{AMBIGUOUS}') THEN 'x' WHEN list_contains(statuses, 'DIVERGENCIA_VALOR_LIQUIDO') THEN 'n'
                 WHEN list_contains(statuses, 'DIVERGENCIA_VALOR_BRUTO') THEN 'g' ELSE 'e' END AS rule,
            CAST(coalesce(CASE rule WHEN 'l' THEN op_s WHEN 'a' THEN op_r WHEN 'v' THEN 0 WHEN 'x' THEN 0 WHEN 'n' THEN d_liquido WHEN 'g' THEN d_bruto ELSE coalesce(nullif(d_liquido, 0), nullif(d_bruto, 0), 0) END, 0) AS {MONEY}) AS confirmado,
            CAST(CASE rule WHEN 'v' THEN coalesce(op_s, op_r, 0) WHEN 'x' THEN coalesce(op_s, 0) + coalesce(op_r, 0) ELSE 0 END AS {MONEY}) AS em_revisao
@@ -172,10 +246,10 @@ detail AS (
 )
 """
 
-_GROUP = "CASE " + " ".join(f"WHEN contains(status, '{token}') THEN {k}" for k, (token, _) in enumerate(rollup.GROUPS)) + f" ELSE {len(rollup.GROUPS)} END"
-_LABEL = "CASE " + " ".join(f"WHEN contains(status, '{token}') THEN '{label}'" for token, label in rollup.GROUPS) + f" ELSE '{rollup.OTHER_GROUP}' END"
-_FINE = "status IN (" + ", ".join(f"'{x}'" for x in rollup.RECONCILED) + ")"
-_COUNTS = " UNION ALL ".join(f"SELECT '{k}' AS indicador, CAST(count(*) FILTER (WHERE regexp_matches(status, '{p}')) AS BIGINT) AS valor FROM detail" for k, p in rollup.COUNTS.items())
+_GROUP = "CASE " + " ".join(f"WHEN contains(status, '{token}') THEN {k}" for k, (token, _) in enumerate(GROUPS)) + f" ELSE {len(GROUPS)} END"
+_LABEL = "CASE " + " ".join(f"WHEN contains(status, '{token}') THEN '{label}'" for token, label in GROUPS) + f" ELSE '{OTHER_GROUP}' END"
+_FINE = "status IN (" + ", ".join(f"'{x}'" for x in RECONCILED) + ")"
+_COUNTS = " UNION ALL ".join(f"SELECT '{k}' AS indicador, CAST(count(*) FILTER (WHERE regexp_matches(status, '{p}')) AS BIGINT) AS valor FROM detail" for k, p in COUNTS.items())
 _REASONS = "SELECT origem, motivo AS motivo_descarte, ord, linha FROM reasons WHERE motivo IS NOT NULL UNION ALL SELECT 'SHIFT', 'EMPRESA_FORA_DO_RECORTE', ord, linha FROM other_company"
 
 SELECTS = {
@@ -204,8 +278,8 @@ SELECTS = {
     "recommended_action": "SELECT linha_shift, linha_rede, acao AS acao_recomendada FROM detail",
     "secondary_candidates": "SELECT s_ord, r_ord FROM second",
     "unique_pairs": "SELECT s_ord, r_ord, kind FROM kinds",
-    "ledger_only": f"SELECT linha_shift, status AS status_conciliacao FROM detail WHERE list_contains(statuses, '{classify.NOT_AT_ACQUIRER}')",
-    "acquirer_only": f"SELECT linha_rede, status AS status_conciliacao FROM detail WHERE list_contains(statuses, '{classify.NOT_IN_LEDGER}')",
+    "ledger_only": f"SELECT linha_shift, status AS status_conciliacao FROM detail WHERE list_contains(statuses, '{NOT_AT_ACQUIRER}')",
+    "acquirer_only": f"SELECT linha_rede, status AS status_conciliacao FROM detail WHERE list_contains(statuses, '{NOT_IN_LEDGER}')",
     "financial_impact": "SELECT linha_shift, linha_rede, confirmado AS impacto_financeiro_confirmado, em_revisao AS valor_operacao_em_revisao FROM detail",
     "status_totals": "SELECT t AS status, count(*) AS quantidade FROM (SELECT unnest(statuses) AS t FROM detail) GROUP BY t",
     "summary_counts": _COUNTS,

@@ -75,10 +75,10 @@ class Store:
     def _checked(self, code: str, name: str, own_id: int | None = None) -> tuple[str, str]:
         code, name = code.strip(), name.strip()
         if not code or not name:
-            raise ConflictError("Código e nome são obrigatórios.")
+            raise ConflictError("Código e nome são obrigatórios.")  # fixed value: the message
         same = self._current("unidades", UNITS).where(F.lower("codigo") == code.lower())
         if not (same if own_id is None else same.where(F.col("id") != own_id)).isEmpty():
-            raise ConflictError("Já existe uma unidade com esse código.")
+            raise ConflictError("Já existe uma unidade com esse código.")  # fixed value: the message
         return code, name
 
     def create_unit(self, code: str, name: str, establishment: str | None = None, company: str | None = None) -> int:
@@ -91,16 +91,16 @@ class Store:
         code, name = self._checked(code, name, unit_id)
         before = self.unit(unit_id)
         if before is None:
-            raise NotFoundError("Unidade não encontrada.")
+            raise NotFoundError("Unidade não encontrada.")  # fixed value: the message
         self._append("unidades", UNITS, [before | {"codigo": code, "nome": name, "estabelecimento": _stripped(establishment), "empresa_shift": _stripped(company), "ativa": bool(active), "atualizado_em": _now()}])
 
     def delete_unit(self, unit_id: int) -> None:
         """Only a unit without reconciliations goes."""
         if not self._current("conciliacoes", RUNS).where(F.col("unidade_id") == unit_id).isEmpty():
-            raise ConflictError("A unidade possui conciliações. Desative-a para preservar o histórico.")
+            raise ConflictError("A unidade possui conciliações. Desative-a para preservar o histórico.")  # fixed value: the message
         before = self.unit(unit_id)
         if before is None:
-            raise NotFoundError("Unidade não encontrada.")
+            raise NotFoundError("Unidade não encontrada.")  # fixed value: the message
         self._append("unidades", UNITS, [before], gone=True)
 
     # --- reconciliations ---
@@ -108,11 +108,11 @@ class Store:
     def save(self, run_id: str, unit_id: int, day: str, summary: dict, files: list[dict]) -> None:
         """A finished run and its files (origem, categoria, nome_original, caminho_arquivo, quantidade_linhas)."""
         if self.unit(unit_id) is None:
-            raise NotFoundError("Unidade não encontrada.")
+            raise NotFoundError("Unidade não encontrada.")  # fixed value: the message
         if not self._current("conciliacoes", RUNS).where(F.col("id") == run_id).isEmpty():
             raise ConflictError(f"A conciliação {run_id} já existe.")
         if len({f["origem"] for f in files}) < len(files) or any(f["categoria"] not in CATEGORIES for f in files):
-            raise ConflictError("Cada arquivo precisa de uma origem própria e da categoria REDE ou SHIFT.")
+            raise ConflictError("Cada arquivo precisa de uma origem própria e da categoria REDE ou SHIFT.")  # fixed value: the message
         now = _now()
         if files:  # before the run itself: files of a run that doesn't exist are in no list
             first = self._next_id("importacoes", FILES)
@@ -139,7 +139,7 @@ class Store:
         """Removes a reconciliation with its files; returns the paths of those."""
         row = self._current("conciliacoes", RUNS).where(F.col("id") == run_id).first()
         if row is None:
-            raise NotFoundError("Conciliação não encontrada.")
+            raise NotFoundError("Conciliação não encontrada.")  # fixed value: the message
         files = [r.asDict() for r in self._current("importacoes", FILES).where(F.col("conciliacao_id") == run_id).collect()]
         self._append("conciliacoes", RUNS, [row.asDict()], gone=True)
         if files:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import report_date
 from ledgerloom.operators import prepare, schema
 from ledgerloom.sources import delimited, headers, records, workbook
 
@@ -29,15 +28,8 @@ class Upload:
     sheet: str | None = None
 
 
-def report_date(name: str) -> date | None:
-    """The first dd.mm.yyyy (also with - or _) in a file name, if it is a day."""
-    if not (found := re.search(r"(\d{2})[.\-_](\d{2})[.\-_](\d{4})", name)):
-        return None
-    day, month, year = map(int, found.groups())
-    try:
-        return date(year, month, day)
-    except ValueError:
-        return None
+def _base(upload: Upload) -> str:
+    return upload.path.rsplit("/", 1)[-1]
 
 
 def sheet(spark: SparkSession, upload: Upload) -> tuple[DataFrame, str]:
@@ -71,8 +63,8 @@ def _exports(spark: SparkSession, uploads: list[tuple[int, Upload]], source: str
         places = {x: k for k, x in names}
         wanted[shape] = {field: places[x] for field, x in headers.mapping(list(places)).items()}
     own = records.columns(found, wanted, list(headers.CANONICAL)).withColumnRenamed("n", "_line")
-    files = [(k, place, u.name, u.origin, report_date(u.path.rsplit("/", 1)[-1])) for k, (place, u) in enumerate(uploads)]
-    about = spark.createDataFrame(files, "file int, place bigint, rede_arquivo_origem string, origem_id string, rede_data_relatorio date")
+    files = [(k, place, u.name, u.origin, _base(u)) for k, (place, u) in enumerate(uploads)]
+    about = spark.createDataFrame(files, "file int, place bigint, rede_arquivo_origem string, origem_id string, base string").withColumn("rede_data_relatorio", report_date(F.col("base"))).drop("base")
     rows = own.join(F.broadcast(about), "file").withColumn("ord", F.col("place") * PER_FILE + F.col("_line"))  # a row for each upload
     fields = tuple(headers.CANONICAL)
     return schema.normalized(rows, source, {f: f for f in fields}, fields, ("rede_arquivo_origem", "origem_id", "rede_data_relatorio"))
@@ -106,7 +98,7 @@ def acquirer(spark: SparkSession, uploads: list[Upload]) -> DataFrame:
     for k, upload in enumerate(uploads):
         if not _is_csv(upload):
             rows, name = sheet(spark, upload)
-            lineage = {"rede_arquivo_origem": F.lit(upload.name), "rede_origem_id": F.lit(upload.origin), "rede_aba_origem": F.lit(name), "rede_data_relatorio": F.lit(report_date(upload.path.rsplit("/", 1)[-1])).cast("date")}
+            lineage = {"rede_arquivo_origem": F.lit(upload.name), "rede_origem_id": F.lit(upload.origin), "rede_aba_origem": F.lit(name), "rede_data_relatorio": report_date(F.lit(_base(upload)))}
             own.append(_placed(_mapped(rows, schema.ACQUIRER), k).withColumns(lineage))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)
     return schema.acquirer(rows.withColumns({"rede_linha_original": F.col("_row"), "rede_duplicado_entre_arquivos": F.lit(False)}))
