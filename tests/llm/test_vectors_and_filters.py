@@ -93,16 +93,16 @@ def mined(rows, positives=5, negatives=3):
 
 @pytest.mark.parametrize("kind", ["double", "float"])
 def test_hard_negatives_against_brute_force(spark, monkeypatch, kind):
-    for name, value in (("BLOCK", 30), ("GROUP", 7), ("SHARE", 5), ("TOGETHER", 4)):
+    for name, value in (("BLOCK", 60), ("GROUP", 7), ("SHARE", 5), ("TOGETHER", 4)):
         monkeypatch.setattr(hard_negatives, name, value)
     rng = np.random.default_rng(8)
-    rows = [(i, [float(np.float32(c)) for c in x] if kind == "float" else x, int(rng.integers(0, 4)) if k % 3 else 0) for k, (i, x) in enumerate(some_vectors(600))]
+    rows = [(i, [float(np.float32(c)) for c in x] if kind == "float" else x, int(rng.integers(0, 4)) if k % 3 else 0) for k, (i, x) in enumerate(some_vectors(400))]
     rows += [(50, rows[50][1], 9), (100, rows[100][1], rows[100][2]), *((100, rows[100][1], rows[100][2]) for _ in range(9))]  # an id of many rows, one of another label
     more = [(900, None, 1), (950, [], 1), (1000, [None, 1.0, 1.0, 1.0], 1), (1050, [math.nan] * 4, 1), (1100, [1.0] * 4, None), (None, [1.0] * 4, 1)]
     frame = spark.createDataFrame(rows + more, f"vec_id long, embedding array<{kind}>, label int").withColumn("rank", F.lit(1)).repartition(5)
     expected = mined(rows)
     got = sorted(tuple(r) for r in hard_negatives.hard_negatives(frame, F.col("vec_id") % 50 == 0).collect())
-    assert len({r[0] for r in expected}) > 8 and got == [(a, b, c, d, e, f) for a, b, c, d, e, f in expected]
+    assert len({r[0] for r in expected}) > 6 and got == [(a, b, c, d, e, f) for a, b, c, d, e, f in expected]
 
 
 def test_hard_negatives_of_little(spark):
