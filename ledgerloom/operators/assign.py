@@ -10,8 +10,10 @@ candidate) is exact when made key by key. Keys are dealt with by their size, whi
 - A larger key falls apart into runs of near values (no two of them within the tolerance), as a row of near value comes before
   all others. Each run is swept by itself, so that a hot key's rows spread over tasks. If every ledger row finds a free row of
   near value at its turn, no row ever looks outside its run, and the runs' assignments are the key's.
-- Where one doesn't, or a consolidated row asks how many rows are free, the key is swept as a whole: rows stream through one
-  task in order, each choice a few look-ups among queues of free rows. Such a choice may take the row that the next one wants,
+- A consolidated row asks only how many rows are free at its turn, which a count tells: every ordinary row before it took one,
+  as long as there was one. So at most one consolidated row of a key takes a row, the one that is left, and none after it does.
+- Where an ordinary row finds nothing near, the key is swept as a whole: rows stream through one task in order, each choice a
+  few look-ups among queues of free rows. Such a choice may take the row that the next one wants,
   and that one the row of the one after it, all along the key: no rounds of proposals end sooner than the sweep.
 """
 
@@ -112,25 +114,38 @@ def _swept(s: DataFrame, r: DataFrame, sizes: DataFrame) -> DataFrame:
         "auth_key", F.lit(side).alias("side"), "ord", (F.col("valor_bruto") * 100).cast("decimal(38,0)").alias("cents"), "parcela", "numero_parcelas", F.nullif("nsu", F.lit("")).alias("nsu"), F.unix_date("data_venda").alias("day"), grouped.alias("grouped"), "m"
     )
     both = keep(plain(r, 0, F.lit(False)).unionByName(plain(s, 1, F.col("_grouped"))), "large")
-    # only the first m ledger rows of a key may find anything, if each finds one
-    asking = both.where("side = 1").withColumn("turn", F.row_number().over(Window.partitionBy("auth_key").orderBy("ord")))
-    late = asking.where("turn > m").select("auth_key", "ord")
+    asked = keep(_by_counts(both), "asked")
     values = both.where("cents is not null").groupBy("auth_key", "cents").agg(F.count("*").alias("n")).drop("n")
     by_value = Window.partitionBy("auth_key").orderBy("cents")
     starts = F.coalesce(F.col("cents") - F.lag("cents").over(by_value) > CENTS, F.lit(True)).cast("long")
     runs = keep(values.withColumn("begins", starts).withColumn("run", F.sum("begins").over(by_value)).drop("begins"), "runs")
-    placed = both.join(late.withColumn("late", F.lit(True)), ["auth_key", "ord"], "left").where("late is null or side = 0").join(runs, ["auth_key", "cents"])
+    choosing = both.where("side = 1").join(asked.where("outcome is null").select("auth_key", "ord"), ["auth_key", "ord"], "left_semi")
+    placed = both.where("side = 0").unionByName(choosing).join(runs, ["auth_key", "cents"])
     columns = ("auth_key", "run", "side", "ord", "cents", "parcela", "numero_parcelas", "nsu", "day", "grouped")
     # by a hash of the key: by the key itself, the planner may take the joins' partitions below for it, although adaptive execution reads them differently
     dealt = placed.select(*columns).repartition(F.xxhash64("auth_key", "run")).sortWithinPartitions("auth_key", "run", "side", "ord")
     within = keep(dealt.mapInArrow(_within_runs, _CHOSEN), "within")
-    unsettled = within.where("outcome is null").select("auth_key").union(both.where("side = 1 and (grouped or cents is null)").select("auth_key")).distinct()
-    unsettled = keep(unsettled, "unsettled")
-    settled = within.join(unsettled, "auth_key", "left_anti").drop("auth_key")
-    after = late.join(unsettled, "auth_key", "left_anti").select(F.col("ord").alias("s_ord"), F.lit(None).cast("bigint").alias("r_ord"), F.lit(NONE_FREE).alias("outcome"))
+    unsettled = keep(within.where("outcome is null").select("auth_key").union(choosing.where("cents is null").select("auth_key")).distinct(), "unsettled")
+    settled = within.join(unsettled, "auth_key", "left_anti")
+    by_count = asked.where("outcome is not null").join(unsettled, "auth_key", "left_anti")
+    # where a consolidated row takes the last free row, it is the only one that no run gave away
+    last = by_count.where(F.col("outcome") == TAKEN).select("auth_key")
+    left = both.where("side = 0").join(last, "auth_key", "left_semi").join(settled.select("auth_key", F.col("r_ord").alias("ord")), ["auth_key", "ord"], "left_anti").select("auth_key", F.lit(TAKEN).alias("outcome"), F.col("ord").alias("r_ord"))
+    counted = by_count.join(left, ["auth_key", "outcome"], "left").select(F.col("ord").alias("s_ord"), "r_ord", "outcome")
     whole = both.join(unsettled, "auth_key", "left_semi").withColumn("run", F.lit(0).cast("bigint")).select(*columns)
     swept = whole.repartition(F.xxhash64("auth_key")).sortWithinPartitions("auth_key", "side", "ord").mapInArrow(_along_keys, _CHOSEN)
-    return settled.unionByName(after).unionByName(swept.drop("auth_key"))
+    return settled.drop("auth_key").unionByName(counted).unionByName(swept.drop("auth_key"))
+
+
+def _by_counts(both: DataFrame) -> DataFrame:
+    """auth_key, ord and outcome of each ledger row, as far as counts tell it: null for the ordinary rows that find a free row, whichever it is."""
+    turns = Window.partitionBy("auth_key").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    ledger = both.where("side = 1").withColumn("ordinary", F.count_if(~F.col("grouped")).over(turns))  # of the key, up to this row
+    last = ledger.where("grouped and ordinary = m - 1").groupBy("auth_key").agg(F.min("ord").alias("last"))
+    of_group = F.when(F.col("ord") == F.col("last"), F.lit(TAKEN)).when(F.col("ordinary") < F.col("m") - 1, F.lit(SEVERAL)).otherwise(F.lit(NONE_FREE))
+    too_late = F.col("ordinary") > F.col("m") - F.col("last").isNotNull().cast("long")
+    outcome = F.when(F.col("grouped"), of_group).when(too_late, F.lit(NONE_FREE))
+    return ledger.join(last, "auth_key", "left").select("auth_key", "ord", outcome.alias("outcome"))
 
 
 _CHOSEN = "auth_key string, s_ord bigint, r_ord bigint, outcome string"

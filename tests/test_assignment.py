@@ -67,6 +67,22 @@ def test_a_hot_key_of_200000_rows_falls_apart(spark, monkeypatch):
     assert got.where("outcome = 'taken' and s_ord = r_ord").count() == n and got.count() == n
 
 
+@pytest.mark.parametrize("extra", [-30, -1, 0, 1, 40])
+def test_consolidated_rows_of_a_large_key_need_counts_only(spark, monkeypatch, extra):
+    """Consolidated rows anywhere in the order, and fewer, as many or more acquirer rows than ordinary ledger rows: nothing is swept whole."""
+    monkeypatch.setattr(assign, "SMALL", 0)
+    monkeypatch.setattr(assign, "_along_keys", lambda batches: (b for b in batches if 1 / (0 * b.num_rows)))
+    rng = random.Random(extra)
+    ledger = [row(rng, k, f"{100000 + k % 7}", rng.random() < 0.15) | {"value": rng.choice((1.0, 1.01, 1.02))} for k in range(700)]
+    acquirer = []
+    for key in sorted({r["key"] for r in ledger}):
+        n = max(1, sum(r["key"] == key and not r["grouped"] for r in ledger) + extra)
+        acquirer += [row(rng, 1000 * int(key) + k, key) | {"value": rng.choice((1.0, 1.01, 1.02))} for k in range(n)]
+    got = sorted((tuple(r) for r in assign.assigned(*frames(spark, ledger, acquirer)).collect()), key=str)
+    assert got == plain(ledger, acquirer)
+    assert {x[2] for x in got} == ({"taken", "several"} if extra > 1 else {"taken", "several", "none"})
+
+
 def test_a_hot_key_that_is_swept_as_a_whole(spark):
     """Each ledger row but the first takes what the next one wants: only the order of all rows tells."""
     n = 20_000
