@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -47,6 +48,29 @@ def settings(spark: SparkSession, **own: str) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+_lock = threading.Lock()
+_writers: dict[int, tuple[int, ExitStack]] = {}
+
+
+@contextmanager
+def own_settings(spark: SparkSession) -> Iterator[None]:
+    """OWN_SETTINGS while any thread of the session is inside: the first one in sets them, the last one out takes them back."""
+    with _lock:
+        n, stack = _writers.get(id(spark), (0, ExitStack()))
+        if not n:
+            stack.enter_context(settings(spark, **OWN_SETTINGS))
+        _writers[id(spark)] = n + 1, stack
+    try:
+        yield
+    finally:
+        with _lock:
+            n, stack = _writers.pop(id(spark))
+            if n > 1:
+                _writers[id(spark)] = n - 1, stack
+            else:
+                stack.close()
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
@@ -61,7 +85,7 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with settings(spark, **OWN_SETTINGS):
+    with own_settings(spark):
         df.write.parquet(path)
     system, jvm_path = _file_system(spark, path)
     system.deleteOnExit(jvm_path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns of the discard report, and where each comes from.
@@ -66,10 +66,19 @@ def deduplicated(acquirer: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, discards(judged.where(F.col("files").isNotNull() & ~first), "REDE", DUPLICATE, note)
 
 
+#: Distinct values that a message or a run's context shows at most; context_values has all of them as rows.
+SHOWN = 1000
+
+
 def _texts(rows: DataFrame, *columns: Column) -> list[list[str]]:
-    """The distinct non-empty texts of each column, sorted; one job, with partial aggregation."""
-    sets = [F.sort_array(F.collect_set(F.nullif(c, F.lit("")))).alias(f"c{k}") for k, c in enumerate(columns)]
-    return list(rows.agg(*sets).first())
+    """The distinct non-empty texts of each column, sorted, the first SHOWN of them."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.nullif(c, F.lit("")).alias("text")) for k, c in enumerate(columns)))
+    found = rows.select(F.inline(pairs)).where("text is not null").distinct()
+    places = found.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("text"))).where(F.col("place") <= SHOWN)
+    out: list[list[str]] = [[] for _ in columns]
+    for r in places.orderBy("k", "place").collect():
+        out[r["k"]].append(r["text"])
+    return out
 
 
 def of_company(ledger: DataFrame, company: str | None) -> tuple[DataFrame, DataFrame]:
@@ -105,15 +114,15 @@ def company_alerts(ledger: DataFrame, company: str | None) -> list[str]:
 
 
 def acquirer_context(acquirer: DataFrame, day: str, establishment: str | None = None) -> dict[str, list[str]]:
-    """The days, establishments and names that the report holds; an error if it isn't of the expected day and establishment.
-
-    A report is of one unit and day, so these are a few values; context_values has them as rows where that isn't sure.
-    """
-    days, places, names = _texts(acquirer, F.col("data_recebimento").cast("string"), F.upper(F.trim("estabelecimento")), F.trim("nome_estabelecimento"))
-    if days and day not in days:
-        raise ValueError(f"A data selecionada ({day}) não corresponde ao arquivo da Rede. Data encontrada: {', '.join(days)}.")  # fixed value: the message
+    """The days, establishments and names that the report holds, the first SHOWN of each; an error if it isn't of the expected day and establishment."""
+    own_day, own_place = F.col("data_recebimento").cast("string"), F.nullif(F.upper(F.trim("estabelecimento")), F.lit(""))
     expected = (establishment or "").strip().upper()
-    if expected and places and expected not in places:
+    holds = lambda c, value: F.bool_or(c == value)  # noqa: E731  null where no row has a value
+    has = acquirer.agg(holds(own_day, day).alias("day"), holds(own_place, expected).alias("place")).first()
+    days, places, names = _texts(acquirer, own_day, own_place, F.trim("nome_estabelecimento"))
+    if has["day"] is False:
+        raise ValueError(f"A data selecionada ({day}) não corresponde ao arquivo da Rede. Data encontrada: {', '.join(days)}.")  # fixed value: the message
+    if expected and has["place"] is False:
         raise ValueError(f"O estabelecimento da unidade selecionada ({expected}) não corresponde ao arquivo da Rede. Estabelecimento encontrado: {', '.join(places)}.")  # fixed value: the message
     return {"datas_recebimento": days, "estabelecimentos": places, "nomes_estabelecimento": names}
 
