@@ -108,14 +108,23 @@ def keep_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame,
 _made: dict[tuple, object] = {}
 
 
+def _key(spark: SparkSession, name: str, inputs: list[str]) -> tuple:
+    return (spark.sparkContext.applicationId, name, *((path, _version(spark, path)) for path in inputs))
+
+
 def once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], T]) -> T:
     """What make() gives, made once for the application from files that are still as they were. It holds frames of kept tables; clear() forgets it."""
-    key = (spark.sparkContext.applicationId, name, *((path, _version(spark, path)) for path in inputs))
+    key = _key(spark, name, inputs)
     if key not in _made:
         _made[key] = make()
     return _made[key]  # type: ignore[return-value]
 
 
+def is_made(spark: SparkSession, name: str, inputs: list[str]) -> bool:
+    """Whether once() would give what it has already."""
+    return _key(spark, name, inputs) in _made
+
+
 def _version(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of a table's files: of the file itself, or of those in its folder."""
     system, jvm_path = _file_system(spark, path)

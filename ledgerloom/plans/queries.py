@@ -33,8 +33,9 @@ def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def _discards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of_acquirer = _acquirer(spark, sf_dir)[1]  # first: side L is then made of it
     _, other, gone = _ledger(spark, sf_dir)
-    return prepare.all_discards(other, gone, _acquirer(spark, sf_dir)[1])
+    return prepare.all_discards(other, gone, of_acquirer)
 
 
 def _match(spark: SparkSession, sf_dir: str) -> matching.Result:
@@ -63,7 +64,8 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ledger rows that take part in assignment, and the acquirer's."""
-    return _consolidated(spark, sf_dir).where("not _ambiguous"), schema.acquirer(_acquirer(spark, sf_dir)[0])
+    a = schema.acquirer(_acquirer(spark, sf_dir)[0])  # first: side L is then made of it
+    return _consolidated(spark, sf_dir).where("not _ambiguous"), a
 
 
 # --- scalar rules ---------------------------------------------------------------------------------------------------

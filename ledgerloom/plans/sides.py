@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assign, schema
-from ledgerloom.operators.keeping import keep_but, once
+from ledgerloom.operators.keeping import is_made, keep_but, once
 from ledgerloom.sources.headers import CANONICAL
 
 _CENTS = "CAST(cents {div} 100 AS STRING) || ',' || lpad(CAST(cents % 100 AS STRING), 2, '0')"
@@ -110,7 +110,11 @@ def acquirer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Side L in canonical form, with all its columns and its match keys. It is made of the kept side A: the test tables are read and joined once."""
+    """Side L in canonical form, with all its columns and its match keys.
+
+    It is made of the kept side A where there is one, so that the test tables are read and joined once; a query that reads side L alone
+    pays for no side A, and takes the orders' first rows as they are.
+    """
     return _ledger(spark, sf_dir)[0]
 
 
@@ -121,7 +125,10 @@ def constants_of_ledger(spark: SparkSession, sf_dir: str) -> dict[str, Column]:
 
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
     def make() -> tuple[DataFrame, dict[str, Column]]:
-        first = acquirer(spark, sf_dir).where("_first is not null").select("_first.*", *(F.col(f"raw_{c}").alias(c) for c in _TEXTS))
+        if is_made(spark, "acquirer", _inputs(sf_dir)):
+            first = acquirer(spark, sf_dir).where("_first is not null").select("_first.*", *(F.col(f"raw_{c}").alias(c) for c in _TEXTS))
+        else:
+            first = _raw_acquirer(spark, sf_dir).where("piece = 1").select(*_NUMBERS, *_TEXTS)
         raw = _of(first, spark)
         own = schema.normalized(raw, schema.LEDGER, {c: c for c in CANONICAL}, tuple(CANONICAL), ("empresa", "os_shift", "codigo_registro")).withColumn("data_shift_usada_para_match", F.col("data_venda"))
         constants = schema.constants(schema.LEDGER, tuple(CANONICAL), set(raw.columns), own.columns)
