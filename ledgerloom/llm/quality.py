@@ -19,7 +19,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -148,10 +149,13 @@ def word_vectors(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     texts = sh.typed(documents, text="string").where(F.length("text") > 0)
     schema = T.StructType([T.StructField("row", T.IntegerType()), *(T.StructField(v, T.LongType()) for v in values)])
-    total = texts.mapInArrow(summed, schema).groupBy("row").agg(*(F.sum(v).alias(v) for v in values)).toArrow()  # at most WORDS + SHAPES rows
+    sums = texts.mapInArrow(summed, schema).groupBy("row").agg(*(F.sum(v).cast("double").alias(v) for v in values))
+    # brought to length 1 before they are collected: single precision is half of what the driver would hold, and it makes no copies
+    length = F.greatest(F.sqrt(reduce(add, (F.col(v) * F.col(v) for v in values))), F.lit(1e-9))
+    units = sums.withColumn("length", length).select("row", F.array(*((F.col(v) / F.col("length")).cast("float") for v in values)).alias("unit"))
     vectors = np.zeros((WORDS + SHAPES, DIMENSIONS), np.float32)
-    sums = np.array([total.column(v).to_numpy() for v in values], np.float64).reshape(DIMENSIONS, -1).T
-    vectors[total.column("row").to_numpy()] = sums / np.maximum(np.sqrt((sums**2).sum(1, keepdims=True)), 1e-9)
+    for batch in units.toArrow().to_batches():  # at most WORDS + SHAPES rows
+        vectors[batch.column("row").to_numpy()] = batch.column("unit").flatten().to_numpy().reshape(-1, DIMENSIONS)
     return vectors[:WORDS], vectors[WORDS:]
 
 
