@@ -23,22 +23,23 @@ def normal_sale() -> Column:
     return F.col("valor_bruto").isNotNull() & (F.col("valor_bruto") != 0) & ~text.rlike("CANCEL|CONTEST|DESAGEND|ESTORN")
 
 
-def candidates(pending: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs (s_ord, r_ord): equal keys without nulls, net values within tolerance, compatible instalments, a normal sale. For inspection; classified() makes none."""
+def candidates(pending: DataFrame, pool: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Pairs (s_ord, r_ord): equal keys without nulls, net values within tolerance, compatible instalments, a normal sale. For inspection; classified() makes none. taken: see _asked."""
     own = ("ord", "valor_liquido", "parcela", "numero_parcelas")
     s, n = keep_counted(pending.dropna(subset=[*KEY, "valor_liquido"]).select(*KEY, *(F.col(c).alias(f"s_{c}") for c in own)), "waiting")
-    r = _asked(pool.where(normal_sale()).dropna(subset=[*KEY, "valor_liquido"]), s, n["n"]).select(*KEY, *(F.col(c).alias(f"r_{c}") for c in own))
+    r = _asked(pool.where(normal_sale()).dropna(subset=[*KEY, "valor_liquido"]), s, n["n"], taken).select(*KEY, *(F.col(c).alias(f"r_{c}") for c in own))
     near = F.abs(F.col("r_valor_liquido") - F.col("s_valor_liquido")) <= tolerance()
     compatible = criterion(F.col("s_parcela"), F.col("s_numero_parcelas"), F.col("r_parcela"), F.col("r_numero_parcelas")).isin(EXACT, SAME_REMAINING)
     return s.join(r, list(KEY)).where(near & compatible).select("s_ord", "r_ord")
 
 
-def _asked(pool: DataFrame, waiting: DataFrame, n: int) -> DataFrame:
-    """The rows of pool whose key a waiting row has; all of it where many rows wait. A join on the key follows."""
-    return pool.join(F.broadcast(waiting.select(*KEY).distinct()), list(KEY), "left_semi") if n <= FEW else pool
+def _asked(pool: DataFrame, waiting: DataFrame, n: int, taken: DataFrame | None) -> DataFrame:
+    """The rows of pool whose key a waiting row has; all of it where many rows wait. A join on the key follows. taken: ord of rows that aren't free; they leave last, when few rows are left to be moved."""
+    asked = pool.join(F.broadcast(waiting.select(*KEY).distinct()), list(KEY), "left_semi") if n <= FEW else pool
+    return asked if taken is None else asked.join(taken, "ord", "left_anti")
 
 
-def classified(pending: DataFrame, pool: DataFrame) -> DataFrame:
+def classified(pending: DataFrame, pool: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """s_ord, r_ord and kind of each ledger row with candidates: REVIEW with its row if both have only each other, else AMBIGUOUS.
 
     No pairs are made of rows: rows that agree in all that is compared are one class with their number, counted with map-side
@@ -49,7 +50,7 @@ def classified(pending: DataFrame, pool: DataFrame) -> DataFrame:
     same = [*KEY, "cents", "parcela", "numero_parcelas"]
     sale = lambda df: df.dropna(subset=[*KEY, "valor_liquido"]).withColumn("cents", net).select("ord", *same)
     s, n = keep_counted(sale(pending), "waiting")
-    r = sale(_asked(pool.where(normal_sale()), s, n["n"]))
+    r = sale(_asked(pool.where(normal_sale()), s, n["n"], taken))
     classes = lambda df, x: df.groupBy(*same).agg(F.count("*").alias(f"n_{x}"), F.min("ord").alias(f"{x}_ord")).withColumnsRenamed({c: f"{x}_{c}" for c in same if c not in KEY})
     near = F.explode(F.array(*((F.col("s_cents") + d).cast("decimal(38,0)") for d in range(-CENTS, CENTS + 1))))
     met = classes(s, "s").withColumn("r_cents", near).join(classes(r, "r"), [*KEY, "r_cents"])

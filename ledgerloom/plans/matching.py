@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assign, classify, consolidate, fallback, impact, quality, rollup, schema
@@ -38,9 +38,22 @@ class Result:
     def quality(self) -> DataFrame:
         return quality.report(self.ledger)
 
+    @cached_property
+    def decided(self) -> tuple[DataFrame, DataFrame]:
+        """What the assignment and the second stage found, as kept tables."""
+        return _decided(self.consolidated, self.acquirer)
+
     @cached_property
     def detail(self) -> DataFrame:
-        return _detail(self.ledger, self.acquirer, self.consolidated)
+        return _paired(self).union(_left_over(self))
+
+    def not_at_acquirer(self) -> DataFrame:
+        """The detail report's rows whose statuses hold NOT_AT_ACQUIRER, which few cases give: the rows of these cases are all that is judged."""
+        return _paired(self, [name for name, row in classify.CASES.items() if classify.NOT_AT_ACQUIRER in row[1].split(",")])
+
+    def not_in_ledger(self) -> DataFrame:
+        """The detail report's rows whose statuses hold NOT_IN_LEDGER: the acquirer rows that are left, which need nothing of the ledger's rows."""
+        return _left_over(self, self.consolidated.withColumn("codes", F.lit(None).cast("array<string>")))
 
     def summary(self) -> DataFrame:
         """indicador and valor, all numeric ones."""
@@ -94,17 +107,22 @@ def match(acquirer: DataFrame, ledger: DataFrame, check_empty: bool = True, kept
     return Result(a, one, original, coded or (lambda: quality.with_codes(one)))
 
 
-def _detail(rows: DataFrame, a: DataFrame, consolidated: DataFrame) -> DataFrame:
-    """The detail report of consolidated ledger rows with their codes, and acquirer rows. consolidated: the table of the same rows, for steps that need no codes."""
+def _decided(consolidated: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The outcome of each ledger row whose key the acquirer has, and the kinds of those that the second stage finds rows for."""
     clear = consolidated.where("not _ambiguous")
     outcome = keep(assign.assigned(clear, a), "outcome")
     settled = outcome.where(F.col("outcome") != assign.NONE_FREE).select(F.col("s_ord").alias("ord"))
-    taken = outcome.where("r_ord is not null").select(F.col("r_ord").alias("ord"))
     # the second stage begins when every key has been assigned
     pending = clear.where("not _grouped").join(settled, "ord", "left_anti")
-    kinds = keep(fallback.classified(pending, a.join(taken, "ord", "left_anti")), "kinds")
+    return outcome, keep(fallback.classified(pending, a, _taken(outcome)), "kinds")
 
-    # each ledger row with its case and its acquirer row, if it has one; then the acquirer rows that are left
+
+def _taken(outcome: DataFrame) -> DataFrame:
+    return outcome.where("r_ord is not null").select(F.col("r_ord").alias("ord"))
+
+
+def _of_ledger(rows: DataFrame, outcome: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Each ledger row with its case and its acquirer row, if it has one."""
     first = outcome.select(F.col("s_ord").alias("ord"), F.col("r_ord").alias("_first"), "outcome")
     second = kinds.select(F.col("s_ord").alias("ord"), F.col("r_ord").alias("_second"), "kind")
     case = (
@@ -113,11 +131,31 @@ def _detail(rows: DataFrame, a: DataFrame, consolidated: DataFrame) -> DataFrame
     )
     # a ledger row without a partner gets a number that no acquirer row has: as nulls they would all meet in one task
     partner = F.coalesce("_first", "_second", -1 - F.col("ord"))
-    of_ledger = rows.join(first, "ord", "left").join(second, "ord", "left").select(*rows.columns, case.alias("_case"), partner.alias("_partner"))
-    # rows that are left have nothing to be joined with: as a branch of their own they move no more than their numbers, and what is the same for all of them costs nothing.
-    # The partners are kept tables of known size: few of them go to all tasks, and no acquirer row is moved
-    partners = taken.union(kinds.where("r_ord is not null").select(F.col("r_ord").alias("ord")))
-    paired = of_ledger.alias("s").join(a.join(partners, "ord", "left_semi").alias("r"), F.col("s._partner") == F.col("r.ord"), "left")
-    left_over = of_ledger.alias("s").join(a.join(partners, "ord", "left_anti").alias("r"), F.lit(False), "right")  # nulls for the ledger's columns
-    report = lambda joined, case: impact.with_impact(classify.detail(classify.judged(joined, case)))
-    return report(paired, F.col("s._case")).union(report(left_over, F.lit(classify.LEFT_OVER)))
+    return rows.join(first, "ord", "left").join(second, "ord", "left").select(*rows.columns, case.alias("_case"), partner.alias("_partner"))
+
+
+def _partners(outcome: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The acquirer rows that have a ledger row: kept tables of known size, so few of them go to all tasks, and no acquirer row is moved."""
+    return _taken(outcome).union(kinds.where("r_ord is not null").select(F.col("r_ord").alias("ord")))
+
+
+def _report(joined: DataFrame, case: Column) -> DataFrame:
+    return impact.with_impact(classify.detail(classify.judged(joined, case)))
+
+
+def _paired(result: Result, alone: list[str] | None = None) -> DataFrame:
+    """The detail report of ledger rows with their codes. alone: only those of these cases, which have no acquirer row."""
+    own, a = _of_ledger(result.ledger, *result.decided), result.acquirer
+    if alone is None:
+        joined = own.alias("s").join(a.join(_partners(*result.decided), "ord", "left_semi").alias("r"), F.col("s._partner") == F.col("r.ord"), "left")
+    else:  # chosen before they are judged: a filter on the statuses would be worked out with all that they are made of, again and again
+        joined = own.where(F.col("_case").isin(*alone)).alias("s").join(a.alias("r"), F.lit(False), "left")
+    return _report(joined, F.col("s._case"))
+
+
+def _left_over(result: Result, rows: DataFrame | None = None) -> DataFrame:
+    """The detail report of the acquirer rows that are left. They have nothing to be joined with: as a branch of their own they move no more
+    than their numbers, and what is the same for all of them costs nothing. rows: what has the ledger's columns (nulls here)."""
+    own = _of_ledger(result.ledger if rows is None else rows, *result.decided)
+    joined = own.alias("s").join(result.acquirer.join(_partners(*result.decided), "ord", "left_anti").alias("r"), F.lit(False), "right")
+    return _report(joined, F.lit(classify.LEFT_OVER))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import functions as L
-from ledgerloom.operators import assign, classify, consolidate, fallback, history, prepare, quality, rollup, schema
+from ledgerloom.operators import assign, consolidate, fallback, history, prepare, quality, rollup, schema
 from ledgerloom.operators.keeping import keep, keep_but, once
 from ledgerloom.plans import matching, sides
 from ledgerloom.plans.oracle import ORACLE_SQL  # noqa: F401  re-exported beside QUERIES
@@ -213,13 +213,13 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.assigned(*_both(spark, sf_dir))
 
 
-def _second(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """What the second stage pairs: ledger rows without an outcome, and free acquirer rows."""
+def _second(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the second stage pairs: ledger rows without an outcome, and acquirer rows, less those that are taken."""
     l, a = _both(spark, sf_dir)  # noqa: E741
     outcome = keep(assign.assigned(l, a), "outcome")
     with_one = outcome.where(F.col("outcome") != assign.NONE_FREE).select(F.col("s_ord").alias("ord"))
     taken = outcome.where("r_ord is not null").select(F.col("r_ord").alias("ord"))
-    return l.where("not _grouped").join(with_one, "ord", "left_anti"), a.join(taken, "ord", "left_anti")
+    return l.where("not _grouped").join(with_one, "ord", "left_anti"), a, taken
 
 
 @_query
@@ -249,12 +249,12 @@ def recommended_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def ledger_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _match(spark, sf_dir).detail.where(F.array_contains("statuses", classify.NOT_AT_ACQUIRER)).select("linha_shift", "status_conciliacao")
+    return _match(spark, sf_dir).not_at_acquirer().select("linha_shift", "status_conciliacao")
 
 
 @_query
 def acquirer_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _match(spark, sf_dir).detail.where(F.array_contains("statuses", classify.NOT_IN_LEDGER)).select("linha_rede", "status_conciliacao")
+    return _match(spark, sf_dir).not_in_ledger().select("linha_rede", "status_conciliacao")
 
 
 @_query
