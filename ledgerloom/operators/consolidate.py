@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY
-from ledgerloom.operators.keeping import keep
+from ledgerloom.operators.keeping import keep, keep_counted
 
 CRITICAL = ("empresa", "data_shift_usada_para_match", "modalidade", "bandeira", "parcela", "numero_parcelas")
 REPEATED = ("os_shift", "codigo_registro", "valor_bruto", "valor_liquido", "data_shift_usada_para_match", "parcela", "numero_parcelas")
@@ -23,32 +23,48 @@ LISTS = {
 AFTER = 1 << 61
 #: Numbers of a stretch of ord in which a group's rows are put together first.
 CHUNK = 1 << 14
+#: So many authorisations of several rows at most, and kinds of exact duplicates, are sent to all tasks (some 100 bytes each).
+FEW = 1 << 20
 
 
-def _signature(fields: tuple[str, ...]) -> Column:
-    """One text for the fields; nulls are equal to each other and to nothing else."""
-    return F.to_json(F.struct(*(F.col(f).cast("string").alias(f) for f in fields)), {"ignoreNullFields": "false"})
+def _hash(*fields: str) -> Column:
+    """64 bits for the fields; nulls are equal to each other and to nothing else."""
+    return F.xxhash64(*(x for f in fields for x in (F.col(f), F.col(f).isNull())))
 
 
-def _marks(ledger: DataFrame) -> DataFrame:
-    """ord, _ambiguous (its authorisation has rows that differ in critical fields), _repeated (an exact duplicate) and _group (null for single rows).
+def _marked(ledger: DataFrame) -> DataFrame:
+    """ledger with _ambiguous (its authorisation has rows that differ in critical fields), _repeated (an exact duplicate) and _group (null for single rows).
 
-    Only signatures and keys are written and moved; ledger's wide rows are joined by ord where they are needed.
+    One aggregation by authorisation tells all but the duplicates: rows of an authorisation that is not ambiguous agree in all critical
+    fields, so they are its only group. Only authorisations of several rows are kept, and duplicates are sought among them. As long as
+    they are FEW, all tasks get them and no ledger row is moved; otherwise narrow rows meet them, and the wide ones meet marks by ord.
     """
-    signed = keep(ledger.select("ord", "autorizacao", "os_shift", _signature(CRITICAL).alias("_critical"), _signature(REPEATED).alias("_same"), _signature(("autorizacao", *CRITICAL)).alias("_key")), "signed")
-    per_auth = signed.groupBy(F.col("autorizacao").alias("_of")).agg(F.count("*").alias("n"), (F.min("_critical") != F.max("_critical")).alias("_ambiguous")).where("n > 1 and _ambiguous").drop("n")
-    repeats = signed.groupBy(F.col("autorizacao").alias("_auth"), F.col("_same").alias("_twin")).agg(F.count("*").alias("copies")).where("copies > 1")
-    judged = signed.join(per_auth, F.col("autorizacao").eqNullSafe(F.col("_of")), "left")
-    judged = judged.join(repeats, F.col("autorizacao").eqNullSafe(F.col("_auth")) & (F.col("_same") == F.col("_twin")), "left")
-    ambiguous = F.coalesce("_ambiguous", F.lit(False))
-    judged = judged.select("ord", "os_shift", "_key", ambiguous.alias("_ambiguous"), (F.col("copies").isNotNull() & ~ambiguous).alias("_repeated"))
-    sizes = judged.where("not _ambiguous").groupBy(F.col("_key").alias("_group")).agg(F.count("*").alias("n"), F.count_distinct("os_shift").alias("orders")).where("n > 1 and orders > 1").select("_group")
-    return keep(judged.join(sizes, (F.col("_key") == F.col("_group")) & ~F.col("_ambiguous"), "left").select("ord", "_ambiguous", "_repeated", "_group"), "marks")
+    order = F.when(F.col("os_shift").isNotNull(), _hash("os_shift"))
+    hashed = ledger.select("ord", "autorizacao", _hash(*CRITICAL).alias("critical"), _hash(*REPEATED).alias("_same"), order.alias("order"))
+    per_auth = hashed.groupBy(F.col("autorizacao").alias("_of")).agg(
+        F.count("*").alias("n"), (F.min("critical") != F.max("critical")).alias("ambiguous"), F.coalesce(F.min("order") != F.max("order"), F.lit(False)).alias("several"), F.min("ord").alias("first")
+    )
+    grouped = F.when(F.col("several") & ~F.col("ambiguous"), F.col("first"))
+    shared, n_shared = keep_counted(per_auth.where("n > 1").select("_of", "ambiguous", grouped.alias("_group")), "shared")
+    to_all = lambda df, n: F.broadcast(df) if n["n"] <= FEW else df
+    among = to_all(shared.where("not ambiguous").select("_of"), n_shared)
+    copies = hashed.join(among, F.col("autorizacao").eqNullSafe(F.col("_of")), "left_semi").groupBy(F.col("autorizacao").alias("_auth"), F.col("_same").alias("_twin")).agg(F.count("*").alias("n"))
+    twins, n_twins = keep_counted(copies.where("n > 1").drop("n"), "twins")
+
+    def met(rows: DataFrame) -> DataFrame:
+        own = rows.join(to_all(shared, n_shared), F.col("autorizacao").eqNullSafe(F.col("_of")), "left").join(to_all(twins, n_twins), F.col("autorizacao").eqNullSafe(F.col("_auth")) & (F.col("_same") == F.col("_twin")), "left")
+        marks = {"_ambiguous": F.coalesce("ambiguous", F.lit(False)), "_repeated": F.col("_twin").isNotNull()}
+        return own.select(*(F.col(c) for c in ledger.columns if c in rows.columns), *(c.alias(name) for name, c in marks.items()), "_group")
+
+    if n_shared["n"] <= FEW and n_twins["n"] <= FEW:
+        return met(ledger.withColumn("_same", _hash(*REPEATED)))
+    marks = keep(met(hashed).where("_ambiguous or _repeated or _group is not null").select("ord", "_ambiguous", "_repeated", "_group"), "marks")
+    return ledger.join(marks, "ord", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_ambiguous", "_repeated")})
 
 
 def flagged(ledger: DataFrame) -> DataFrame:
     """Rows with _ambiguous and _repeated."""
-    return ledger.join(_marks(ledger).drop("_group"), "ord")
+    return _marked(ledger).drop("_group")
 
 
 def consolidated(ledger: DataFrame) -> DataFrame:
@@ -57,7 +73,7 @@ def consolidated(ledger: DataFrame) -> DataFrame:
     A group's rows are aggregated in two levels, first by stretches of CHUNK numbers of their order, each with its pieces of the lists:
     a hot group's rows spread over tasks, and what meets in one are the pieces, whose concatenation is the result.
     """
-    rows = ledger.join(_marks(ledger), "ord")
+    rows = _marked(ledger)
     own = [c for c in rows.columns if c not in ("_group", *SUMMED)]
     in_order = lambda items: F.transform(F.filter(F.array_sort(items), lambda x: x["v"].isNotNull()), lambda x: x["v"])
     listed = lambda c: F.collect_list(F.struct("ord", F.col(c).cast("string").alias("v")))

@@ -86,7 +86,7 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with own_settings(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     system, jvm_path = _file_system(spark, path)
     system.deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

@@ -94,7 +94,8 @@ _COPIES = {"valor_bruto_original": "valor_bruto", "raw_valor_bruto": "raw_valor_
 
 
 def _copies(**more: str) -> dict[str, Column]:
-    return {c: F.col(of) for c, of in (_COPIES | more).items()}
+    """The copies, and _row: the line is ord on both sides, and _row is two more (schema.normalized)."""
+    return {c: F.col(of) for c, of in (_COPIES | more).items()} | {"_row": F.col("ord") + 2}
 
 
 def acquirer(spark: SparkSession, sf_dir: str) -> DataFrame:
